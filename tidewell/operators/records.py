@@ -55,16 +55,21 @@ def _first_error(*rules: tuple[Column, Column | str]) -> Column:
     )
 
 
+def _bad_key() -> Column:
+    """The first measurement that is neither number nor text."""
+    kind = lambda e: _kind(e["value"])
+    bad = F.filter(F.map_entries(_entries()), lambda e: ~_is_number(kind(e)) & (kind(e) != "STRING"))
+    return F.get(bad, F.lit(0))["key"]
+
+
+def _bad_measurement(key: Column) -> Column:
+    return F.concat(F.lit("Measurement '"), key, F.lit("' must be a number or string"))
+
+
 def time_series_error() -> Column:
     """First broken rule of a time-series ``record``, or null. The rules are tried in order."""
-    whole, sid, ts, ms = _kind(F.col("record")), *[_kind(field(n)) for n in ("series_id", "timestamp", "measurements")]
-    bad_entry = F.get(
-        F.filter(
-            F.map_entries(_entries()),
-            lambda e: ~_is_number(_kind(e["value"])) & (_kind(e["value"]) != "STRING"),
-        ),
-        F.lit(0),
-    )["key"]
+    whole = _kind(F.col("record"))
+    sid, ts, ms = [_kind(field(n)) for n in ("series_id", "timestamp", "measurements")]
     return _first_error(
         (~whole.startswith("OBJECT"), "Record must be a dictionary"),
         (sid == "ABSENT", "Missing required field: series_id"),
@@ -74,10 +79,7 @@ def time_series_error() -> Column:
         (ts != "STRING", "timestamp must be a string"),
         (~ms.startswith("OBJECT"), "measurements must be a dictionary"),
         (F.size(_entries()) == 0, "measurements must contain at least one key-value pair"),
-        (
-            bad_entry.isNotNull(),
-            F.concat(F.lit("Measurement '"), bad_entry, F.lit("' must be a number or string")),
-        ),
+        (_bad_key().isNotNull(), _bad_measurement(_bad_key())),
     )
 
 
@@ -177,13 +179,9 @@ def process(df: DataFrame, record_type: str = "time_series") -> DataFrame:
     others = [c for c in df.columns if c != "record"]
     if record_type == "financial":
         # after conversion the time-series rules apply as well
-        void = F.get(
-            F.filter(F.map_entries(_entries()), lambda e: ~_is_number(_kind(e["value"])) & (_kind(e["value"]) != "STRING")),
-            F.lit(0),
-        )["key"]
         late = _first_error(
             (_kind(field("timestamp")) != "STRING", "timestamp must be a string"),
-            (void.isNotNull(), F.concat(F.lit("Measurement '"), void, F.lit("' must be a number or string"))),
+            (_bad_key().isNotNull(), _bad_measurement(_bad_key())),
         )
         checked = checked.withColumn("error", F.coalesce("error", late))
     columns = [c.alias(n) for n, c in canonical(record_type).items()]
@@ -191,16 +189,18 @@ def process(df: DataFrame, record_type: str = "time_series") -> DataFrame:
 
 
 def check_canonical(df: DataFrame) -> DataFrame:
-    """The time-series rules for typed sources, where only presence can fail."""
-    return df.withColumn(
-        "error",
-        _first_error(
-            (F.col("series_id").isNull() | (F.col("series_id") == ""), "series_id must be a non-empty string"),
-            (F.col("timestamp_raw").isNull(), "timestamp must be a string"),
-            (F.col("measurements").isNull(), "measurements must be a dictionary"),
-            (F.size("measurements") == 0, "measurements must contain at least one key-value pair"),
-        ),
+    """The time-series rules for typed sources; an ``error`` of the reader comes first."""
+    empty = F.get(
+        F.filter(F.map_entries("measurements"), lambda e: e["value"]["raw"].isNull()), F.lit(0)
+    )["key"]
+    found = _first_error(
+        (F.col("series_id").isNull() | (F.col("series_id") == ""), "series_id must be a non-empty string"),
+        (F.col("timestamp_raw").isNull(), "timestamp must be a string"),
+        (F.col("measurements").isNull(), "measurements must be a dictionary"),
+        (F.size("measurements") == 0, "measurements must contain at least one key-value pair"),
+        (empty.isNotNull(), _bad_measurement(empty)),
     )
+    return df.withColumn("error", F.coalesce("error", found) if "error" in df.columns else found)
 
 
 def split(processed: DataFrame) -> Split:

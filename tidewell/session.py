@@ -14,6 +14,9 @@ REQUIRED = {
     # Parquet timestamps without a zone are UTC here; reading them as TIMESTAMP keeps
     # range predicates free of casts, so they reach the row-group statistics.
     "spark.sql.parquet.inferTimestampNTZ.enabled": "false",
+    # repeated keys of a record or protocol line: the last one counts
+    "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
+    "spark.sql.variant.allowDuplicateKeys": "true",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
