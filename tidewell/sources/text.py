@@ -23,7 +23,15 @@ def _file() -> Column:
 
 
 def read_json(spark: SparkSession, path: str, record_type: str = "time_series") -> DataFrame:
-    """A file holds an array of records, or one record. Anything else yields no record."""
+    """A file holds an array of records, one record, or one record per line.
+
+    The first line tells which: only a complete object on a line of its own is read line by
+    line, which splits. Anything else than records yields no record.
+    """
+    top = spark.read.text(path).where(F.length(F.trim("value")) > 0).limit(1)
+    kind = F.schema_of_variant(F.try_parse_json("value"))
+    if not top.where(kind.startswith("OBJECT")).isEmpty():
+        return read_jsonl(spark, path, record_type)
     whole = (
         spark.read.option("singleVariantColumn", "record")
         .option("multiLine", True)

@@ -57,11 +57,14 @@ def quiet_gap_limit(events: DataFrame, key: str, limit: int, window: int, late:
     )
 
 
-def fixed_window_limit(events: DataFrame, key: str, order: str, limit: int, window: int) -> DataFrame:
+def fixed_window_limit(
+    events: DataFrame, key: str, order: str, limit: int, window: int, late: str = "1 hour"
+) -> DataFrame:
     """A window opens with a key's first event; the first ``limit`` events in it are allowed.
 
-    State per key is one window start and one count. Within a micro-batch a key's events are
-    taken in time order; the batch size is bounded by the source's trigger options.
+    State per key is one window start and one count, dropped once the watermark has passed
+    the window. Within a micro-batch a key's events are taken in time order; the batch size is
+    bounded by the source's trigger options.
     """
     width = window * 1_000_000
     schema = events.schema
@@ -81,20 +84,21 @@ def fixed_window_limit(events: DataFrame, key: str, order: str, limit: int, wind
             allowed.append(used <= limit)
             remaining.append(max(limit - used, 0))
         state.update((opened, used))
-        # after two idle windows the next event opens a new window anyway
-        state.setTimeoutDuration(2 * window * 1000)
+        state.setTimeoutTimestamp(max((opened + width) // 1000, state.getCurrentWatermarkMs()) + 1)
         out = rows[[key, order]].copy()
         out["window_us"], out["allowed"], out["remaining"] = starts, allowed, remaining
         yield out
 
     kinds = {n: schema[n].dataType.simpleString() for n in (key, order)}
-    placed = events.select(key, order, F.unix_micros("timestamp").alias("__us"))
+    placed = events.withWatermark("timestamp", late).select(
+        key, order, "timestamp", F.unix_micros("timestamp").alias("__us")
+    )
     decided = placed.groupBy(key).applyInPandasWithState(
         step,
         outputStructType=f"{key} {kinds[key]}, {order} {kinds[order]}, window_us long, allowed boolean, remaining long",
         stateStructType="opened long, used long",
         outputMode="append",
-        timeoutConf=GroupStateTimeout.ProcessingTimeTimeout,
+        timeoutConf=GroupStateTimeout.EventTimeTimeout,
     )
     return decided.withColumn("window_start", F.timestamp_micros("window_us")).drop("window_us")
 
