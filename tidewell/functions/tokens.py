@@ -2,48 +2,72 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Ingest timestamp patterns, first match wins. Fractions of a second are optional.
-INGEST_PATTERNS = [
-    "yyyy-M-d'T'H:m:s",
-    "yyyy-M-d'T'H:m:s.[SSSSSS][SSSSS][SSSS][SSS][SS][S]",
-    "yyyy-M-d H:m:s",
-    "yyyy-M-d",
-    "yyyyMMdd",
+_DAY = r"(\d{4})-(\d{1,2})-(\d{1,2})"
+_CLOCK = r"(\d{1,2}):(\d{1,2}):(\d{1,2}"
+# year, month and day without separators, leading zeros optional
+_COMPACT = r"^(\d{4})(1[0-2]|0[1-9]|[1-9])(3[01]|[12]\d|0[1-9]|[1-9])$"
+
+# Ingest timestamp shapes, first match wins, and the ISO text they stand for.
+INGEST_SHAPES = [
+    (rf"^{_DAY}T{_CLOCK}(?:\.\d{{1,6}})?)$", "$1-$2-$3T$4:$5:$6"),
+    (rf"^{_DAY} {_CLOCK})$", "$1-$2-$3T$4:$5:$6"),
+    (rf"^{_DAY}$", "$1-$2-$3"),
+    (_COMPACT, "$1-$2-$3"),
 ]
-# Date patterns of delimited text files, day before month where both fit.
-LOOSE_PATTERNS = [
-    "yyyy-M-d",
-    "yyyy/M/d",
-    "yyyyMMdd",
-    "d-M-yyyy",
-    "d/M/yyyy",
-    "M-d-yyyy",
-    "M/d/yyyy",
-    "yyyy-M-d H:m:s",
-    "yyyy-M-d'T'H:m:s",
-    "yyyyMMddHHmmss",
+# Date shapes of delimited text files, day before month where both fit.
+LOOSE_SHAPES = [
+    (rf"^{_DAY}$", "$1-$2-$3"),
+    (r"^(\d{4})/(\d{1,2})/(\d{1,2})$", "$1-$2-$3"),
+    (_COMPACT, "$1-$2-$3"),
+    (r"^(\d{1,2})-(\d{1,2})-(\d{4})$", "$3-$2-$1"),
+    (r"^(\d{1,2})/(\d{1,2})/(\d{4})$", "$3-$2-$1"),
+    (r"^(\d{1,2})-(\d{1,2})-(\d{4})$", "$3-$1-$2"),
+    (r"^(\d{1,2})/(\d{1,2})/(\d{4})$", "$3-$1-$2"),
+    (rf"^{_DAY} {_CLOCK})$", "$1-$2-$3T$4:$5:$6"),
+    (rf"^{_DAY}T{_CLOCK})$", "$1-$2-$3T$4:$5:$6"),
+    (r"^(\d{4})(\d{2})(\d{2})(\d{2})(\d{2})(\d{2})$", "$1-$2-$3T$4:$5:$6"),
 ]
 
 
-def first_match(c: Column, patterns: list[str]) -> Column:
-    return F.coalesce(*[F.try_to_timestamp(c, F.lit(p)) for p in patterns])
+def first_match(c: Column, shapes: list[tuple[str, str]]) -> Column:
+    """The first shape that fits and names a real date.
+
+    Rewriting to ISO and casting avoids one formatter per shape, whose failures are
+    exceptions: far too slow for a column of mixed shapes.
+    """
+    return F.coalesce(
+        *[F.when(c.rlike(shape), F.regexp_replace(c, shape, iso).try_cast("timestamp")) for shape, iso in shapes]
+    )
+
+
+def bound(c: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(c)`` with ``c`` evaluated once.
+
+    A filter on a result is pushed below the projection by repeating its whole expression; an
+    argument that is named thirty times would then be computed thirty times per row.
+    """
+    return F.get(F.transform(F.array(c), use), F.lit(0))
 
 
 def parse_timestamp(c: Column) -> Column:
     """Ingest timestamps; a trailing ``Z`` is accepted and means UTC."""
-    return first_match(F.regexp_replace(F.trim(c), "Z$", ""), INGEST_PATTERNS)
+    clean = F.regexp_replace(F.trim(c), "Z$", "")
+    return bound(clean, lambda t: first_match(t, INGEST_SHAPES))
 
 
 def parse_loose(c: Column) -> Column:
-    return first_match(F.trim(c), LOOSE_PATTERNS)
+    return bound(F.trim(c), lambda t: first_match(t, LOOSE_SHAPES))
 
 
 def parse_any(c: Column) -> Column:
     """Cleaning accepts every known pattern, so mixed formats in one column survive."""
-    return F.coalesce(parse_timestamp(c), parse_loose(c))
+    clean = F.regexp_replace(F.trim(c), "Z$", "")
+    return bound(clean, lambda t: first_match(t, [*INGEST_SHAPES, *LOOSE_SHAPES[1:]]))
 
 
 def parse_iso_or_epoch(c: Column, unit: str = "ns") -> Column:
@@ -54,13 +78,12 @@ def parse_iso_or_epoch(c: Column, unit: str = "ns") -> Column:
     per_second = {"ms": 1_000, "us": 1_000_000, "ns": 1_000_000_000}[unit]
     text = c.cast("string")
     number = text.try_cast("double")
-    small = F.try_to_timestamp(F.lit(None).cast("string"))
     epoch = F.when(number < 1e10, F.timestamp_seconds(number)).otherwise(
         F.timestamp_micros((text.try_cast("decimal(38,6)") * 1_000_000 / per_second).cast("bigint"))
     )
     return F.when(number.isNotNull(), epoch).when(
         text.rlike(r"^\d{4}-\d{2}-\d{2}"), text.try_cast("timestamp")
-    ).otherwise(small)
+    )
 
 
 def iso_text(ts: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -142,13 +142,14 @@ def _neighbours(
         )
         for i, c in enumerate(columns)
     }
-    sides = (("__before", F.last, chunking.FIRST_TO_HERE), ("__after", F.first, chunking.HERE_TO_LAST))
+    sides = {"__before": False, "__after": True}  # name: read backward
     if not bounds and by:
-        w = Window.partitionBy(*by).orderBy(*order)
         return df.withColumns(
             {
-                f"{side}{i}": pick(m, ignorenulls=True).over(w.rowsBetween(*frame))
-                for side, pick, frame in sides
+                f"{side}{i}": F.last(m, ignorenulls=True).over(
+                    chunking.along(by, order, backward).rowsBetween(*chunking.FIRST_TO_HERE)
+                )
+                for side, backward in sides.items()
                 for i, m in marks.items()
             }
         )
@@ -156,45 +157,34 @@ def _neighbours(
         {f"__mark{i}": m for i, m in marks.items()}
     )
     summary = marked.groupBy(*by, chunking.CHUNK).agg(
-        *[F.max_by(f"__mark{i}", f"__mark{i}.at").alias(f"last{i}") for i in marks],
-        *[F.min_by(f"__mark{i}", f"__mark{i}.at").alias(f"first{i}") for i in marks],
+        *[F.max_by(f"__mark{i}", f"__mark{i}.at").alias(f"__before{i}") for i in marks],
+        *[F.min_by(f"__mark{i}", f"__mark{i}.at").alias(f"__after{i}") for i in marks],
     )
-    across = Window.partitionBy(*by).orderBy(chunking.CHUNK)
     keys = [F.col(k) for k in (*by, chunking.CHUNK)]
-    scanned = summary.select(
-        *keys,
-        *[
-            F.last(f"last{i}", ignorenulls=True).over(across.rowsBetween(*chunking.BEFORE)).alias(f"h{i}")
-            for i in marks
-        ],
+
+    def reaching(side: str, i: int) -> Column:
+        across = chunking.along(by, [chunking.CHUNK], sides[side]).rowsBetween(*chunking.BEFORE)
+        return F.last(f"{side}{i}", ignorenulls=True).over(across).alias(f"{side}{i}")
+
+    scanned = summary.select(*keys, *[reaching(side, i) for side in sides for i in marks])
+    heads_and_tails = F.array(
         *[
-            F.first(f"first{i}", ignorenulls=True).over(across.rowsBetween(*chunking.AFTER)).alias(f"t{i}")
-            for i in marks
-        ],
+            F.struct(F.lit(edge).alias("edge"), *[F.col(f"{side}{i}").alias(f"m{i}") for i in marks])
+            for edge, side in ((-1, "__before"), (1, "__after"))
+        ]
     )
-    edges = scanned.select(
-        *keys,
-        F.explode(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(edge).alias("edge"), *[F.col(f"{p}{i}").alias(f"m{i}") for i in marks]
-                    )
-                    for edge, p in ((-1, "h"), (1, "t"))
-                ]
-            )
-        ).alias("e"),
-    ).select(
+    edges = scanned.select(*keys, F.explode(heads_and_tails).alias("e")).select(
         *keys,
         F.col("e.edge").alias(chunking.EDGE),
         *[F.col(f"e.m{i}").alias(f"__mark{i}") for i in marks],
     )
     both = marked.withColumn(chunking.EDGE, F.lit(0)).unionByName(edges, allowMissingColumns=True)
-    w = chunking.chunk_window(by, order)
     near = both.withColumns(
         {
-            f"{side}{i}": pick(f"__mark{i}", ignorenulls=True).over(w.rowsBetween(*frame))
-            for side, pick, frame in sides
+            f"{side}{i}": F.last(f"__mark{i}", ignorenulls=True).over(
+                chunking.chunk_window(by, order, backward).rowsBetween(*chunking.FIRST_TO_HERE)
+            )
+            for side, backward in sides.items()
             for i in marks
         }
     )

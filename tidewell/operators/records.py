@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewell import schema
-from tidewell.functions.tokens import parse_timestamp
+from tidewell.functions.tokens import bound, parse_timestamp
 
 NUMBER_KINDS = r"^(BIGINT|DOUBLE|FLOAT|DECIMAL|BOOLEAN)"
 
@@ -29,20 +29,20 @@ def json_records(df: DataFrame, column: str = "value") -> DataFrame:
     return df.withColumn("record", F.try_parse_json(column))
 
 
-def field(name: str) -> Column:
-    return F.try_variant_get("record", f"$['{name}']", "variant")
+def field(record: Column, name: str) -> Column:
+    return F.try_variant_get(record, f"$['{name}']", "variant")
 
 
 def _kind(v: Column) -> Column:
     return F.coalesce(F.schema_of_variant(v), F.lit("ABSENT"))
 
 
-def _text(name: str) -> Column:
-    return F.try_variant_get("record", f"$['{name}']", "string")
+def _text(record: Column, name: str) -> Column:
+    return F.try_variant_get(record, f"$['{name}']", "string")
 
 
-def _entries() -> Column:
-    return F.try_variant_get("record", "$.measurements", "map<string,variant>")
+def _entries(record: Column) -> Column:
+    return F.try_variant_get(record, "$.measurements", "map<string,variant>")
 
 
 def _is_number(kind: Column) -> Column:
@@ -55,10 +55,10 @@ def _first_error(*rules: tuple[Column, Column | str]) -> Column:
     )
 
 
-def _bad_key() -> Column:
+def _bad_key(record: Column) -> Column:
     """The first measurement that is neither number nor text."""
     kind = lambda e: _kind(e["value"])
-    bad = F.filter(F.map_entries(_entries()), lambda e: ~_is_number(kind(e)) & (kind(e) != "STRING"))
+    bad = F.filter(F.map_entries(_entries(record)), lambda e: ~_is_number(kind(e)) & (kind(e) != "STRING"))
     return F.get(bad, F.lit(0))["key"]
 
 
@@ -66,55 +66,63 @@ def _bad_measurement(key: Column) -> Column:
     return F.concat(F.lit("Measurement '"), key, F.lit("' must be a number or string"))
 
 
-def time_series_error() -> Column:
-    """First broken rule of a time-series ``record``, or null. The rules are tried in order."""
-    whole = _kind(F.col("record"))
-    sid, ts, ms = [_kind(field(n)) for n in ("series_id", "timestamp", "measurements")]
+def time_series_error(record: Column) -> Column:
+    """First broken rule of a time-series record, or null. The rules are tried in order."""
+    whole = _kind(record)
+    sid, ts, ms = [_kind(field(record, n)) for n in ("series_id", "timestamp", "measurements")]
     return _first_error(
         (~whole.startswith("OBJECT"), "Record must be a dictionary"),
         (sid == "ABSENT", "Missing required field: series_id"),
         (ts == "ABSENT", "Missing required field: timestamp"),
         (ms == "ABSENT", "Missing required field: measurements"),
-        ((sid != "STRING") | (_text("series_id") == ""), "series_id must be a non-empty string"),
+        ((sid != "STRING") | (_text(record, "series_id") == ""), "series_id must be a non-empty string"),
         (ts != "STRING", "timestamp must be a string"),
         (~ms.startswith("OBJECT"), "measurements must be a dictionary"),
-        (F.size(_entries()) == 0, "measurements must contain at least one key-value pair"),
-        (_bad_key().isNotNull(), _bad_measurement(_bad_key())),
+        (F.size(_entries(record)) == 0, "measurements must contain at least one key-value pair"),
+        (_bad_key(record).isNotNull(), _bad_measurement(_bad_key(record))),
     )
 
 
-def _price_field(name: str) -> Column:
+def _price_field(record: Column, name: str) -> Column:
     """The first alias that holds something: record before measurements, alias by alias."""
     tries = []
     for alias in schema.ALIASES[name]:
-        tries += [field(alias), F.try_variant_get("record", f"$.measurements['{alias}']", "variant")]
+        tries += [
+            field(record, alias), F.try_variant_get(record, f"$.measurements['{alias}']", "variant")
+        ]
     return F.coalesce(*[F.when(_kind(t) != "VOID", t) for t in tries])
 
 
-def financial_error() -> Column:
-    """First broken rule of a price ``record``, flat or nested, or null."""
-    whole = _kind(F.col("record"))
-    ident = F.coalesce(F.nullif(_text("ticker"), F.lit("")), F.nullif(_text("series_id"), F.lit("")))
-    ident_kind = F.when(
-        F.coalesce(_text("ticker"), F.lit("")) != "", _kind(field("ticker"))
-    ).otherwise(_kind(field("series_id")))
+def financial_error(record: Column) -> Column:
+    """First broken rule of a price record, flat or nested, or null."""
+    whole = _kind(record)
+    ticker = F.nullif(_text(record, "ticker"), F.lit(""))
+    ident = F.coalesce(ticker, F.nullif(_text(record, "series_id"), F.lit("")))
+    ident_kind = F.when(ticker.isNotNull(), _kind(field(record, "ticker"))).otherwise(
+        _kind(field(record, "series_id"))
+    )
     any_number = F.coalesce(
-        F.exists(F.map_values(_entries()), lambda v: _is_number(_kind(v))), F.lit(False)
+        F.exists(F.map_values(_entries(record)), lambda v: _is_number(_kind(v))), F.lit(False)
     )
     rules = [
         (~whole.startswith("OBJECT"), "Record must be a dictionary"),
         (ident.isNull(), "Missing required field: ticker or series_id"),
-        (_kind(field("timestamp")) == "ABSENT", "Missing required field: timestamp"),
+        (_kind(field(record, "timestamp")) == "ABSENT", "Missing required field: timestamp"),
         (ident_kind != "STRING", "ticker/series_id must be a non-empty string"),
         (
-            _price_field("close").isNull() & ~any_number,
+            _price_field(record, "close").isNull() & ~any_number,
             "Missing required field: close (or any numeric measurement)",
         ),
     ]
     for name in ("open", "high", "low", "close", "vol"):
-        v = _price_field(name)
+        v = _price_field(record, name)
         rules.append((v.isNotNull() & ~_is_number(_kind(v)), f"{name} must be a number"))
         rules.append((F.try_variant_get(v, "$", "double") < 0, f"{name} must be non-negative"))
+    # after conversion the time-series rules apply as well
+    rules += [
+        (_kind(field(record, "timestamp")) != "STRING", "timestamp must be a string"),
+        (_bad_key(record).isNotNull(), _bad_measurement(_bad_key(record))),
+    ]
     return _first_error(*rules)
 
 
@@ -128,8 +136,8 @@ def _empty_map() -> Column:
     return F.create_map().cast(schema.MEASUREMENTS)
 
 
-def _measurements() -> Column:
-    return F.coalesce(F.transform_values(_entries(), lambda _, v: _value(v)), _empty_map())
+def _measurements(record: Column) -> Column:
+    return F.coalesce(F.transform_values(_entries(record), lambda _, v: _value(v)), _empty_map())
 
 
 def merge_last_wins(first: Column, second: Column) -> Column:
@@ -137,30 +145,30 @@ def merge_last_wins(first: Column, second: Column) -> Column:
     return F.map_concat(kept, second)
 
 
-def _top_level_prices() -> Column:
+def _top_level_prices(record: Column) -> Column:
     """Price fields next to the measurements. ``volume`` is taken as ``vol``."""
-    values = {n: field(n) for n in schema.PRICE_FIELDS}
-    values["vol"] = F.coalesce(values["vol"], field("volume"))
+    values = {n: field(record, n) for n in schema.PRICE_FIELDS}
+    values["vol"] = F.coalesce(values["vol"], field(record, "volume"))
     return schema.measurement_map({n: F.when(v.isNotNull(), _value(v)) for n, v in values.items()})
 
 
-def canonical(record_type: str = "time_series") -> dict[str, Column]:
-    """Canonical columns of a valid ``record``."""
-    raw_time = _text("timestamp")
-    metadata = F.try_variant_get("record", "$.metadata", "map<string,string>")
+def canonical(record: Column, record_type: str = "time_series") -> dict[str, Column]:
+    """Canonical columns of a valid record."""
+    raw_time = _text(record, "timestamp")
+    metadata = F.try_variant_get(record, "$.metadata", "map<string,string>")
     if record_type == "financial":
-        sid = F.coalesce(F.nullif(_text("ticker"), F.lit("")), _text("series_id"))
-        measurements = merge_last_wins(_measurements(), _top_level_prices())
+        sid = F.coalesce(F.nullif(_text(record, "ticker"), F.lit("")), _text(record, "series_id"))
+        measurements = merge_last_wins(_measurements(record), _top_level_prices(record))
         metadata = F.lit(None).cast(schema.METADATA)  # prices carry no metadata over
     else:
-        sid, measurements = _text("series_id"), _measurements()
+        sid, measurements = _text(record, "series_id"), _measurements(record)
     return {
         "series_id": sid,
         "timestamp": parse_timestamp(raw_time),
         "timestamp_raw": raw_time,
         "measurements": measurements,
         "metadata": metadata,
-        "format": _text("format"),
+        "format": _text(record, "format"),
     }
 
 
@@ -175,17 +183,13 @@ def process(df: DataFrame, record_type: str = "time_series") -> DataFrame:
     """
     if record_type not in ERRORS:
         raise ValueError(f"Unknown record type: {record_type}")
-    checked = df.withColumn("error", ERRORS[record_type]())
     others = [c for c in df.columns if c != "record"]
-    if record_type == "financial":
-        # after conversion the time-series rules apply as well
-        late = _first_error(
-            (_kind(field("timestamp")) != "STRING", "timestamp must be a string"),
-            (_bad_key().isNotNull(), _bad_measurement(_bad_key())),
-        )
-        checked = checked.withColumn("error", F.coalesce("error", late))
-    columns = [c.alias(n) for n, c in canonical(record_type).items()]
-    return checked.select(*others, *columns, "error")
+    record = F.col("record")
+    checked = bound(record, ERRORS[record_type])
+    fields = bound(
+        record, lambda v: F.struct(*[c.alias(n) for n, c in canonical(v, record_type).items()])
+    )
+    return df.select(*others, fields.alias("__r"), checked.alias("error")).select(*others, "__r.*", "error")
 
 
 def check_canonical(df: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ from collections.abc import Sequence
 from math import inf, nextafter
 
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,9 +29,7 @@ EDGE = "__edge"
 _KEY = "__chunk_key"
 
 FIRST_TO_HERE = (Window.unboundedPreceding, Window.currentRow)
-HERE_TO_LAST = (Window.currentRow, Window.unboundedFollowing)
 BEFORE = (Window.unboundedPreceding, -1)
-AFTER = (1, Window.unboundedFollowing)
 
 
 def numeric_key(df: DataFrame, column: str) -> Column:
@@ -82,8 +80,17 @@ def with_chunk(df: DataFrame, column: str, bounds: Sequence[float], name: str =
     return cut.withColumn(name, index).drop(_KEY)
 
 
-def chunk_window(by: Sequence[str], order: Sequence[str]) -> Window:
-    return Window.partitionBy(*by, CHUNK).orderBy(EDGE, *order)
+def along(by: Sequence[str], order: Sequence[str], backward: bool = False) -> WindowSpec:
+    """A window that is read from its start.
+
+    Looking ahead is a backward scan over the reversed order: a frame that ends at UNBOUNDED
+    FOLLOWING is evaluated anew for every row, which is quadratic.
+    """
+    return Window.partitionBy(*by).orderBy(*[F.col(o).desc() if backward else F.col(o) for o in order])
+
+
+def chunk_window(by: Sequence[str], order: Sequence[str], backward: bool = False) -> WindowSpec:
+    return along([*by, CHUNK], [EDGE, *order], backward)
 
 
 def _present(value: str, order: Sequence[str]) -> Column:
@@ -102,14 +109,12 @@ def fill_ordered(
     if bounds is None:
         bounds = chunk_bounds(df, order[0])
     names = df.columns
-    pick = F.first if backward else F.last
-    frame = HERE_TO_LAST if backward else FIRST_TO_HERE
     by = list(by)
     targets = [c for c in columns if c not in by]
 
     if not bounds and by:
-        w = Window.partitionBy(*by).orderBy(*order).rowsBetween(*frame)
-        return df.withColumns({c: pick(c, ignorenulls=True).over(w) for c in targets})
+        w = along(by, order, backward).rowsBetween(*FIRST_TO_HERE)
+        return df.withColumns({c: F.last(c, ignorenulls=True).over(w) for c in targets})
 
     cut = with_chunk(df, order[0], bounds)
     nearest = F.min_by if backward else F.max_by
@@ -118,17 +123,17 @@ def fill_ordered(
     summary = cut.groupBy(*by, CHUNK).agg(
         *[nearest(c, _present(c, order)).alias(k) for k, c in carried.items()]
     )
-    across = Window.partitionBy(*by).orderBy(CHUNK).rowsBetween(*(AFTER if backward else BEFORE))
+    across = along(by, [CHUNK], backward).rowsBetween(*BEFORE)
     edges = summary.select(
         *by,
         CHUNK,
         F.lit(1 if backward else -1).alias(EDGE),
-        *[pick(k, ignorenulls=True).over(across).alias(k) for k in carried],
+        *[F.last(k, ignorenulls=True).over(across).alias(k) for k in carried],
     )
     rows = cut.withColumn(EDGE, F.lit(0)).withColumns({k: F.col(c) for k, c in carried.items()})
     both = rows.unionByName(edges, allowMissingColumns=True)
-    w = chunk_window(by, order).rowsBetween(*frame)
-    filled = both.withColumns({c: pick(k, ignorenulls=True).over(w) for k, c in carried.items()})
+    w = chunk_window(by, order, backward).rowsBetween(*FIRST_TO_HERE)
+    filled = both.withColumns({c: F.last(k, ignorenulls=True).over(w) for k, c in carried.items()})
     return filled.where(F.col(EDGE) == 0).select(*names)
 
 
@@ -145,12 +150,12 @@ def running_totals(
     by = list(by)
     rows = df.withColumns(totals)
     if not bounds and by:
-        w = Window.partitionBy(*by).orderBy(*order).rowsBetween(*FIRST_TO_HERE)
+        w = along(by, order).rowsBetween(*FIRST_TO_HERE)
         return rows.withColumns({n: F.sum(n).over(w) for n in totals})
 
     cut = with_chunk(rows, order[0], bounds)
     summary = cut.groupBy(*by, CHUNK).agg(*[F.sum(n).alias(n) for n in totals])
-    across = Window.partitionBy(*by).orderBy(CHUNK).rowsBetween(*BEFORE)
+    across = along(by, [CHUNK]).rowsBetween(*BEFORE)
     edges = summary.select(
         *by, CHUNK, F.lit(-1).alias(EDGE), *[F.sum(n).over(across).alias(n) for n in totals]
     )

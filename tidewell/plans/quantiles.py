@@ -109,12 +109,10 @@ def grouped_quantiles(
     by = list(by)
     if not by:
         raise ValueError("use exact_quantiles for the whole table")
-    counted = (
-        df.select(*by, known(column).alias(value))
-        .where(F.col(value).isNotNull())
-        .groupBy(*by, value)
-        .agg(F.count("*").alias(count))
-    )
+    values = df.select(*by, known(column).alias(value)).where(F.col(value).isNotNull())
+    if bounds is None:
+        bounds = chunking.chunk_bounds(values, value)
+    counted = values.groupBy(*by, value).agg(F.count("*").alias(count))
     ranked = chunking.running_totals(counted, {upto: F.col(count)}, [value], by, bounds)
     sizes = counted.groupBy(*by).agg(F.sum(count).alias(total))
     # null group keys must meet, hence the null-safe condition

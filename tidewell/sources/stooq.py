@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell import schema
-from tidewell.functions.tokens import iso_text
+from tidewell.functions.tokens import iso_text, parse_loose
 
 # The columns of the format, in file order.
 STOOQ_COLUMNS = ["TICKER", "PER", "DATE", "TIME", "OPEN", "HIGH", "LOW", "CLOSE", "VOL", "OPENINT"]
@@ -29,7 +29,7 @@ def read_stooq(spark: SparkSession, path: str) -> DataFrame:
 def stooq_records(rows: DataFrame) -> DataFrame:
     clock = F.when(F.length("TIME") == 6, F.col("TIME")).otherwise("000000")
     at = F.when(
-        F.length("DATE") == 8, F.try_to_timestamp(F.concat("DATE", clock), F.lit("yyyyMMddHHmmss"))
+        F.length("DATE") == 8, parse_loose(F.concat("DATE", clock))
     )
     values: dict[str, Column] = {
         c.lower(): schema.number_value(F.col(c).try_cast("double")) for c in ("OPEN", "HIGH", "LOW", "CLOSE")

@@ -1,6 +1,6 @@
 """Queries over the given tables, one per capability, with their SQL counterparts."""
 
-from workload import cleaning
+from workload import asking, cleaning, recording
 from workload.registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL"]
+__all__ = ["QUERIES", "SQL", "asking", "cleaning", "recording"]
