@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import (
     DataSource,
     DataSourceArrowWriter,
@@ -39,6 +39,16 @@ def _open(system, path: str):
         return ipc.open_stream(source)
 
 
+def schema_of(path: str) -> StructType:
+    """The schema of the first file."""
+    from pyspark.sql.pandas.types import from_arrow_schema
+
+    system, paths = _files(path)
+    if not paths:
+        raise FileNotFoundError(path)
+    return from_arrow_schema(_open(system, paths[0]).schema)
+
+
 class ArrowFile(InputPartition):
     def __init__(self, path: str):
         super().__init__(path)
@@ -102,12 +112,7 @@ class ArrowIpc(DataSource):
         return "arrow_ipc"
 
     def schema(self) -> StructType:
-        from pyspark.sql.pandas.types import from_arrow_schema
-
-        system, paths = _files(self.options["path"])
-        if not paths:
-            raise FileNotFoundError(self.options["path"])
-        return from_arrow_schema(_open(system, paths[0]).schema)
+        return schema_of(self.options["path"])
 
     def reader(self, schema: StructType) -> ArrowReader:
         return ArrowReader(self.options["path"])
@@ -118,3 +123,9 @@ class ArrowIpc(DataSource):
 
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(ArrowIpc)
+
+
+def read(spark: SparkSession, path: str) -> DataFrame:
+    """Looking up the schema here saves Spark a Python process for it."""
+    register(spark)
+    return spark.read.format("arrow_ipc").schema(schema_of(path)).load(path)

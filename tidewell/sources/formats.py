@@ -5,9 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 from pathlib import PurePosixPath
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from tidewell import schema
+from tidewell.functions.tokens import iso_text
 from tidewell.sources import arrow_ipc, protocols, text
 from tidewell.sources.delimited import read_delimited
 from tidewell.sources.stooq import read_stooq
@@ -95,8 +98,7 @@ def _columnar(reader: str) -> Callable[[SparkSession, str], DataFrame]:
 
 
 def read_arrow(spark: SparkSession, path: str) -> DataFrame:
-    arrow_ipc.register(spark)
-    return flat_records(spark.read.format("arrow_ipc").load(path))
+    return flat_records(arrow_ipc.read(spark, path))
 
 
 def flat_records(df: DataFrame) -> DataFrame:
@@ -106,10 +108,20 @@ def flat_records(df: DataFrame) -> DataFrame:
         if "timestamp_raw" not in out.columns:
             out = out.withColumn("timestamp_raw", F.col("timestamp").cast("string"))
         return out
-    prefix = "measurement_"
-    as_text = df.select(*[F.col(f"`{c}`").cast("string").alias(c.removeprefix(prefix)) for c in df.columns])
-    names = [c for c in as_text.columns if c != text.SOURCE]
-    return text.canonical_table(as_text.withColumn("error", F.lit(None).cast("string")), names)
+    plain = df.withColumnsRenamed({c: c.removeprefix("measurement_") for c in df.columns})
+    names = [c for c in plain.columns if c != text.SOURCE]
+
+    def cell(name: str) -> Column:
+        kind, c = plain.schema[name].dataType, F.col(f"`{name}`")
+        if isinstance(kind, (T.NumericType, T.BooleanType)):
+            value = schema.number_value(c)
+        elif isinstance(kind, T.TimestampType):
+            value = schema.text_value(iso_text(c))
+        else:
+            value = schema.text_value(c)
+        return F.when(c.isNotNull(), value)
+
+    return text.canonical_table(plain.withColumn("error", F.lit(None).cast("string")), names, cell)
 
 
 READERS: dict[str, Callable[[SparkSession, str], DataFrame]] = {

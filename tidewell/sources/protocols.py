@@ -63,7 +63,8 @@ def line_protocol_records(lines: DataFrame, column: str = "value") -> DataFrame:
     name = _unescape(F.regexp_extract("head", r"^((?:[^\\,]|\\.)+)", 1))
     series = F.coalesce(F.element_at(tags, "series_id"), name)
     metadata = F.map_filter(tags, lambda k, _: k != "series_id")
-    at = F.timestamp_micros(F.floor(F.col("ns") / 1000).cast("long"))
+    # integer division: a double cannot hold nanoseconds since 1970
+    at = F.timestamp_micros(F.expr("(ns - pmod(ns, 1000)) div 1000"))
     return _canonical(rows, series, at, measurements, metadata, "influxdb")
 
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from tidewell import schema
-from tidewell.functions.tokens import parse_timestamp, token_value
+from tidewell.functions.tokens import iso_text, parse_timestamp, token_value
 from tidewell.operators.records import json_records, merge_last_wins, process
 
 # CSV column names with a role; the first group marks price data.
@@ -71,15 +74,24 @@ def read_csv(spark: SparkSession, path: str, header: bool = True, sep: str = ","
     return canonical_table(rows.withColumn("error", overlong).drop(_EXTRA), names)
 
 
-def canonical_table(rows: DataFrame, names: list[str]) -> DataFrame:
-    """Flat text columns to canonical columns.
+def canonical_table(
+    rows: DataFrame, names: list[str], cell: Callable[[str], Column] | None = None
+) -> DataFrame:
+    """Flat columns to canonical columns; ``cell`` gives a column's VALUE, by default from text.
 
     ``ticker`` names the series before ``series_id``; ``timestamp`` goes before ``date``.
     Price columns become numeric measurements under their lower-case names, ``volume`` as
     ``vol``; every other non-key column becomes a measurement.
     """
+    cell = cell or (lambda n: token_value(F.col(f"`{n}`")))
     series = next((F.col(n) for n in ("ticker", "series_id") if n in names), F.lit("UNKNOWN"))
-    raw_time = next((F.col(n) for n in ("timestamp", "date") if n in names), F.lit(""))
+    time_name = next((n for n in ("timestamp", "date") if n in names), None)
+    raw_time = F.col(time_name) if time_name else F.lit("")
+    if time_name and not isinstance(rows.schema[time_name].dataType, StringType):
+        at = raw_time.cast("timestamp")
+        raw_time = iso_text(at)
+    else:
+        at = parse_timestamp(raw_time)
     lower = {n: n.lower() for n in names}
     is_price_table = bool(PRICE_MARKS & set(lower.values()))
     prices, others = {}, {}
@@ -87,9 +99,9 @@ def canonical_table(rows: DataFrame, names: list[str]) -> DataFrame:
         if is_price_table and lower[n] in PRICE_COLUMNS:
             key = "vol" if lower[n] == "volume" else lower[n]
             if key not in prices or lower[n] != "volume":
-                prices[key] = token_value(F.col(f"`{n}`"))
+                prices[key] = cell(n)
         elif lower[n] not in KEY_COLUMNS:
-            others[n] = token_value(F.col(f"`{n}`"))
+            others[n] = cell(n)
     # an empty cell stays as an entry without value: validation reports it
     kept = F.map_from_entries(
         F.array(*[F.struct(F.lit(n).alias("key"), v.alias("value")) for n, v in others.items()])
@@ -97,8 +109,8 @@ def canonical_table(rows: DataFrame, names: list[str]) -> DataFrame:
     measurements = merge_last_wins(kept, schema.measurement_map(prices)) if prices else kept
     return rows.select(
         *[c for c in (SOURCE, "error") if c in rows.columns],
-        F.coalesce(series, F.lit("")).alias("series_id"),
-        parse_timestamp(raw_time).alias("timestamp"),
+        F.coalesce(series.cast("string"), F.lit("")).alias("series_id"),
+        at.alias("timestamp"),
         F.coalesce(raw_time, F.lit("")).alias("timestamp_raw"),
         measurements.alias("measurements"),
         F.lit(None).cast(schema.METADATA).alias("metadata"),
