@@ -8,6 +8,7 @@ may have any type), or typed canonical columns. Both end in the canonical record
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import partial
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -55,10 +56,11 @@ def _first_error(*rules: tuple[Column, Column | str]) -> Column:
     )
 
 
-def _bad_key(record: Column) -> Column:
+def _bad_key(entries: Column) -> Column:
     """The first measurement that is neither number nor text."""
-    kind = lambda e: _kind(e["value"])
-    bad = F.filter(F.map_entries(_entries(record)), lambda e: ~_is_number(kind(e)) & (kind(e) != "STRING"))
+    bad = F.filter(
+        F.map_entries(entries), lambda e: ~_kind(e["value"]).rlike(rf"{NUMBER_KINDS}|^STRING")
+    )
     return F.get(bad, F.lit(0))["key"]
 
 
@@ -67,21 +69,35 @@ def _bad_measurement(key: Column) -> Column:
 
 
 def time_series_error(record: Column) -> Column:
-    """First broken rule of a time-series record, or null. The rules are tried in order."""
-    whole = _kind(record)
-    sid, ts, ms = [_kind(field(record, n)) for n in ("series_id", "timestamp", "measurements")]
-    return _first_error(
-        (~whole.startswith("OBJECT"), "Record must be a dictionary"),
-        (sid == "ABSENT", "Missing required field: series_id"),
-        (ts == "ABSENT", "Missing required field: timestamp"),
-        (ms == "ABSENT", "Missing required field: measurements"),
-        ((sid != "STRING") | (_text(record, "series_id") == ""), "series_id must be a non-empty string"),
-        (ts != "STRING", "timestamp must be a string"),
-        (~ms.startswith("OBJECT"), "measurements must be a dictionary"),
-        (F.size(_entries(record)) == 0, "measurements must contain at least one key-value pair"),
-        (_bad_key(record).isNotNull(), _bad_measurement(_bad_key(record))),
+    """First broken rule of a time-series record, or null. The rules are tried in order.
+
+    What several rules look at is taken out of the record once. Typing a whole object is
+    costly, so that happens only when a field is absent.
+    """
+    parts = F.struct(
+        _kind(field(record, "series_id")).alias("series"),
+        _text(record, "series_id").alias("name"),
+        _kind(field(record, "timestamp")).alias("time"),
+        _entries(record).alias("entries"),
     )
 
+    def rules(p: Column) -> Column:
+        no_map = p["entries"].isNull()
+        return _first_error(
+            ((p["series"] == "ABSENT") & ~_kind(record).startswith("OBJECT"), "Record must be a dictionary"),
+            (p["series"] == "ABSENT", "Missing required field: series_id"),
+            (p["time"] == "ABSENT", "Missing required field: timestamp"),
+            (no_map & (_kind(field(record, "measurements")) == "ABSENT"), "Missing required field: measurements"),
+            ((p["series"] != "STRING") | (p["name"] == ""), "series_id must be a non-empty string"),
+            (p["time"] != "STRING", "timestamp must be a string"),
+            (no_map, "measurements must be a dictionary"),
+            (F.size(p["entries"]) == 0, "measurements must contain at least one key-value pair"),
+            # null when no key is bad, and so is the text made of it
+            (F.lit(True), _bad_measurement(_bad_key(p["entries"]))),
+        )
+
+    return bound(parts, rules)
+
 
 def _price_field(record: Column, name: str) -> Column:
     """The first alias that holds something: record before measurements, alias by alias."""
@@ -93,6 +109,12 @@ def _price_field(record: Column, name: str) -> Column:
     return F.coalesce(*[F.when(_kind(t) != "VOID", t) for t in tries])
 
 
+def _price_error(name: str, v: Column) -> Column:
+    return F.when(v.isNotNull() & ~_is_number(_kind(v)), F.lit(f"{name} must be a number")).when(
+        F.try_variant_get(v, "$", "double") < 0, F.lit(f"{name} must be non-negative")
+    )
+
+
 def financial_error(record: Column) -> Column:
     """First broken rule of a price record, flat or nested, or null."""
     whole = _kind(record)
@@ -115,20 +137,17 @@ def financial_error(record: Column) -> Column:
         ),
     ]
     for name in ("open", "high", "low", "close", "vol"):
-        v = _price_field(record, name)
-        rules.append((v.isNotNull() & ~_is_number(_kind(v)), f"{name} must be a number"))
-        rules.append((F.try_variant_get(v, "$", "double") < 0, f"{name} must be non-negative"))
+        rules.append((F.lit(True), bound(_price_field(record, name), partial(_price_error, name))))
     # after conversion the time-series rules apply as well
     rules += [
         (_kind(field(record, "timestamp")) != "STRING", "timestamp must be a string"),
-        (_bad_key(record).isNotNull(), _bad_measurement(_bad_key(record))),
+        (F.lit(True), _bad_measurement(_bad_key(_entries(record)))),
     ]
     return _first_error(*rules)
 
 
 def _value(v: Column) -> Column:
-    kind = _kind(v)
-    number = F.when(_is_number(kind), F.try_variant_get(v, "$", "double"))
+    number = F.when(_is_number(_kind(v)), F.try_variant_get(v, "$", "double"))
     return F.struct(number.alias("num"), F.try_variant_get(v, "$", "string").alias("raw"))
 
 

@@ -40,7 +40,9 @@ def ingest(
         )
         done = records.process(records.json_records(numbered), record_type)
         unreadable = F.when(F.try_parse_json("value").isNull(), F.lit("Invalid JSON"))
-        parts = records.split(done.withColumn("error", F.coalesce(unreadable, "error")))
+        # accepted and rejected are two actions over one parse
+        checked = done.withColumn("error", F.coalesce(unreadable, "error")).persist()
+        parts = records.split(checked)
         parts.rejected.select(*REJECT_COLUMNS).write.mode("overwrite").parquet(
             f"{rejects_path}/batch={batch_id}"
         )
@@ -48,6 +50,7 @@ def ingest(
             batch.sparkSession, store_path, parts.accepted.drop("value"),
             ["batch_id", "file_time", "line_id"],
         )
+        checked.unpersist()
 
     return (
         lines.writeStream.foreachBatch(merge)
