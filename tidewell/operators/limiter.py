@@ -11,6 +11,8 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -72,42 +74,46 @@ def fixed_window(
     key_type = events.schema[key].dataType.simpleString()
     shape = f"`{key}` {key_type}, `{chunking.CHUNK}` int"
 
-    def summarise(ids: tuple, chunk: pd.DataFrame) -> pd.DataFrame:
+    def rows(like: pa.Table, ids: tuple, **columns: np.ndarray) -> pa.Table:
+        n = len(next(iter(columns.values())))
+        same = [
+            pa.array([i.as_py()] * n, like.schema.field(k).type) for k, i in zip(keys, ids)
+        ]
+        return pa.table([*same, *[pa.array(c, pa.int64()) for c in columns.values()]], [*keys, *columns])
+
+    def summarise(ids: tuple, chunk: pa.Table) -> pa.Table:
         entries, results = _exits(np.unique(chunk[_US].to_numpy()), width)
-        return pd.DataFrame(
-            {key: ids[0], chunking.CHUNK: ids[1], "entry": entries, "result": results}
-        )
+        return rows(chunk, ids, entry=entries, result=results)
 
     def enter(ids: tuple, summary: pd.DataFrame) -> pd.DataFrame:
         """Fold the chunk summaries of one key into each chunk's open window on entry."""
         summary = summary.sort_values([chunking.CHUNK, "entry"])
         opened: int | None = None
-        rows = []
+        found = []
         for chunk, part in summary.groupby(chunking.CHUNK):
             if opened is not None:
-                rows.append((ids[0], chunk, opened))
+                found.append((ids[0], chunk, opened))
             at = 0 if opened is None else np.searchsorted(part["entry"], opened + width, side="left")
             if at < len(part):
                 opened = int(part["result"].iloc[at])
-        return pd.DataFrame(rows, columns=[key, chunking.CHUNK, "window_us"])
+        return pd.DataFrame(found, columns=[key, chunking.CHUNK, "window_us"])
 
-    def starts(ids: tuple, chunk: pd.DataFrame) -> pd.DataFrame:
-        times = np.unique(chunk.loc[chunk["window_us"].isna(), _US].to_numpy())
-        opened = chunk["window_us"].max()
-        first = 0 if pd.isna(opened) else int(np.searchsorted(times, opened + width, side="left"))
-        return pd.DataFrame(
-            {key: ids[0], chunking.CHUNK: ids[1], "window_us": _walk(times, width, first)}
-        )
+    def starts(ids: tuple, chunk: pa.Table) -> pa.Table:
+        """Window starts of one chunk, given the window that is open on entry, if any."""
+        times = np.unique(chunk[_US].drop_null().to_numpy())
+        opened = pc.max(chunk["window_us"]).as_py()
+        first = 0 if opened is None else int(np.searchsorted(times, opened + width, side="left"))
+        return rows(chunk, ids, window_us=_walk(times, width, first))
 
     start_shape = f"{shape}, window_us long"
     if bounds:
-        summaries = moments.groupBy(*keys).applyInPandas(summarise, f"{shape}, entry long, result long")
+        summaries = moments.groupBy(*keys).applyInArrow(summarise, f"{shape}, entry long, result long")
         opened = summaries.groupBy(key).applyInPandas(enter, start_shape)
         entered = moments.unionByName(opened, allowMissingColumns=True)
-        marks = entered.groupBy(*keys).applyInPandas(starts, start_shape).unionByName(opened)
+        marks = entered.groupBy(*keys).applyInArrow(starts, start_shape).unionByName(opened)
     else:
         entered = moments.withColumn("window_us", F.lit(None).cast("long"))
-        marks = entered.groupBy(*keys).applyInPandas(starts, start_shape)
+        marks = entered.groupBy(*keys).applyInArrow(starts, start_shape)
 
     # starts re-enter the timeline as rows; each event takes the latest start up to it
     marks = marks.withColumn(_US, F.col("window_us")).withColumn(chunking.EDGE, F.lit(-1))

@@ -156,9 +156,10 @@ def _neighbours(
     marked = chunking.with_chunk(df, order[0], bounds).withColumns(
         {f"__mark{i}": m for i, m in marks.items()}
     )
+    rank = {i: F.when(F.col(f"__mark{i}").isNotNull(), F.struct(*order)) for i in marks}
     summary = marked.groupBy(*by, chunking.CHUNK).agg(
-        *[F.max_by(f"__mark{i}", f"__mark{i}.at").alias(f"__before{i}") for i in marks],
-        *[F.min_by(f"__mark{i}", f"__mark{i}.at").alias(f"__after{i}") for i in marks],
+        *[F.max_by(f"__mark{i}", rank[i]).alias(f"__before{i}") for i in marks],
+        *[F.min_by(f"__mark{i}", rank[i]).alias(f"__after{i}") for i in marks],
     )
     keys = [F.col(k) for k in (*by, chunking.CHUNK)]
 

@@ -58,7 +58,7 @@ def tenant_rows(df: DataFrame, user, column: str = "user_id") -> DataFrame:
 
 def metric(name: str, df: DataFrame | None = None) -> Column:
     """The metric from the map; from a column of that name when there is no map entry."""
-    from_map = F.element_at("measurements", name)["num"]
+    from_map = F.col("measurements")[name]["num"]
     if df is not None and name in df.columns:
         return F.when(F.col("measurements").isNotNull(), from_map).otherwise(F.col(name).cast("double"))
     return from_map

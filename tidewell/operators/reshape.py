@@ -21,7 +21,7 @@ def measurement_keys(df: DataFrame, column: str = "measurements") -> list[str]:
 
 
 def _value(key: str, kind: str) -> Column:
-    return F.element_at("measurements", key)[kind]
+    return F.col("measurements")[key][kind]
 
 
 def flatten(

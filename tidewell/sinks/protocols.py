@@ -224,37 +224,40 @@ def timescale_lines(df: DataFrame, table: str = "time_series_data") -> DataFrame
     return timescale_rows(df).select(F.concat(F.lit(head), F.concat_ws(", ", *values), F.lit(");")).alias("value"))
 
 
-def _spelled(name: str, part: str) -> Column:
-    """First spelling that holds something; zero counts as absent."""
-    tries = [F.element_at("measurements", s) for s in EXPORT_SPELLINGS[name]]
-    return F.coalesce(*[F.when(F.coalesce(t["num"], F.lit(1.0)) != 0, t[part]) for t in tries])
+def _spelled(name: str) -> Column:
+    """The first spelling that holds something; zero counts as absent."""
+    tries = [F.col("measurements")[s] for s in EXPORT_SPELLINGS[name]]
+    return F.coalesce(*[F.when(F.coalesce(t["num"], F.lit(1.0)) != 0, t) for t in tries])
 
 
 def stooq_rows(df: DataFrame, default_ticker: str = "UNKNOWN", default_period: str = "D") -> DataFrame:
     """The ten text columns of a Stooq file; records without a readable time are left out."""
 
-    def price(name: str) -> Column:
-        number = _spelled(name, "num")
-        return F.coalesce(
-            F.when(number.isNotNull(), two_decimals(number)), _spelled(name, "raw"), F.lit("")
-        )
-
-    def amount(name: str) -> Column:
-        number = F.coalesce(_spelled(name, "num"), _spelled(name, "raw").try_cast("double"))
-        return F.coalesce(number.try_cast("bigint"), F.lit(0)).cast("string")
-
     def given(c: Column) -> Column:
         return F.nullif(c, F.lit(""))
 
-    metadata, period = F.col("metadata"), F.element_at("measurements", "period")["raw"]
+    def price(v: Column) -> Column:
+        return F.coalesce(two_decimals(v["num"]), v["raw"], F.lit(""))
+
+    def amount(v: Column) -> Column:
+        number = F.coalesce(v["num"], v["raw"].try_cast("double"))
+        return F.coalesce(number.try_cast("bigint"), F.lit(0)).cast("string")
+
+    metadata, period = F.col("metadata"), F.col("measurements")["period"]["raw"]
+    # values are picked first and formatted next, which keeps the generated code small
+    picked = df.where(F.col("timestamp").isNotNull()).select(
+        F.coalesce(given(metadata["ticker"]), given(F.col("series_id")), F.lit(default_ticker)).alias("ticker"),
+        F.coalesce(given(period), given(metadata["period"]), F.lit(default_period)).alias("period"),
+        "timestamp",
+        *[_spelled(n).alias(n) for n in EXPORT_SPELLINGS],
+    )
     columns = [
-        F.coalesce(given(F.element_at(metadata, "ticker")), given(F.col("series_id")), F.lit(default_ticker)),
-        F.coalesce(given(period), given(F.element_at(metadata, "period")), F.lit(default_period)),
+        F.col("ticker"),
+        F.col("period"),
         F.date_format("timestamp", "yyyyMMdd"),
         F.date_format("timestamp", "HHmmss"),
-        *[price(n) for n in ("open", "high", "low", "close")],
-        amount("vol"),
-        amount("openint"),
+        *[price(F.col(n)) for n in ("open", "high", "low", "close")],
+        amount(F.col("vol")),
+        amount(F.col("openint")),
     ]
-    timed = df.where(F.col("timestamp").isNotNull())
-    return timed.select(*[c.alias(n) for c, n in zip(columns, STOOQ_COLUMNS)])
+    return picked.select(*[c.alias(n) for c, n in zip(columns, STOOQ_COLUMNS)])

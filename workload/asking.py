@@ -285,4 +285,4 @@ def plot_table(spark, sf):
 def series_metadata(spark, sf):
     rows = records(spark, sf)
     joined = store.with_series_metadata(rows.select("event_id", "series_id", "metadata"), rows)
-    return joined.select("event_id", "series_id", F.element_at("metadata", "user").alias("user"))
+    return joined.select("event_id", "series_id", F.col("metadata")["user"].alias("user"))

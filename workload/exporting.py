@@ -38,7 +38,7 @@ def line_protocol_text(spark, sf):
             F.array(F.lit("kind"), F.lit("value")),
             F.array(
                 F.struct(F.lit(None).cast("double").alias("num"), F.col("kind").alias("raw")),
-                F.element_at("measurements", "value"),
+                F.col("measurements")["value"],
             ),
         ).alias("measurements"),
     )
@@ -137,7 +137,7 @@ def proto_json(spark, sf):
     return rows.select(
         "series_id", F.col("timestamp").cast("bigint").alias("ns"),
         *[F.element_at("fields", m).cast("double").alias(m) for m in ("value", "k")],
-        F.element_at("metadata", "user").alias("user"),
+        F.col("metadata")["user"].alias("user"),
     )
 
 
@@ -311,7 +311,7 @@ def roundtrip_stooq(spark, sf):
     got = rec.split(formats.read_records(spark, path, "txt")).accepted
     return got.select(
         "series_id", "timestamp", rounded(q.metric("open"), 2).alias("open"), rounded(q.metric("close"), 2).alias("close"),
-        q.metric("vol").alias("vol"), F.element_at("measurements", "period")["raw"].alias("period"),
+        q.metric("vol").alias("vol"), F.col("measurements")["period"]["raw"].alias("period"),
     )
 
 

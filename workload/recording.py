@@ -73,7 +73,7 @@ def process_batch(spark, sf):
     accepted = rec.split(_processed(spark, sf)).accepted
     return accepted.select(
         "event_id", "series_id", "timestamp", q.metric("value").alias("value"), q.metric("k").alias("k"),
-        F.element_at("metadata", "user").alias("user"),
+        F.col("metadata")["user"].alias("user"),
     )
 
 

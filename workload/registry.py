@@ -64,6 +64,12 @@ EVENTS = (
 GAPPY = EVENTS + ", g AS (SELECT *, CASE WHEN k >= 15 THEN value END AS v FROM ev)"
 
 
+def _numbers(names: list[str]) -> Column:
+    """The columns hold no nulls; looking up a key of ``create_map`` folds back to its column."""
+    pairs = [x for n in names for x in (F.lit(n), schema.number_value(F.col(n)))]
+    return F.create_map(*pairs)
+
+
 def records(spark: SparkSession, sf: str) -> DataFrame:
     """Canonical records: measurements ``value`` and ``k``, the user as metadata."""
     e = events(spark, sf)
@@ -71,10 +77,8 @@ def records(spark: SparkSession, sf: str) -> DataFrame:
         F.col("event_type").alias("series_id"),
         F.col("ts").alias("timestamp"),
         iso_text(F.col("ts")).alias("timestamp_raw"),
-        schema.measurement_map(
-            {"value": schema.number_value(F.col("value")), "k": schema.number_value(F.col("k"))}
-        ).alias("measurements"),
-        schema.string_map({"user": F.col("user_id")}).alias("metadata"),
+        _numbers(["value", "k"]).alias("measurements"),
+        F.create_map(F.lit("user"), F.col("user_id").cast("string")).alias("metadata"),
         F.lit("events").alias("format"),
         "event_id",
     )
@@ -110,8 +114,8 @@ def bar_records(spark: SparkSession, sf: str) -> DataFrame:
         F.col("ticker").alias("series_id"),
         "timestamp",
         iso_text(F.col("timestamp")).alias("timestamp_raw"),
-        schema.measurement_map({n: schema.number_value(F.col(n)) for n in names}).alias("measurements"),
-        schema.string_map({"ticker": F.col("ticker")}).alias("metadata"),
+        _numbers(names).alias("measurements"),
+        F.create_map(F.lit("ticker"), F.col("ticker")).alias("metadata"),
         F.lit("orders").alias("format"),
         "o_orderkey",
     )
