@@ -244,20 +244,18 @@ def stooq_rows(df: DataFrame, default_ticker: str = "UNKNOWN", default_period: s
         return F.coalesce(number.try_cast("bigint"), F.lit(0)).cast("string")
 
     metadata, period = F.col("metadata"), F.col("measurements")["period"]["raw"]
-    # values are picked first and formatted next, which keeps the generated code small
-    picked = df.where(F.col("timestamp").isNotNull()).select(
-        F.coalesce(given(metadata["ticker"]), given(F.col("series_id")), F.lit(default_ticker)).alias("ticker"),
-        F.coalesce(given(period), given(metadata["period"]), F.lit(default_period)).alias("period"),
-        "timestamp",
-        *[_spelled(n).alias(n) for n in EXPORT_SPELLINGS],
-    )
-    columns = [
-        F.col("ticker"),
-        F.col("period"),
+    # One expression over an array instead of six copies of it: the generated method of six
+    # copies is too long for the JVM to compile, and runs several times slower.
+    texts = F.transform(F.array(*[_spelled(n) for n in ("open", "high", "low", "close")]), price)
+    counts = F.transform(F.array(_spelled("vol"), _spelled("openint")), amount)
+    head = [
+        F.coalesce(given(metadata["ticker"]), given(F.col("series_id")), F.lit(default_ticker)),
+        F.coalesce(given(period), given(metadata["period"]), F.lit(default_period)),
         F.date_format("timestamp", "yyyyMMdd"),
         F.date_format("timestamp", "HHmmss"),
-        *[price(F.col(n)) for n in ("open", "high", "low", "close")],
-        amount(F.col("vol")),
-        amount(F.col("openint")),
     ]
-    return picked.select(*[c.alias(n) for c, n in zip(columns, STOOQ_COLUMNS)])
+    rows = df.where(F.col("timestamp").isNotNull()).select(
+        *[c.alias(n) for c, n in zip(head, STOOQ_COLUMNS)], texts.alias("texts"), counts.alias("counts")
+    )
+    cells = [F.get("texts", F.lit(i)) for i in range(4)] + [F.get("counts", F.lit(i)) for i in range(2)]
+    return rows.select(*STOOQ_COLUMNS[:4], *[c.alias(n) for c, n in zip(cells, STOOQ_COLUMNS[4:])])
