@@ -99,14 +99,10 @@ def time_series_error(record: Column) -> Column:
     return bound(parts, rules)
 
 
-def _price_field(record: Column, name: str) -> Column:
+def _price_field(top: Column, inner: Column, name: str) -> Column:
     """The first alias that holds something: record before measurements, alias by alias."""
-    tries = []
-    for alias in schema.ALIASES[name]:
-        tries += [
-            field(record, alias), F.try_variant_get(record, f"$.measurements['{alias}']", "variant")
-        ]
-    return F.coalesce(*[F.when(_kind(t) != "VOID", t) for t in tries])
+    tries = [place[alias] for alias in schema.ALIASES[name] for place in (top, inner)]
+    return F.coalesce(*[F.when(~F.is_variant_null(t), t) for t in tries])
 
 
 def _price_error(name: str, v: Column) -> Column:
@@ -117,33 +113,39 @@ def _price_error(name: str, v: Column) -> Column:
 
 def financial_error(record: Column) -> Column:
     """First broken rule of a price record, flat or nested, or null."""
-    whole = _kind(record)
-    ticker = F.nullif(_text(record, "ticker"), F.lit(""))
-    ident = F.coalesce(ticker, F.nullif(_text(record, "series_id"), F.lit("")))
-    ident_kind = F.when(ticker.isNotNull(), _kind(field(record, "ticker"))).otherwise(
-        _kind(field(record, "series_id"))
+    parts = F.struct(
+        F.try_variant_get(record, "$", "map<string,variant>").alias("top"),
+        _entries(record).alias("entries"),
     )
+    return bound(parts, lambda p: _price_rules(p["top"], p["entries"]))
+
+
+def _price_rules(top: Column, entries: Column) -> Column:
+    def text(name: str) -> Column:
+        return F.nullif(F.try_variant_get(top[name], "$", "string"), F.lit(""))
+
+    ident_kind = F.when(text("ticker").isNotNull(), _kind(top["ticker"])).otherwise(_kind(top["series_id"]))
     any_number = F.coalesce(
-        F.exists(F.map_values(_entries(record)), lambda v: _is_number(_kind(v))), F.lit(False)
+        F.exists(F.map_values(entries), lambda v: _is_number(_kind(v))), F.lit(False)
     )
-    rules = [
-        (~whole.startswith("OBJECT"), "Record must be a dictionary"),
-        (ident.isNull(), "Missing required field: ticker or series_id"),
-        (_kind(field(record, "timestamp")) == "ABSENT", "Missing required field: timestamp"),
+    time_kind = _kind(top["timestamp"])
+    return _first_error(
+        (top.isNull(), "Record must be a dictionary"),
+        (F.coalesce(text("ticker"), text("series_id")).isNull(), "Missing required field: ticker or series_id"),
+        (time_kind == "ABSENT", "Missing required field: timestamp"),
         (ident_kind != "STRING", "ticker/series_id must be a non-empty string"),
         (
-            _price_field(record, "close").isNull() & ~any_number,
+            _price_field(top, entries, "close").isNull() & ~any_number,
             "Missing required field: close (or any numeric measurement)",
         ),
-    ]
-    for name in ("open", "high", "low", "close", "vol"):
-        rules.append((F.lit(True), bound(_price_field(record, name), partial(_price_error, name))))
-    # after conversion the time-series rules apply as well
-    rules += [
-        (_kind(field(record, "timestamp")) != "STRING", "timestamp must be a string"),
-        (F.lit(True), _bad_measurement(_bad_key(_entries(record)))),
-    ]
-    return _first_error(*rules)
+        *[
+            (F.lit(True), bound(_price_field(top, entries, name), partial(_price_error, name)))
+            for name in ("open", "high", "low", "close", "vol")
+        ],
+        # after conversion the time-series rules apply as well
+        (time_kind != "STRING", "timestamp must be a string"),
+        (F.lit(True), _bad_measurement(_bad_key(entries))),
+    )
 
 
 def _value(v: Column) -> Column:
