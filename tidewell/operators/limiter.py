@@ -10,13 +10,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell.plans import chunking
+from tidewell.session import written
 
 _US = "__us"
 
@@ -45,10 +45,88 @@ def _exits(times: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
             last[i] = last[following[i]]
     upto = int(np.searchsorted(times, times[0] + window, side="left")) + 1
     entries, results = times[:upto], last[:upto]
+    return _merged(entries, results)
+
+
+def _rows(like: pa.Table, names: Sequence[str], ids: Sequence, **columns: np.ndarray) -> pa.Table:
+    """A table of the group's keys, repeated, next to integer ``columns``."""
+    n = len(next(iter(columns.values())))
+    same = [pa.array([i.as_py()] * n, like.schema.field(k).type) for k, i in zip(names, ids)]
+    return pa.table([*same, *[pa.array(c, pa.int64()) for c in columns.values()]], [*names, *columns])
+
+
+def _lead(entries: np.ndarray, results: np.ndarray, opened: np.ndarray, width: int) -> np.ndarray:
+    """The open window after a stretch of time, for each window open before it."""
+    at = np.searchsorted(entries, opened + width, side="left")
+    inside = at < len(entries)
+    after = opened.copy()
+    after[inside] = results[at[inside]]
+    return after
+
+
+def _merged(entries: np.ndarray, results: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     ends = np.append(results[1:] != results[:-1], True)
     return entries[ends], results[ends]
 
 
+def _side(pair: pa.Table, right: bool) -> tuple[np.ndarray, np.ndarray]:
+    half = pair.filter(pc.equal(pc.bit_wise_and(pair[chunking.CHUNK], 1), int(right)))
+    half = half.filter(pc.is_valid(half["entry"])).sort_by("entry")
+    return half["entry"].to_numpy(), half["result"].to_numpy()
+
+
+def _open_on_entry(summaries: DataFrame, key: str, width: int) -> DataFrame:
+    """The window open when each chunk begins: a parallel prefix over the chunk summaries.
+
+    Going up, summaries of neighbouring chunks are joined pairwise; going down, what enters a
+    pair is handed to its halves. A task holds two summaries at most, however busy a key is,
+    and there are as many rounds as doublings of the number of chunks.
+    """
+    key_type = summaries.schema[key].dataType.simpleString()
+    shape = f"`{key}` {key_type}, `{chunking.CHUNK}` int"
+    parent = F.shiftright(chunking.CHUNK, 1).alias("__parent")
+    names = [key, chunking.CHUNK]
+
+    def join(ids: tuple, pair: pa.Table) -> pa.Table:
+        (le, lr), (re, rr) = _side(pair, False), _side(pair, True)
+        entries = np.concatenate([le, re])
+        results = np.concatenate([_lead(re, rr, lr, width) if len(re) else lr, rr])
+        return _rows(pair, names, ids, **dict(zip(("entry", "result"), _merged(entries, results))))
+
+    def hand_down(ids: tuple, pair: pa.Table) -> pa.Table:
+        opened = pc.max(pair["window_us"]).as_py()
+        left = _side(pair, False)
+        known = [] if opened is None else [(0, opened)]
+        if not len(left[0]):
+            known += [] if opened is None else [(1, opened)]
+        elif opened is None:
+            known.append((1, int(left[1][0])))
+        else:
+            known.append((1, int(_lead(*left, np.array([opened]), width)[0])))
+        both = [(2 * ids[1].as_py() + side, at) for side, at in known]
+        columns = [
+            pa.array([ids[0].as_py()] * len(both), pair.schema.field(key).type),
+            pa.array([c for c, _ in both], pa.int32()),
+            pa.array([at for _, at in both], pa.int64()),
+        ]
+        return pa.table(columns, [*names, "window_us"])
+
+    levels = [summaries]
+    last = summaries.agg(F.max(chunking.CHUNK)).first()[0] or 0
+    for _ in range(last.bit_length()):
+        paired = levels[-1].withColumn("__parent", parent).groupBy(key, "__parent")
+        levels.append(written(paired.applyInArrow(join, f"{shape}, entry long, result long"), "level"))
+    opened = None
+    for level in reversed(levels[:-1]):
+        halves = level.withColumn("window_us", F.lit(None).cast("long"))
+        if opened is not None:
+            halves = halves.unionByName(opened.withColumn("__parent", F.col(chunking.CHUNK)), allowMissingColumns=True)
+        halves = halves.withColumn("__parent", F.coalesce("__parent", parent) if opened is not None else parent)
+        opened = halves.groupBy(key, "__parent").applyInArrow(hand_down, f"{shape}, window_us long")
+        opened = written(opened, "opened")
+    return opened
+
+
 def fixed_window(
     events: DataFrame,
     key: str,
@@ -74,41 +152,23 @@ def fixed_window(
     key_type = events.schema[key].dataType.simpleString()
     shape = f"`{key}` {key_type}, `{chunking.CHUNK}` int"
 
-    def rows(like: pa.Table, ids: tuple, **columns: np.ndarray) -> pa.Table:
-        n = len(next(iter(columns.values())))
-        same = [
-            pa.array([i.as_py()] * n, like.schema.field(k).type) for k, i in zip(keys, ids)
-        ]
-        return pa.table([*same, *[pa.array(c, pa.int64()) for c in columns.values()]], [*keys, *columns])
-
     def summarise(ids: tuple, chunk: pa.Table) -> pa.Table:
         entries, results = _exits(np.unique(chunk[_US].to_numpy()), width)
-        return rows(chunk, ids, entry=entries, result=results)
-
-    def enter(ids: tuple, summary: pd.DataFrame) -> pd.DataFrame:
-        """Fold the chunk summaries of one key into each chunk's open window on entry."""
-        summary = summary.sort_values([chunking.CHUNK, "entry"])
-        opened: int | None = None
-        found = []
-        for chunk, part in summary.groupby(chunking.CHUNK):
-            if opened is not None:
-                found.append((ids[0], chunk, opened))
-            at = 0 if opened is None else np.searchsorted(part["entry"], opened + width, side="left")
-            if at < len(part):
-                opened = int(part["result"].iloc[at])
-        return pd.DataFrame(found, columns=[key, chunking.CHUNK, "window_us"])
+        return _rows(chunk, keys, ids, entry=entries, result=results)
 
     def starts(ids: tuple, chunk: pa.Table) -> pa.Table:
         """Window starts of one chunk, given the window that is open on entry, if any."""
         times = np.unique(chunk[_US].drop_null().to_numpy())
         opened = pc.max(chunk["window_us"]).as_py()
         first = 0 if opened is None else int(np.searchsorted(times, opened + width, side="left"))
-        return rows(chunk, ids, window_us=_walk(times, width, first))
+        return _rows(chunk, keys, ids, window_us=_walk(times, width, first))
 
     start_shape = f"{shape}, window_us long"
     if bounds:
-        summaries = moments.groupBy(*keys).applyInArrow(summarise, f"{shape}, entry long, result long")
-        opened = summaries.groupBy(key).applyInPandas(enter, start_shape)
+        summaries = written(
+            moments.groupBy(*keys).applyInArrow(summarise, f"{shape}, entry long, result long"), "summaries"
+        )
+        opened = _open_on_entry(summaries, key, width)
         entered = moments.unionByName(opened, allowMissingColumns=True)
         marks = entered.groupBy(*keys).applyInArrow(starts, start_shape).unionByName(opened)
     else:
