@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tidewell.operators import limiter, missing
+from tidewell.operators import limiter, missing, reshape
 from tidewell.plans import chunking, quantiles
 
 ORDER = ["ts", "id"]
@@ -116,3 +116,14 @@ def test_grouped_quantiles(skewed, size):
     for _, r in got.iterrows():
         w = want.loc[[r["s"]]] if r["s"] is not None else want[want.index.isna()]
         assert (r["q1"], r["med"]) == pytest.approx(tuple(w.iloc[0]))
+
+
+@pytest.mark.parametrize("size", [None, 100])
+def test_arrays_are_bounded_and_whole(skewed, size):
+    value = F.create_map(F.lit("v"), F.struct(F.col("v").alias("num"), F.col("v").cast("string").alias("raw")))
+    records = skewed.select(F.col("s").alias("series_id"), F.col("ts").alias("timestamp"), value.alias("measurements"))
+    bounds = chunking.chunk_bounds(records, "timestamp", size) if size else []
+    got = reshape.aligned_arrays(records, ["v"], "day", 50, bounds).toPandas()
+    assert got["timestamps"].map(len).max() == 50
+    assert got["timestamps"].map(len).sum() == skewed.count()
+    assert all(list(t) == sorted(t) for t in got["timestamps"])

@@ -7,7 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewell.plans import chunking
+
 MAX_KEYS = 10_000
+POINTS_PER_ROW = 10_000
 
 
 def measurement_keys(df: DataFrame, column: str = "measurements") -> list[str]:
@@ -70,20 +73,39 @@ def unpivot_long(df: DataFrame, numeric_only: bool = True) -> DataFrame:
     return long.select("series_id", "timestamp", "measurement", value, text, *carried)
 
 
-def aligned_arrays(df: DataFrame, keys: Sequence[str] | None = None, block: str = "day") -> DataFrame:
-    """Per series and time block: the time vector and one vector per measurement, gaps kept null.
+def in_blocks(
+    df: DataFrame, by: Sequence[str], block: str, points: int, bounds: Sequence[float] | None = None
+) -> DataFrame:
+    """Number time-ordered blocks of at most ``points`` rows within each ``by`` and time unit.
+
+    Adds ``block`` (start of the unit) and ``part``. A busy series has many rows per unit, so
+    the unit alone would not bound what is collected into one row.
+    """
+    timed = df.where(F.col("timestamp").isNotNull()).withColumn("block", F.date_trunc(block, "timestamp"))
+    placed = chunking.row_positions(timed, ["timestamp"], [*by, "block"], "__at", bounds)
+    return placed.withColumn("part", F.floor((F.col("__at") - 1) / points)).drop("__at")
+
+
+def aligned_arrays(
+    df: DataFrame,
+    keys: Sequence[str] | None = None,
+    block: str = "day",
+    points: int = POINTS_PER_ROW,
+    bounds: Sequence[float] | None = None,
+) -> DataFrame:
+    """Per series and block: the time vector and one vector per measurement, gaps kept null.
 
-    Blocks bound the arrays; a whole series would not fit one row at scale.
+    A whole series would not fit one row at scale, so vectors come in bounded blocks.
     """
     keys = measurement_keys(df) if keys is None else keys
     entry = F.struct(F.col("timestamp"), *[_value(k, "num").alias(k) for k in keys])
     blocks = (
-        df.where(F.col("timestamp").isNotNull())
-        .groupBy("series_id", F.date_trunc(block, "timestamp").alias("block"))
+        in_blocks(df, ["series_id"], block, points, bounds)
+        .groupBy("series_id", "block", "part")
         .agg(F.array_sort(F.array_agg(entry)).alias("rows"))
     )
     return blocks.select(
-        "series_id", "block",
+        "series_id", "block", "part",
         F.col("rows.timestamp").alias("timestamps"),
         *[F.col(f"rows.{k}").alias(k) for k in keys],
     )

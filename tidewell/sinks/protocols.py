@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.functions.tokens import two_decimals
-from tidewell.operators.reshape import unpivot_long
+from tidewell.operators.reshape import POINTS_PER_ROW, in_blocks, unpivot_long
 from tidewell.sources.stooq import STOOQ_COLUMNS
 
 # Spellings of the price fields on export, tried in this order.
@@ -173,21 +173,24 @@ def tdengine_lines(df: DataFrame, table: str = "time_series_data") -> DataFrame:
     )
 
 
-def victoria_rows(df: DataFrame, block: str | None = None) -> DataFrame:
-    """(metric labels, values, timestamps). One point per row, or one row per series,
-    measurement and time block such as ``hour``: blocks bound the arrays.
+def victoria_rows(
+    df: DataFrame, block: str | None = None, points: int = POINTS_PER_ROW, bounds=None
+) -> DataFrame:
+    """(metric labels, values, timestamps). One point per row, or with a time unit such as
+    ``hour`` one row per series, measurement and unit, of at most ``points`` points.
     """
     long = unpivot_long(df)
     labels = _label_map(F.concat_ws("_", "series_id", "measurement"))
-    point = F.struct(F.unix_millis("timestamp").alias("t"), F.col("value").alias("v"))
     if block is None:
         return long.select(
             labels.alias("metric"), F.array("value").alias("values"),
             F.array(F.unix_millis("timestamp")).alias("timestamps"),
         )
-    grouped = long.groupBy(
-        "series_id", "measurement", F.date_trunc(block, "timestamp").alias("block")
-    ).agg(F.array_sort(F.array_agg(point)).alias("p"), F.min_by("metadata", "timestamp").alias("metadata"))
+    point = F.struct(F.unix_millis("timestamp").alias("t"), F.col("value").alias("v"))
+    keys = ["series_id", "measurement"]
+    grouped = in_blocks(long, keys, block, points, bounds).groupBy(*keys, "block", "part").agg(
+        F.array_sort(F.array_agg(point)).alias("p"), F.min_by("metadata", "timestamp").alias("metadata")
+    )
     return grouped.select(
         labels.alias("metric"), F.col("p.v").alias("values"), F.col("p.t").alias("timestamps")
     )
