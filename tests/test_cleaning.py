@@ -194,3 +194,18 @@ def test_describe_equals_pandas(spark):
 def test_histogram_of_a_constant(spark):
     df = spark.createDataFrame([(2.0,), (2.0,), (None,)], "v double")
     assert [tuple(r) for r in profile.histogram(df, "v").collect()] == [(0, 2.0, 2)]
+
+
+def test_long_gaps_are_filled_in_blocks(spark):
+    df = spark.createDataFrame([(day(1, 0), 1.0), (day(1, 3), 2.0)], "timestamp timestamp, v double")
+    out = resample(df, "timestamp", "1s", "sum")
+    total = out.agg(F.count("*"), F.countDistinct("timestamp"), F.sum("v"), F.count_if(F.col("v") == 0)).first()
+    assert tuple(total) == (10801, 10801, 3.0, 10799)
+
+
+def test_resample_scans_once(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.createDataFrame([(day(1), "a", 1.0)], "timestamp timestamp, s string, v double").write.parquet(path)
+    plan = resample(spark.read.parquet(path), "timestamp", "1h", "mean", ["s"])
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert text.count("FileScan") == 1 and "Join" not in text

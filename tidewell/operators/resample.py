@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewell.operators.columns import as_timestamp
+from tidewell.plans import chunking
 from tidewell.plans.quantiles import grouped_quantiles, known
 
 # Seconds per unit of the frequency text.
@@ -23,7 +24,6 @@ CALENDAR = {
     "Y": "year", "YE": "year", "A": "year",
 }
 NUMERIC_ONLY = {"mean", "sum", "median", "std", "var"}
-# a spine is exploded in blocks, so no row ever holds a long array
 SPINE_BLOCK = 4096
 
 
@@ -116,17 +116,22 @@ def _aggregate(method: str, column: str, text: bool, order: Sequence[str]) -> Co
     raise ValueError(f"unknown resample method {method!r}")
 
 
-def spine(bins: DataFrame, by: Sequence[str], number: str) -> DataFrame:
-    """Every bin number between the first and last of each ``by`` group."""
-    span = bins.groupBy(*by).agg(F.min(number).alias("__lo"), F.max(number).alias("__hi"))
-    span = span.where(F.col("__lo").isNotNull())
-    blocks = span.select(
-        *by, "__lo", "__hi",
-        F.explode(F.sequence(F.floor(F.col("__lo") / SPINE_BLOCK), F.floor(F.col("__hi") / SPINE_BLOCK))).alias("__b"),
-    )
+def with_empty_bins(grouped: DataFrame, by: Sequence[str], number: str, values: Sequence[str]) -> DataFrame:
+    """Add a row without values for every bin missing between a group's first and last one.
+
+    Each bin is followed by the gap up to the next, so the table is neither scanned again nor
+    joined. The window sees aggregated rows only; their number depends on the grid, not on the
+    data. Gaps are exploded in blocks, so no row ever holds a long array.
+    """
+    following = F.lead(number).over(chunking.along(by, [number]))
+    reach = grouped.withColumn("__hi", F.coalesce(following - 1, F.col(number))).withColumnRenamed(number, "__lo")
+    first, last = F.floor(F.col("__lo") / SPINE_BLOCK), F.floor(F.col("__hi") / SPINE_BLOCK)
+    blocks = reach.withColumn("__b", F.explode(F.sequence(first, last)))
     low = F.greatest(F.col("__lo"), F.col("__b") * SPINE_BLOCK)
     high = F.least(F.col("__hi"), (F.col("__b") + 1) * SPINE_BLOCK - 1)
-    return blocks.select(*by, F.explode(F.sequence(low, high)).alias(number))
+    bins = blocks.withColumn(number, F.explode(F.sequence(low, high)))
+    own = F.col(number) == F.col("__lo")
+    return bins.select(*by, number, *[F.when(own, F.col(v)).alias(v) for v in values])
 
 
 def resample(
@@ -168,8 +173,7 @@ def resample(
     medians = [v for v in values if how[v] == "median"]
     plain = [_aggregate(how[v], v, v in text, order).alias(v) for v in values if v not in medians]
     grouped = binned.groupBy(*keys).agg(F.count("*").alias("__rows"), *plain)
-    full = spine(binned, by, number)
-    out = _left(full, grouped, keys)
+    out = with_empty_bins(grouped, by, number, [v for v in values if v not in medians])
     for v in medians:
         out = _left(out, grouped_quantiles(binned, keys, v, {v: 0.5}), keys)
     zero = {"sum": 0.0, "count": 0}
