@@ -209,3 +209,16 @@ def test_resample_scans_once(spark, tmp_path):
     plan = resample(spark.read.parquet(path), "timestamp", "1h", "mean", ["s"])
     text = plan._jdf.queryExecution().executedPlan().toString()
     assert text.count("FileScan") == 1 and "Join" not in text
+
+
+def test_resample_and_interpolate_as_steps(spark):
+    df = spark.createDataFrame([(day(1, 0), "a", 1.0), (day(1, 2), "a", 3.0)], "timestamp timestamp, s string, v double")
+    done = clean(
+        df,
+        [{"operation": "resample", "params": {"freq": "1H"}}, {"operation": "interpolate", "params": {}}],
+        partition_by=["s"],
+    )
+    assert [s.applied for s in done.report] == [True, True]
+    assert values(done.df, key="timestamp") == [1.0, 2.0, 3.0]
+    text = clean(df.drop("v"), [{"operation": "resample", "params": {"freq": "1H"}}])
+    assert not text.report[0].applied
