@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm import line_dedup
+from tidewell.llm import decontamination, line_dedup, warc
 from tidewell.llm.common import UPPER, table
+from tidewell.session import work_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -46,3 +47,60 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     kept = line_dedup.dedup_lines(docs)
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text"), 256).alias("kept_sha256"))
+
+
+_WORDS = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
+
+
+@query(
+    "op10_decontamination",
+    f"""
+    WITH i AS (SELECT item_id, regexp_extract_all(translate(text, {_LOWER}), {_WORDS}) AS w FROM benchmark),
+    windows AS (
+      SELECT DISTINCT item_id, size, list_slice(w, s, s + size - 1) AS win FROM (
+        SELECT item_id, w, least(len(w), 13) AS size, unnest(range(1, len(w) - least(len(w), 13) + 2)) AS s
+        FROM i WHERE len(w) > 0)),
+    d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_LOWER}), {_WORDS}) AS w FROM documents),
+    places AS (
+      SELECT doc_id, w, s, size FROM (SELECT DISTINCT size FROM windows) z,
+        LATERAL (SELECT doc_id, w, unnest(range(1, len(w) - size + 2)) AS s FROM d WHERE len(w) >= size) p),
+    hits AS (SELECT p.doc_id, p.s, p.size, x.item_id FROM places p
+             JOIN windows x ON x.size = p.size AND x.win = list_slice(p.w, p.s, p.s + p.size - 1)),
+    words AS (SELECT doc_id, count(DISTINCT pos) AS n FROM (
+        SELECT doc_id, unnest(range(s, s + size)) AS pos FROM hits) GROUP BY doc_id),
+    found AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS ids FROM (
+        SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY doc_id)
+    SELECT d.doc_id, len(d.w) AS n_words, coalesce(words.n, 0) AS n_hit, coalesce(found.n, 0) AS n_items,
+           sha256(coalesce(found.ids, '')) AS items_sha256,
+           coalesce(words.n, 0) > 0 AND 20 * coalesce(words.n, 0) >= len(d.w) AS contaminated
+    FROM d LEFT JOIN words ON d.doc_id = words.doc_id LEFT JOIN found ON d.doc_id = found.doc_id""",
+)
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+    return out.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        "contaminated",
+    )
+
+
+@query(
+    "op7_warc",
+    """
+    WITH p AS (SELECT page_id, coalesce(html, '') AS html, octet_length(encode(coalesce(html, ''))) AS size FROM pages),
+    g AS (SELECT *, max(page_id) OVER (PARTITION BY html) AS top FROM p)
+    SELECT page_id, CAST(size AS BIGINT) AS payload_bytes, sha1(html) AS payload_digest,
+           CASE WHEN size >= 1000 AND page_id IS DISTINCT FROM top AND top IS NOT NULL THEN 'revisit' ELSE 'response' END
+             AS record_type,
+           CASE WHEN size >= 1000 AND page_id IS DISTINCT FROM top THEN top END AS refers_to
+    FROM g""",
+)
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    path = work_path(spark, "archives")
+    warc.write_warc(pages, path)
+    return warc.read_warc(spark, path).drop("intact")
