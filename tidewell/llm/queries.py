@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm import decontamination, line_dedup, warc
+from tidewell.llm import decontamination, licences, line_dedup, warc
 from tidewell.llm.common import UPPER, table
 from tidewell.session import work_path
 
@@ -104,3 +104,8 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = work_path(spark, "archives")
     warc.write_warc(pages, path)
     return warc.read_warc(spark, path).drop("intact")
+
+
+@query("op2_license_scan", licences.licence_sql(_WORDS, _LOWER))
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan_licences(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
