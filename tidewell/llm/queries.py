@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm import decontamination, licences, line_dedup, warc
+from tidewell.llm import chat, decontamination, licences, line_dedup, packing, sharding, warc
 from tidewell.llm.common import UPPER, table
 from tidewell.session import work_path
 
@@ -109,3 +109,42 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_license_scan", licences.licence_sql(_WORDS, _LOWER))
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan_licences(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
+@query("op1_best_fit_packing")
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+
+
+@query("op8_sharding", sharding.shard_sql())
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign_shards(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
+@query(
+    "op3_chat_formatting",
+    """
+    WITH t AS (SELECT conv_id, turn, role, text, CAST(floor(turn / 512.0) AS BIGINT) AS block, count(*) AS n
+               FROM conversations GROUP BY ALL),
+    s AS (SELECT DISTINCT conv_id, CASE WHEN role <> 'system' THEN role END AS perspective FROM t),
+    p AS (SELECT conv_id, perspective FROM s
+          QUALIFY perspective IS NOT NULL OR max(perspective) OVER (PARTITION BY conv_id) IS NULL),
+    e AS (SELECT t.*, perspective, role IS NOT DISTINCT FROM perspective AND role IS NOT NULL AS own,
+            '<|im_start|>' || CASE WHEN role IS NOT NULL AND role = perspective THEN 'assistant'
+              WHEN role = 'system' THEN 'system' WHEN role IS NULL THEN 'user'
+              ELSE 'user name=' || regexp_replace(replace(role, '<|', '< |'), '[ \\t\\n\\x0B\\f\\r]', '_', 'g') END || chr(10) AS head,
+            replace(coalesce(text, ''), '<|', '< |') || '<|im_end|>' AS body
+          FROM t JOIN p ON t.conv_id IS NOT DISTINCT FROM p.conv_id),
+    o AS (SELECT *, coalesce(sum(length(head) + length(body) + 1) OVER w, 0) + length(head) AS start FROM e
+          WINDOW w AS (PARTITION BY conv_id, perspective, block
+            ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+    SELECT conv_id, perspective, block, count(*) AS n_turns, CAST(sum(n) AS BIGINT) AS n_rows,
+           string_agg(head || body || chr(10), '' ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS text,
+           coalesce(string_agg(CAST(start AS BIGINT) || '-' || CAST(start + length(body) AS BIGINT), ',' ORDER BY start)
+             FILTER (own), '') AS mask
+    FROM o GROUP BY conv_id, perspective, block""",
+)
+def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = chat.rotate_perspectives(table(spark, sf_dir, "conversations"))
+    spans = F.transform("mask", lambda s: F.concat_ws("-", s["start"].cast("string"), s["end"].cast("string")))
+    return out.withColumn("mask", F.array_join(spans, ","))
