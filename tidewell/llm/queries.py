@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm import chat, decontamination, licences, line_dedup, packing, sharding, warc
+from tidewell.llm import chat, decontamination, language, licences, line_dedup, packing, sharding, warc
 from tidewell.llm.common import UPPER, table
 from tidewell.session import work_path
 
@@ -148,3 +148,11 @@ def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = chat.rotate_perspectives(table(spark, sf_dir, "conversations"))
     spans = F.transform("mask", lambda s: F.concat_ws("-", s["start"].cast("string"), s["end"].cast("string")))
     return out.withColumn("mask", F.array_join(spans, ","))
+
+
+@query("op9_language_id")
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language.fit_languages(docs)
+    out = language.identify_languages(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score", "rejected")
