@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm import chat, decontamination, language, licences, line_dedup, packing, sharding, warc
+from tidewell.llm import chat, decontamination, language, licences, line_dedup, packing, sharding, topk, warc
 from tidewell.llm.common import UPPER, table
 from tidewell.session import work_path
 
@@ -156,3 +156,20 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = language.fit_languages(docs)
     out = language.identify_languages(docs.select("doc_id", "text"), model)
     return out.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score", "rejected")
+
+
+@query(
+    "op6_exact_top_k",
+    """
+    WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
+               FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+                 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    s AS (SELECT a.vec_id AS query_id, b.vec_id, CAST(list_sum(list_transform(range(1, len(a.q) + 1),
+                 lambda i: a.q[i] * b.q[i])) AS BIGINT) AS score
+          FROM v a JOIN v b ON a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id AND len(a.q) = len(b.q))
+    SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id, score
+    FROM s QUALIFY rank <= 20""",
+)
+def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return topk.top_k(vectors, vectors.where(F.col("vec_id") % 20 == 0))
