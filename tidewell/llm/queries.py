@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm import chat, decontamination, language, licences, line_dedup, packing, sharding, topk, warc
+from tidewell.llm import chat, decontamination, jaccard, language, licences, line_dedup, packing, sharding, topk, warc
 from tidewell.llm.common import UPPER, table
 from tidewell.session import work_path
 
@@ -173,3 +173,23 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return topk.top_k(vectors, vectors.where(F.col("vec_id") % 20 == 0))
+
+
+@query(
+    "op5_ngram_jaccard",
+    f"""
+    WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_LOWER}), '[^\\x20\\x09-\\x0D]+') AS w
+                         FROM documents),
+    s AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + 4), ' ') AS sh
+          FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM d WHERE len(w) > 0)),
+    n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+    links AS (SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS common FROM s x JOIN s y
+                USING (sh) WHERE x.doc_id <> y.doc_id GROUP BY ALL) p
+              JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * common >= 75 * (na.n + nb.n - common)),
+    reach AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
+    SELECT a AS doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(b) AS component_id
+    FROM reach LEFT JOIN n ON n.doc_id = a GROUP BY a""",
+)
+def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = jaccard.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return groups.withColumnRenamed("doc", "doc_id")
