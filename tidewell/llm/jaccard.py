@@ -40,16 +40,16 @@ SIDE = 1024
 
 
 class Bands:
-    """Size bands: below ``FINE``, then doubling. ``spread``: shingles per part at the top of a band."""
+    """Size bands: below ``fine``, then doubling. ``spread``: shingles per part at the top of a band."""
 
-    def __init__(self, num: int, den: int, spread: float):
-        self.num, self.den, self.spread = num, den, spread
+    def __init__(self, num: int, den: int, spread: float, fine: int = FINE):
+        self.num, self.den, self.spread, self.fine = num, den, spread, fine
 
     def of(self, n: int) -> int:
-        return (n // FINE).bit_length()
+        return (n // self.fine).bit_length()
 
     def top(self, band: int) -> int:
-        return (FINE << band) - 1
+        return (self.fine << band) - 1
 
     def parts(self, band: int) -> int:
         # the larger the set, the less its number of parts that are not zero strays
@@ -189,13 +189,13 @@ def _verified(num: int, den: int):
     return run
 
 
-def candidates(classes: DataFrame, num: int, den: int, all_shingles: int, spread: float) -> DataFrame | None:
+def candidates(classes: DataFrame, bands: Bands, all_shingles: int) -> DataFrame | None:
     """(tok, node, n): of each class (node, text) the first parts that others hold as well.
 
-    None if some set has too few parts that are not zero to be decided at this ``spread``.
+    None if some set has too few parts that are not zero to be decided in these bands.
     """
     buckets = max(1, all_shingles // 250_000)
-    sketched = classes.mapInArrow(_sketched(Bands(num, den, spread), buckets), _SKETCHED)
+    sketched = classes.mapInArrow(_sketched(bands, buckets), _SKETCHED)
     held = written(sketched.groupBy("bucket").applyInArrow(_held_twice, _HELD), "held")
     if not held.where("c < 0").isEmpty():
         return None
@@ -312,7 +312,8 @@ def _documents(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 def near_duplicates(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", num: int = 75, den: int = 100, spread: float = 2.8
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", num: int = 75, den: int = 100, spread: float = 2.8,
+    fine: int = FINE,
 ) -> DataFrame:
     """One row per document: ``doc``, ``n_shingles`` and ``component_id``, the smallest id that links lead to.
 
@@ -322,7 +323,7 @@ def near_duplicates(
     document: what one of them links with, all do. A row without an id is known by its text: ``doc`` is then
     a number from ``UNNAMED`` on, as is the ``component_id`` of a group without any id. Every row of the
     input gives a row, an empty table none; extra columns take no part. ``spread`` (shingles per part of
-    the sketch) changes the work, not the result.
+    the sketch) and ``fine`` (sets below this size are not folded) change the work, not the result.
     """
     base = _documents(docs, doc_id, text)
     said = F.arrow_udf(_sets, "n long, a long, b long")
@@ -335,7 +336,7 @@ def near_duplicates(
     total = classes.agg(F.sum("n")).first()[0] or 0
     members = None
     while members is None:
-        members = candidates(first, num, den, total, spread)
+        members = candidates(first, Bands(num, den, spread, fine), total)
         spread /= 2
     texts = written(first.join(written(members.select("node").distinct(), "wanted"), "node", "left_semi"), "texts")
     # an id with several texts ties their classes
