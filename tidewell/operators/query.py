@@ -12,27 +12,19 @@ from tidewell import schema
 from tidewell.functions.tokens import byte_size, parse_any
 from tidewell.operators.resample import with_direction
 
-# Row limits of a range query, and metrics preferred for a plot.
-DEFAULT_ROWS = 1000
-MOST_ROWS = 10_000
+# Metrics preferred for a plot.
 PREFERRED_METRICS = ["close", "value", "temperature", "price"]
 
 
-def clamp_limit(limit: int | None) -> int:
-    if limit is None or limit <= 0:
-        return DEFAULT_ROWS
-    return min(limit, MOST_ROWS)
-
-
 def series_range(
     df: DataFrame,
     series_id: str,
     start=None,
     end=None,
-    limit: int | None = DEFAULT_ROWS,
+    limit: int | None = None,
     ties: Sequence[str] = (),
 ) -> DataFrame:
-    """Rows of one series, both ends inclusive, oldest first, limited."""
+    """Rows of one series, both ends inclusive, oldest first; ``limit`` of them if given, otherwise all."""
     if not series_id:
         raise ValueError("series_id is required")
     rows = df.where(F.col("series_id") == series_id)
@@ -40,7 +32,8 @@ def series_range(
         rows = rows.where(F.col("timestamp") >= F.lit(start).cast("timestamp"))
     if end is not None:
         rows = rows.where(F.col("timestamp") <= F.lit(end).cast("timestamp"))
-    return rows.orderBy("timestamp", *ties).limit(clamp_limit(limit))
+    rows = rows.orderBy("timestamp", *ties)
+    return rows if limit is None else rows.limit(limit)
 
 
 def half_open_range(df: DataFrame, start, end) -> DataFrame:
@@ -168,9 +161,9 @@ def file_inventory(spark: SparkSession, path: str) -> DataFrame:
 
 
 def search_files(
-    inventory: DataFrame, text: str = "", extension: str | None = None, series: str = "", limit: int = 100
+    inventory: DataFrame, text: str = "", extension: str | None = None, series: str = "", limit: int | None = None
 ) -> DataFrame:
-    """Case-insensitive substring search over keys, first matches by key."""
+    """Case-insensitive substring search over keys, by key; the first ``limit`` matches if given."""
     key = F.lower("key")
     rows = inventory
     if text:
@@ -179,4 +172,5 @@ def search_files(
         rows = rows.where(F.contains(key, F.lit(series.lower())))
     if extension and extension != "All":
         rows = rows.where(F.endswith(key, F.lit(f".{extension.lower()}")))
-    return rows.orderBy("key").limit(limit)
+    rows = rows.orderBy("key")
+    return rows if limit is None else rows.limit(limit)

@@ -8,18 +8,28 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewell.operators.duplicates import comparable
-from tidewell.session import written
+from tidewell.session import work_path
 
 KEYS = ("series_id", "timestamp")
 
 
-def latest_versions(df: DataFrame, version: Sequence[str], keys: Sequence[str] = KEYS) -> DataFrame:
+#: set by ``upsert``: what arrives wins over what is stored
+WAVE = "__wave"
+
+
+def latest_versions(df: DataFrame, version: Sequence[str] = (), keys: Sequence[str] = KEYS) -> DataFrame:
     """One row per key, the one with the highest version: the last write wins.
 
-    Spark cuts each key to one row per input partition before the shuffle.
+    A row without a readable time is no version of another one: only rows equal in all columns but
+    ``version`` are one. Spark cuts each key to one row per input partition before the shuffle.
     """
     keyed = {f"__k{i}": comparable(df, k) for i, k in enumerate(keys)}
-    newest = Window.partitionBy(*keyed).orderBy(*[F.col(v).desc() for v in version])
+    if "timestamp" in keys:
+        rest = [c for c in df.columns if c not in (*keys, *version, "date", WAVE)]
+        untimed = F.col("timestamp").isNull()
+        keyed |= {f"__u{i}": F.when(untimed, comparable(df, c)) for i, c in enumerate(rest)}
+    order = [F.col(v).desc() for v in ([WAVE] if WAVE in df.columns else []) + list(version)]
+    newest = Window.partitionBy(*keyed).orderBy(*(order or [F.lit(0)]))
     ranked = df.withColumns(keyed).withColumn("__rn", F.row_number().over(newest))
     return ranked.where(F.col("__rn") == 1).drop("__rn", *keyed)
 
@@ -39,9 +49,14 @@ def save(df: DataFrame, path: str) -> None:
     _laid_out(with_date(df)).write.partitionBy("date").parquet(path, mode="errorifexists")
 
 
+def stored(spark: SparkSession, path: str) -> DataFrame:
+    """All records, with the columns of all files: a later one may have more."""
+    return spark.read.option("mergeSchema", True).parquet(path)
+
+
 def load(spark: SparkSession, path: str) -> DataFrame:
     """Records that carry a time, as the plots read them; nothing is capped."""
-    return spark.read.parquet(path).where(F.col("timestamp").isNotNull())
+    return stored(spark, path).where(F.col("timestamp").isNotNull())
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -49,31 +64,48 @@ def exists(spark: SparkSession, path: str) -> bool:
     return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop_path)
 
 
-def upsert(spark: SparkSession, path: str, arriving: DataFrame, version: Sequence[str]) -> None:
+def _remove(spark: SparkSession, path: str) -> None:
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop_path, True)
+
+
+def upsert(spark: SparkSession, path: str, arriving: DataFrame, version: Sequence[str] = ()) -> None:
     """Merge ``arriving`` into the store; the same series and time overwrites.
 
-    Only the dates that ``arriving`` touches are read and rewritten. The merged rows are
-    written to the shared folder first and moved from there, so the store is never read and
-    overwritten by one job, and a failed job can be repeated.
+    Arriving rows win over stored ones, whatever their ``version``; among arriving rows of one key the highest
+    version wins. Records without a readable time are kept, in the partition of the null date. Columns that
+    only one side has stay. Only the dates that ``arriving`` touches are read and rewritten. The merged rows
+    are written to the shared folder first and moved from there, so the store is never read and overwritten
+    by one job, and a failed job can be repeated; the staged copies are removed after the commit.
     """
-    fresh = with_date(arriving).where(F.col("date").isNotNull())
+    fresh = with_date(arriving).withColumn(WAVE, F.lit(1))
     if not exists(spark, path):
-        _laid_out(latest_versions(fresh, version)).write.partitionBy("date").parquet(path)
+        _laid_out(latest_versions(fresh, version).drop(WAVE)).write.partitionBy("date").parquet(path)
         return
-    staged = written(fresh, "arriving")
-    dates = [r["date"] for r in staged.select("date").distinct().collect()]  # one per touched day
-    if not dates:
-        return
-    old = spark.read.parquet(path).where(F.col("date").isin(dates))
-    merged = latest_versions(old.unionByName(staged, allowMissingColumns=True), version)
-    ready = written(merged, "merged")
-    (
-        _laid_out(ready)
-        .write.partitionBy("date")
-        .option("partitionOverwriteMode", "dynamic")
-        .mode("overwrite")
-        .parquet(path)
-    )
+    root = work_path(spark, "upsert")
+    fresh.write.parquet(f"{root}/arriving")
+    staged = spark.read.schema(fresh.schema).parquet(f"{root}/arriving")
+    span = staged.agg(
+        F.min("date").alias("low"), F.max("date").alias("high"), F.count("*").alias("n"), F.count("date").alias("dated")
+    ).first()
+    if span["n"]:
+        old = stored(spark, path).withColumn(WAVE, F.lit(0))
+        # the span prunes folders before anything is read, the semi join leaves the touched ones
+        days = staged.select("date").where("date IS NOT NULL").distinct()
+        touched = old.where(F.col("date").between(F.lit(span["low"]), F.lit(span["high"]))).join(days, "date", "left_semi")
+        both = touched.unionByName(staged, allowMissingColumns=True)
+        if span["dated"] < span["n"]:
+            both = both.unionByName(old.where(F.col("date").isNull()), allowMissingColumns=True)
+        merged = latest_versions(both, version).drop(WAVE)
+        merged.write.parquet(f"{root}/merged")
+        (
+            _laid_out(spark.read.schema(merged.schema).parquet(f"{root}/merged"))
+            .write.partitionBy("date")
+            .option("partitionOverwriteMode", "dynamic")
+            .mode("overwrite")
+            .parquet(path)
+        )
+    _remove(spark, root)
 
 
 def new_keys(before: DataFrame, after: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from tidewell.forecast import models
 from tidewell.forecast.trend import Z80, forecast
-from tidewell.operators import limiter
+from tidewell.operators import limiter, store
 from tidewell.operators import query as q
 from tidewell.session import work_path
 from tidewell.streaming import ingest, windows
@@ -100,12 +100,12 @@ def stream_rate_limit_session(spark, sf):
     return windows.run_now(spark, sessions, mode="append")
 
 
-_UNIQUE = "WITH {e} SELECT event_type AS series_id, ts AS timestamp, CASE WHEN k <> 10 THEN value END AS value FROM ev WHERE k >= 10 AND k <> 11"
+_UNIQUE = "WITH {e} SELECT event_type AS series_id, CASE WHEN k <> 11 THEN ts END AS timestamp, CASE WHEN k <> 10 THEN value END AS value FROM ev WHERE k >= 10"
 
 
 @query("stream_ingest", _UNIQUE.format(e=EVENTS))
 def stream_ingest(spark, sf):
-    """Files land, are validated and merged into the store; records without a time stay out of it."""
+    """Files land, are validated and merged into the store, whether their time can be read or not."""
     root = work_path(spark, "ingest")
     json_lines(spark, sf).select("value").write.text(f"{root}/landing")
     ingest.ingest(
@@ -114,6 +114,26 @@ def stream_ingest(spark, sf):
     return spark.read.parquet(f"{root}/store").select("series_id", "timestamp", q.metric("value").alias("value"))
 
 
+@query(
+    "ingest_conservation",
+    f"WITH {EVENTS} SELECT count(*) AS arrived, count(*) FILTER (k >= 10) AS stored, count(*) FILTER (k < 10) AS rejected FROM ev",
+)
+def ingest_conservation(spark, sf):
+    """Every line is stored or rejected, also when all of them land again."""
+    root = work_path(spark, "ingest")
+    lines = json_lines(spark, sf).select("value")
+    for _ in range(2):
+        lines.write.mode("append").text(f"{root}/landing")
+        ingest.ingest(
+            spark, f"{root}/landing", f"{root}/store", f"{root}/rejects", f"{root}/checkpoint"
+        ).awaitTermination()
+    return spark.range(1).select(
+        F.lit(lines.count()).alias("arrived"),
+        F.lit(store.stored(spark, f"{root}/store").count()).alias("stored"),
+        F.lit(spark.read.parquet(f"{root}/rejects").where("batch = 0").count()).alias("rejected"),
+    )
+
+
 @query(
     "stream_rejects",
     f"WITH {EVENTS} SELECT CASE k " + " ".join(

@@ -240,6 +240,23 @@ def upsert_latest_wins(spark, sf):
     return store.load(spark, path).select("series_id", "timestamp", "event_id", "value")
 
 
+@query(
+    "upsert_same_version",
+    f"WITH {EVENTS}, e AS (SELECT event_type AS series_id, date_trunc('hour', ts) AS timestamp, max(value) AS value, max(k) AS k FROM ev GROUP BY 1, 2) "
+    "SELECT series_id, timestamp, CASE WHEN k >= 60 THEN value + 1000 ELSE value END AS value, CASE WHEN k >= 60 THEN k END AS extra FROM e",
+)
+def upsert_same_version(spark, sf):
+    """The last write wins without any version, and brings a column the store did not have."""
+    e = events(spark, sf).groupBy(
+        F.col("event_type").alias("series_id"), F.date_trunc("hour", "ts").alias("timestamp")
+    ).agg(F.max("value").alias("value"), F.max("k").alias("extra"))
+    path = work_path(spark, "store")
+    store.upsert(spark, path, e.drop("extra"))
+    store.upsert(spark, path, e.where("extra >= 60").withColumn("value", F.col("value") + 1000))
+    store.upsert(spark, path, e.where("extra < 60").drop("extra"))
+    return store.load(spark, path).select("series_id", "timestamp", "value", "extra")
+
+
 @query(
     "new_keys",
     f"WITH {EVENTS} SELECT DISTINCT event_type AS series_id, date_trunc('hour', ts) AS timestamp FROM ev WHERE k >= 20 "
