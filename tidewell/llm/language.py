@@ -32,15 +32,15 @@ def normal(text: bytes) -> np.ndarray:
     return raw[~(blank & np.concatenate([[False], blank[:-1]]))]
 
 
-def buckets(raw: np.ndarray, size: int) -> np.ndarray:
-    """Hash buckets of all subwords of 1 to 4 bytes."""
+def buckets(raw: np.ndarray, size: int, before: int = 0) -> np.ndarray:
+    """Hash buckets of all subwords of 1 to 4 bytes that do not end in the first ``before`` bytes."""
     wide = raw.astype(np.uint64)
     out, key = [], np.zeros(len(raw), np.uint64)
     for n in GRAMS:
         if len(raw) < n:
             break
         key = key[: len(raw) - n + 1] * np.uint64(257) + wide[n - 1 :] + np.uint64(1)
-        out.append((key * _ODD) >> np.uint64(64 - size))
+        out.append((key[max(0, before - n + 1) :] * _ODD) >> np.uint64(64 - size))
     return np.concatenate(out).astype(np.int64) if out else np.zeros(0, np.int64)
 
 
@@ -64,7 +64,8 @@ class Model:
         total, count = np.zeros(len(self.languages)), 0
         over = max(GRAMS) - 1
         for start in range(0, max(len(raw), 1), BLOCK):
-            own = buckets(raw[max(0, start - over) : start + BLOCK], self.bits)
+            first = max(0, start - over)
+            own = buckets(raw[first : start + BLOCK], self.bits, start - first)
             total += np.bincount(own, minlength=len(self.table)) @ self.table if len(own) > 1 << 14 else self.table[own].sum(0)
             count += len(own)
         return total / max(count, 1) + self.bias

@@ -94,8 +94,9 @@ def assign_shards(
 
 
 def write_shards(docs: DataFrame, path: str, **options) -> None:
-    """One folder per shard; a shard fits a task, and tasks follow the number of shards."""
-    sharded = assign_shards(docs, **options)
+    """One folder per shard, ``shard=b`` and its bits; a shard fits a task, and tasks follow the number of shards."""
+    # the letter keeps readers from taking the bits for a number
+    sharded = assign_shards(docs, **options).withColumn("shard", F.concat(F.lit("b"), "shard"))
     sharded.repartition("shard").write.partitionBy("shard").parquet(path)
 
 
