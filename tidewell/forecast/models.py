@@ -46,9 +46,19 @@ class Regression:
 
 
 def _vectors(df: DataFrame, features: Sequence[str]) -> DataFrame:
+    """The rows without a null feature, as vectors."""
     return VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="skip").transform(df)
 
 
+def _predicted(model, df: DataFrame, features: Sequence[str]) -> DataFrame:
+    """All rows of ``df`` with ``prediction``, null where a feature is missing."""
+    missing = F.lit(False)
+    for f in features:
+        missing = missing | F.col(f).isNull() | F.isnan(F.col(f).cast("double"))
+    known = model.transform(_vectors(df.where(~missing), features)).drop("features")
+    return known.unionByName(df.where(missing), allowMissingColumns=True)
+
+
 def boosted_trees(
     df: DataFrame,
     features: Sequence[str],
@@ -58,16 +68,19 @@ def boosted_trees(
     rounds: int = 100,
     test_share: float = 0.2,
 ) -> Regression:
-    """Fit on a random 80 %, measure on the rest, predict the last ``last`` feature rows."""
-    rows = _vectors(df.withColumn("label", F.col(target).cast("double")).dropna(subset=["label"]), features)
-    train, test = rows.randomSplit([1 - test_share, test_share], seed=SEED)
+    """Fit on a random 80 % of the labelled rows, measure on the rest, predict the last ``last`` rows of all.
+
+    Rows without a label are predicted too; a row with a missing feature has a null prediction.
+    """
+    labelled = df.withColumn("label", F.col(target).cast("double")).dropna(subset=["label"])
+    train, test = _vectors(labelled, features).randomSplit([1 - test_share, test_share], seed=SEED)
     # depth 5 allows 32 leaves
     trees = GBTRegressor(maxIter=rounds, stepSize=0.05, maxDepth=5, seed=SEED)
     model = trees.fit(train)
     rmse = RegressionEvaluator(metricName="rmse").evaluate(model.transform(test))
-    recent = rows.orderBy(*[F.desc(o) for o in order]).limit(last)
+    recent = _predicted(model, df.orderBy(*[F.desc(o) for o in order]).limit(last), features)
     weights = dict(zip(features, model.featureImportances.toArray().tolist()))
-    return Regression(model.transform(recent).select(*order, "prediction"), rmse, weights, model)
+    return Regression(recent.select(*order, "prediction"), rmse, weights, model)
 
 
 def linear_regression(
@@ -83,6 +96,6 @@ def linear_regression(
 
 
 def clusters(df: DataFrame, features: Sequence[str], k: int = 3) -> tuple[DataFrame, object]:
-    rows = _vectors(df, features)
-    model = KMeans(k=k, seed=SEED).fit(rows)
-    return model.transform(rows).drop("features").withColumnRenamed("prediction", "cluster"), model
+    """All rows with ``cluster``, null where a feature is missing."""
+    model = KMeans(k=k, seed=SEED).fit(_vectors(df, features))
+    return _predicted(model, df, features).withColumnRenamed("prediction", "cluster"), model

@@ -124,7 +124,8 @@ def token_value(c: Column) -> Column:
 def byte_size(c: Column) -> Column:
     mega, kilo = 1024 * 1024, 1024
     return (
-        F.when(c >= mega, F.format_string("%.2f MB", c / mega))
+        F.when(c >= 1024 * mega, F.format_string("%.2f GB", c / (1024 * mega)))
+        .when(c >= mega, F.format_string("%.2f MB", c / mega))
         .when(c >= kilo, F.format_string("%.2f KB", c / kilo))
         .when(c.isNotNull(), F.format_string("%d B", c))
         .otherwise("N/A")

@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from tidewell import schema
 from tidewell.functions.tokens import iso_text
 
-_TOKEN = r"(?:[^\\, =]|\\.)+"
-_LINE = r"^((?:[^\\ ]|\\.)+) ((?:[^\" ]|\"(?:[^\"\\]|\\.)*\")+)(?: (-?\d+))?$"
-_FIELD = rf"({_TOKEN})=(\"(?:[^\"\\]|\\.)*\"|[^,]+)"
+# possessive repetition runs as a loop: a plain one recurses for every character of a long field
+_TOKEN = r"(?:[^\\, =]|\\.)++"
+_QUOTED = r"\"(?:[^\"\\]|\\.)*+\""
+_LINE = rf"^((?:[^\\ ]|\\.)++) ((?:[^\" ]|{_QUOTED})++)(?: (-?\d+))?$"
+_FIELD = rf"({_TOKEN})=({_QUOTED}|[^,]+)"
 _TAG = rf",({_TOKEN})=({_TOKEN})"
 
 
@@ -60,7 +62,7 @@ def line_protocol_records(lines: DataFrame, column: str = "value") -> DataFrame:
         F.transform(_group(F.col("head"), _TAG, 1), _unescape),
         F.transform(_group(F.col("head"), _TAG, 2), _unescape),
     )
-    name = _unescape(F.regexp_extract("head", r"^((?:[^\\,]|\\.)+)", 1))
+    name = _unescape(F.regexp_extract("head", r"^((?:[^\\,]|\\.)++)", 1))
     series = F.coalesce(F.element_at(tags, "series_id"), name)
     metadata = F.map_filter(tags, lambda k, _: k != "series_id")
     # integer division: a double cannot hold nanoseconds since 1970

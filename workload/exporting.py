@@ -9,6 +9,7 @@ from tidewell.plans import jobs
 from tidewell.session import work_path
 from tidewell.sinks import files, protocols
 from tidewell.sources import formats
+from tidewell.sources import protocols as protocol_sources
 from tidewell.sources import text as text_files
 from workload.registry import BARS, EVENTS, bar_records, bars, events, query, r, records, rounded, table
 
@@ -280,6 +281,22 @@ def roundtrip_line_protocol(spark, sf):
     return _back(_protocol(spark, sf, "influxdb"))
 
 
+@query(
+    "line_protocol_long_fields",
+    "SELECT CAST(doc_id AS VARCHAR) AS series_id, length(t) AS n, sha256(t) AS digest FROM ("
+    "SELECT doc_id, repeat(replace(replace(text, chr(10), ' '), chr(13), ' '), 20) AS t FROM documents)",
+)
+def line_protocol_long_fields(spark, sf):
+    """Fields of up to hundreds of kilobytes are read as written."""
+    docs = table(spark, sf, "documents")
+    text = F.repeat(F.translate("text", "\n\r", "  "), F.lit(20))
+    quoted = F.regexp_replace(text, r'(["\\])', r"\\$1")
+    line = F.concat(F.lit("docs,series_id="), F.col("doc_id").cast("string"), F.lit(' text="'), quoted, F.lit('" 1'))
+    read = protocol_sources.line_protocol_records(docs.select(line.alias("value")))
+    raw = F.col("measurements")["text"]["raw"]
+    return read.select("series_id", F.length(raw).cast("long").alias("n"), F.sha2(raw, 256).alias("digest"))
+
+
 @query("roundtrip_questdb", _BACK)
 def roundtrip_questdb(spark, sf):
     return _back(_protocol(spark, sf, "questdb"))

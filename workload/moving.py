@@ -219,7 +219,7 @@ def gbt_forecast(spark, sf):
         "l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_tax", "l_extendedprice"
     )
     fitted = models.boosted_trees(
-        rows, ["l_quantity", "l_discount", "l_tax"], "l_extendedprice", ["l_orderkey", "l_linenumber"], 30, rounds=10
+        rows, ["l_quantity", "l_discount", "l_tax"], "l_extendedprice", ["l_orderkey", "l_linenumber"], 30
     )
     return fitted.predictions.withColumn("rmse", F.lit(fitted.rmse))
 
