@@ -13,14 +13,33 @@ MAX_KEYS = 10_000
 POINTS_PER_ROW = 10_000
 
 
-def measurement_keys(df: DataFrame, column: str = "measurements") -> list[str]:
-    """Sorted union of the map keys. They become column names, so their number is checked."""
-    keys = (
-        df.select(F.explode(F.map_keys(column)).alias("k")).distinct().limit(MAX_KEYS + 1).collect()
-    )
-    if len(keys) > MAX_KEYS:
+def measurement_kinds(
+    df: DataFrame, keys: Sequence[str] | None = None, column: str = "measurements"
+) -> dict[str, str]:
+    """The map keys, sorted, with the field that keeps all their values: ``raw`` if one holds any text, else ``num``.
+
+    They become column names, so their number is checked; ``keys`` limits the look to these.
+    """
+    entries = df.select(F.explode(column).alias("k", "v"))
+    if keys is not None:
+        entries = entries.where(F.col("k").isin(list(keys)))
+    text = F.col("v")["num"].isNull() & F.col("v")["raw"].isNotNull()
+    found = entries.groupBy("k").agg(F.max(text).alias("text")).limit(MAX_KEYS + 1).collect()
+    if len(found) > MAX_KEYS:
         raise ValueError(f"more than {MAX_KEYS} measurements cannot become columns; use unpivot_long")
-    return sorted(r["k"] for r in keys)
+    kinds = {r["k"]: "raw" if r["text"] else "num" for r in found}
+    return {k: kinds.get(k, "num") for k in (sorted(kinds) if keys is None else keys)}
+
+
+def measurement_keys(df: DataFrame, column: str = "measurements") -> list[str]:
+    """Sorted union of the map keys."""
+    return list(measurement_kinds(df, column=column))
+
+
+def _kinds(df: DataFrame, keys: Sequence[str] | None, kind: str | None) -> dict[str, str]:
+    if kind is None:
+        return measurement_kinds(df, keys)
+    return dict.fromkeys(measurement_keys(df) if keys is None else keys, kind)
 
 
 def _value(key: str, kind: str) -> Column:
@@ -28,23 +47,27 @@ def _value(key: str, kind: str) -> Column:
 
 
 def flatten(
-    df: DataFrame, keys: Sequence[str] | None = None, prefix: str = "measurement_", kind: str = "num"
+    df: DataFrame, keys: Sequence[str] | None = None, prefix: str = "measurement_", kind: str | None = None
 ) -> DataFrame:
-    """One column per measurement, other columns kept; no pivot, no shuffle when keys are given."""
-    keys = measurement_keys(df) if keys is None else keys
+    """One column per measurement, other columns kept; no pivot, no shuffle of the rows.
+
+    Without ``kind`` a measurement that holds any text becomes a text column, all others numbers.
+    """
+    kinds = _kinds(df, keys, kind)
     rest = [c for c in df.columns if c != "measurements"]
-    return df.select(*rest, *[_value(k, kind).alias(f"{prefix}{k}") for k in keys])
+    return df.select(*rest, *[_value(k, t).alias(f"{prefix}{k}") for k, t in kinds.items()])
 
 
 def expand(
-    df: DataFrame, keys: Sequence[str] | None = None, on_conflict: str = "measurement", kind: str = "num"
+    df: DataFrame, keys: Sequence[str] | None = None, on_conflict: str = "measurement", kind: str | None = None
 ) -> DataFrame:
-    """Columns without prefix. On a name clash the measurement wins, or the column is kept."""
-    keys = measurement_keys(df) if keys is None else keys
+    """Columns without prefix, typed as in ``flatten``. On a name clash the measurement wins, or the column is kept."""
+    kinds = _kinds(df, keys, kind)
+    keys = list(kinds)
     if on_conflict == "keep":
         return df.select(
             *[c for c in df.columns if c != "measurements"],
-            *[_value(k, kind).alias(k) for k in keys if k not in df.columns],
+            *[_value(k, t).alias(k) for k, t in kinds.items() if k not in df.columns],
         )
     # a record without a map keeps its own field
     own = {
@@ -55,7 +78,7 @@ def expand(
         if c in keys
     }
     rest = [own[c].alias(c) if c in own else F.col(f"`{c}`") for c in df.columns if c != "measurements"]
-    return df.select(*rest, *[_value(k, kind).alias(k) for k in keys if k not in own])
+    return df.select(*rest, *[_value(k, t).alias(k) for k, t in kinds.items() if k not in own])
 
 
 def unpivot_long(df: DataFrame, numeric_only: bool = True) -> DataFrame:

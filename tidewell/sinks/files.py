@@ -23,18 +23,17 @@ def _flat(df: DataFrame, keys: Sequence[str] | None, text: bool) -> DataFrame:
     """Flattened with sorted columns; text sinks print the source tokens."""
     if "measurements" not in df.columns:
         return sorted_columns(df)
-    out = flatten(df, keys, kind="raw" if text else "num")
+    out = flatten(df, keys, kind="raw" if text else None)
     if text and "metadata" in out.columns:
         out = out.withColumn("metadata", F.to_json("metadata"))
     return sorted_columns(out)
 
 
 def write_json(df: DataFrame, path: str, compression: str = "none") -> None:
-    """JSON Lines. Numbers print as numbers, text as text."""
+    """JSON Lines. Numbers print as their source token, text as text."""
     out = df
     if "measurements" in df.columns:
-        value = lambda _, v: F.coalesce(v["num"].cast("variant"), v["raw"].cast("variant"))
-        out = df.withColumn("measurements", F.transform_values("measurements", value))
+        out = df.withColumn("measurements", F.transform_values("measurements", lambda _, v: protocols.token(v)))
     out.write.option("compression", compression).json(path)
 
 

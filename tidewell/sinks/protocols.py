@@ -139,15 +139,18 @@ def prometheus_rows(df: DataFrame) -> DataFrame:
     )
 
 
+def token(v: Column) -> Column:
+    """A measurement as a variant: the number or boolean as it was written, else the number, else the text."""
+    written = F.when(v["num"].isNotNull(), F.try_parse_json(v["raw"]))
+    return F.coalesce(written, v["num"].cast("variant"), v["raw"].cast("variant"))
+
+
 def protobuf_rows(df: DataFrame) -> DataFrame:
     """(series_id, timestamp in nanoseconds or the raw text, fields, metadata)."""
     at = F.coalesce(
         nanoseconds(F.col("timestamp")).cast("variant"), F.col("timestamp_raw").cast("variant")
     )
-    fields = F.transform_values(
-        "measurements",
-        lambda _, v: F.coalesce(v["num"].cast("variant"), v["raw"].cast("variant")),
-    )
+    fields = F.transform_values("measurements", lambda _, v: token(v))
     return df.select("series_id", at.alias("timestamp"), fields.alias("fields"), "metadata")
 
 

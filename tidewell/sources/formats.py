@@ -91,7 +91,8 @@ def detect_format(path: str) -> str | None:
 
 def _columnar(reader: str) -> Callable[[SparkSession, str], DataFrame]:
     def read(spark: SparkSession, path: str) -> DataFrame:
-        rows = spark.read.format(reader).load(path)
+        # files may differ in columns; what one lacks is null
+        rows = spark.read.format(reader).option("mergeSchema", True).load(path)
         return flat_records(rows.select("*", F.col("_metadata.file_path").alias(text.SOURCE)))
 
     return read

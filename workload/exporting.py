@@ -265,6 +265,81 @@ def roundtrip_orc(spark, sf):
     return _columnar(spark, sf, "orc")
 
 
+def _mixed(spark, sf, reader):
+    """Two files of one folder, each with a column the other lacks."""
+    path = work_path(spark, "mixed")
+    e = events(spark, sf).select(F.col("event_type").alias("series_id"), F.col("ts").alias("timestamp"), "event_id", "value", "k")
+    e.where("k < 50").drop("k").write.format(reader).save(f"{path}/one")
+    e.where("k >= 50").drop("value").write.format(reader).save(f"{path}/two")
+    rows = formats.read_records(spark, [f"{path}/one", f"{path}/two"], reader)
+    value = lambda m: F.col("measurements")[m]["num"]
+    return rows.select(
+        "series_id", "timestamp", value("event_id").cast("long").alias("event_id"), value("value").alias("value"), value("k").alias("k")
+    )
+
+
+_MIXED = f"WITH {EVENTS} SELECT event_type AS series_id, ts AS timestamp, event_id, CASE WHEN k < 50 THEN value END AS value, CAST(CASE WHEN k >= 50 THEN k END AS DOUBLE) AS k FROM ev"
+
+
+@query("parquet_mixed_columns", _MIXED)
+def parquet_mixed_columns(spark, sf):
+    return _mixed(spark, sf, "parquet")
+
+
+@query("orc_mixed_columns", _MIXED)
+def orc_mixed_columns(spark, sf):
+    return _mixed(spark, sf, "orc")
+
+
+@query(
+    "parquet_text_measurements",
+    "SELECT event_id, event_type AS kind, value, CAST(user_id + 9007199254740993 AS VARCHAR) AS big FROM events",
+)
+def parquet_text_measurements(spark, sf):
+    """Text and a mixed column stay what they are in a columnar export."""
+    e = table(spark, sf, "events")
+    pair = lambda num, raw: F.struct(num.cast("double").alias("num"), raw.cast("string").alias("raw"))
+    big = (F.col("user_id") + F.lit(9007199254740993)).cast("string")
+    rows = e.select(
+        "event_id",
+        F.map_from_arrays(
+            F.array(F.lit("kind"), F.lit("value"), F.lit("big")),
+            F.array(pair(F.lit(None), F.col("event_type")), pair(F.col("value"), F.col("value")), pair(F.lit(None), big)),
+        ).alias("measurements"),
+    )
+    path = work_path(spark, "text")
+    files.write_parquet(rows, path)
+    back = spark.read.parquet(path)
+    return back.withColumnsRenamed({f"measurement_{c}": c for c in ("kind", "value", "big")})
+
+
+@query(
+    "json_tokens",
+    "SELECT event_id, CAST(user_id + 9007199254740993 AS VARCHAR) AS big, CAST(user_id * 1000000 AS VARCHAR) AS round, "
+    "CASE WHEN user_id % 2 = 0 THEN 'true' ELSE 'false' END AS flag FROM events",
+)
+def json_tokens(spark, sf):
+    """Integers beyond 2^53, round integers and booleans are written as they came."""
+    e = table(spark, sf, "events")
+    pair = lambda raw: F.struct(F.coalesce(raw.try_cast("double"), F.lit(1.0)).alias("num"), raw.alias("raw"))
+    big = (F.col("user_id") + F.lit(9007199254740993)).cast("string")
+    flag = F.when(F.col("user_id") % 2 == 0, F.lit("true")).otherwise(F.lit("false"))
+    rows = e.select(
+        "event_id",
+        F.map_from_arrays(
+            F.array(F.lit("big"), F.lit("round"), F.lit("flag")),
+            F.array(pair(big), pair((F.col("user_id") * 1000000).cast("string")), pair(flag)),
+        ).alias("measurements"),
+    )
+    path = work_path(spark, "tokens")
+    files.write_json(rows, path)
+    line = spark.read.text(path)
+    take = lambda name: F.regexp_extract("value", f'"{name}":([^,}}]*)', 1)
+    return line.select(
+        take("event_id").cast("long").alias("event_id"), take("big").alias("big"), take("round").alias("round"), take("flag").alias("flag")
+    )
+
+
 @query("roundtrip_arrow", _BACK)
 def roundtrip_arrow(spark, sf):
     return _columnar(spark, sf, "arrow")
