@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.llm.common import packed, utf8
+from tidewell.session import written
 
 _KIND = pa.struct([("n", pa.int64()), ("cluster", pa.int64())])
 
@@ -103,7 +104,7 @@ def pack_documents(
     base = packed(docs, doc=F.col(doc_id).cast("long"), source=F.col(source).cast("string"), text=utf8(F.col(text)))
     measure = F.arrow_udf(_measured, "n long, cluster long")
     base = base.withColumn("said", measure("text")).select("doc", "source", "said.n", "said.cluster")
-    rows = base.groupBy("doc", "source", "n", "cluster").agg(F.count("*").alias("copies"))
+    rows = written(base.groupBy("doc", "source", "n", "cluster").agg(F.count("*").alias("copies")), "measured")
     span = 64  # copies that stay together
     rows = rows.withColumn("chunk", F.explode(F.expr(f"sequence(0L, (copies - 1) div {span})"))).withColumn(
         "copy", F.explode(F.expr(f"sequence(chunk * {span}, least(copies, (chunk + 1) * {span}) - 1)"))
@@ -122,7 +123,7 @@ def pack_documents(
         "doc", "copy", F.lit(0).cast("long").alias("piece"), F.lit(None).cast("string").alias("bin"),
         F.lit(None).cast("long").alias("start"), F.col("n").alias("n_tokens"),
     )
-    groups = max(1, -(-docs.count() // rows_per_group))
+    groups = max(1, -(-(rows.agg(F.sum("copies")).first()[0] or 0) // rows_per_group))
     rest = rows.where(F.col("n") % capacity > 0).select(
         "doc", "source", "cluster", "copy",
         F.expr(f"n div {capacity}").alias("piece"),
