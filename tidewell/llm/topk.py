@@ -201,6 +201,8 @@ def top_k(
     dealt = written(dealt.groupBy("dims", "part").agg(F.collect_list(F.struct("id", "v")).alias("queries")), "queries")
     # every block of queries meets every block of rows; the join leaves out blocks that are empty
     index = index.withColumn("part", F.explode(F.expr(f"sequence(0L, {blocks - 1}L)")))
+    # a pair of blocks is seconds of work: each may have a task, whatever the size of the files
+    index = index.repartition(min(blocks * row_blocks, 100_000), "block", "part")
     dealt = dealt.withColumn("block", F.explode(F.expr(f"sequence(0L, {row_blocks - 1}L)")))
     pairs = index.join(dealt, ["dims", "part", "block"]).select("ids", "low", "bits", "slices", "queries")
     best = pairs.mapInArrow(_search(k), "query_id long, vec_id long, score long")
