@@ -25,12 +25,26 @@ def components(links: DataFrame) -> DataFrame:
     while not own.isEmpty():
         both = own.union(own.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = both.where("v > u").join(_least(both), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = written(large.where("u <> v").distinct(), "large")
+        large = written(large.where("u <> v"), "large")
         least = _least(large)
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         own = written(small.union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "small")
-        roots = own.select(F.col("v").alias("u")).distinct()
         # stars: one link per node, to a node without one
-        if own.groupBy("u").count().where("count > 1").isEmpty() and own.join(roots, "u", "left_semi").isEmpty():
+        several = own.groupBy("u").count().where("count > 1").select("u")
+        roots = own.select(F.col("v").alias("u")).distinct()
+        if several.union(own.join(roots, "u", "left_semi").select("u")).isEmpty():
             break
     return own.select(F.col("u").alias("node"), F.col("v").alias("root"))
+
+
+def extended(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """``roots`` with further links (a, b): only what ties different components is looked at."""
+    of = lambda side: roots.select(F.col("node").alias(side), F.col("root").alias(f"r{side}"))
+    ends = links.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    ends = ends.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")).where("a <> b")
+    ends = written(ends, "ends")
+    if ends.isEmpty():
+        return roots
+    new = components(ends)
+    moved = roots.join(new.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left")
+    return written(moved.select("node", F.coalesce("to", "root").alias("root")).union(new), "roots")

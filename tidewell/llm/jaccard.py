@@ -7,8 +7,9 @@
 3.  Pigeonhole: in any order of the parts that all classes share, two linked classes agree in one of their
     first d + 1 parts that are not zero. The order is by number of classes that hold the part, rare ones
     first, so most classes find nothing to share, and common passages are hardly ever looked at.
-4.  Classes that agree in a part are candidates. Where many agree, they are first compared with a few
-    pivots; classes that are connected then need no further comparison, the others are compared.
+4.  Classes that agree in a part are candidates. Where many agree, the shingles that only one of them holds
+    are counted: they tell most pairs that cannot link. The rest are first compared with a few pivots; classes
+    that are connected then need no further comparison, the others are compared.
 5.  Candidates are verified on their whole texts; links give components.
 """
 
@@ -20,11 +21,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tidewell.llm import shingles as S
 from tidewell.llm.common import packed, unpacked, utf8
-from tidewell.llm.components import components
+from tidewell.llm.components import components, extended
 from tidewell.session import written
 
 #: ids from here on stand for rows without an id
@@ -33,8 +33,8 @@ UNNAMED = 1 << 62
 FINE = 128
 #: parts shared by more classes than this are compared by pivots first
 FEW = 16
-PIVOTS = 4
-ROUNDS = 5
+PIVOTS = 3
+ROUNDS = 1
 #: classes of one part that are compared in one task
 SIDE = 1024
 
@@ -79,19 +79,38 @@ def _long(values) -> pa.Array:
     return pa.array(np.asarray(values, np.int64))
 
 
-def _lists(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(values))
+_SKETCHED = "bucket long, toks array<int>, nodes array<long>, bands array<tinyint>, n array<int>, slack array<int>"
+_COUNTED = "dest long, bucket long, toks array<int>, nodes array<long>, bands array<tinyint>, c array<int>, n array<int>, slack array<int>"
+_FIRST = "bucket long, toks array<int>, nodes array<long>, n array<int>"
+_FOUND = "tok long, node long, other long, n long, other_n long, size long"
 
 
-_SKETCHED = "bucket long, toks array<int>, nodes array<long>, bands array<tinyint>, n array<long>, slack array<long>"
+def _dealt(key: np.ndarray, kinds: dict[str, tuple[np.ndarray, type]], name: str, **same) -> pa.Table:
+    """One row per value of ``key`` with the lists of its entries: the shuffle moves rows, not single tokens."""
+    order = np.argsort(key, kind="stable")
+    own, first = np.unique(key[order], return_index=True)
+    bounds = pa.array(np.append(first, len(order)), pa.int32())
+    columns = {name: pa.array(own, pa.int64())} | {k: pa.array([v] * len(own), pa.int64()) for k, v in same.items()}
+    for k, (values, kind) in kinds.items():
+        # no values: empty lists
+        flat = pa.array(values[order].astype(kind)) if values is not None else pa.array([], pa.from_numpy_dtype(kind))
+        columns[k] = pa.ListArray.from_arrays(bounds if values is not None else pa.array(np.zeros(len(own) + 1), pa.int32()), flat)
+    return pa.table(columns)
+
+
+def _flat(table: pa.Table, names: list[str]) -> tuple[dict[str, np.ndarray], dict[str, np.ndarray]]:
+    """The values of list columns, and how many each row has."""
+    lists = {c: table[c].combine_chunks() for c in names}
+    values = {c: x.flatten().to_numpy(zero_copy_only=False) for c, x in lists.items()}
+    return values, {c: np.asarray(x.value_lengths()).astype(np.int64) for c, x in lists.items()}
 
 
 def _sketched(bands: Bands, buckets: int):
-    """Tokens of a batch, packed by bucket; one more row has the size of each class and how many of its parts
-    may be left out (``slack``). A class whose parts are too few to decide says so by a null bucket."""
+    """Tokens of a batch, packed by bucket, and rows without tokens: the size of each class and how many of its
+    parts may be left out (``slack``). A null bucket tells that some class has too few parts to decide."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, batch in enumerate(batches):
+        for batch in batches:
             toks, nodes, roles, about, short = [], [], [], [], False
             for node, raw in zip(batch["node"].to_pylist(), batch["text"].to_pylist(), strict=True):
                 own = S.shingles(raw)
@@ -108,57 +127,126 @@ def _sketched(bands: Bands, buckets: int):
                 continue
             tok = np.concatenate(toks)
             bucket = (((tok >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            own, first = np.unique(bucket[order], return_index=True)
-            bounds = np.append(first, len(order))
-            low = (tok[order] & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
-            node, band, n, slack = zip(*about, strict=True)
-            ends = np.append(np.zeros(len(own) + 1, np.int64), len(about))
-            both = np.append(bounds, bounds[-1] + len(about))
-            end = pa.array([None if short else number % buckets], pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.concat_arrays([_long(own), end]),
-                    _lists(low, np.append(bounds, bounds[-1])),
-                    _lists(np.concatenate([np.concatenate(nodes)[order], np.array(node, np.int64)]), both),
-                    _lists(np.concatenate([np.concatenate(roles)[order], np.array(band, np.int8)]), both),
-                    _lists(np.array(n, np.int64), ends),
-                    _lists(np.array(slack, np.int64), ends),
-                ],
-                ["bucket", "toks", "nodes", "bands", "n", "slack"],
-            )
+            low = (tok & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
+            node, band, n, slack = (np.array(x) for x in zip(*about, strict=True))
+            at = (S.mix(node.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+            none = (None, np.int32)
+            parts = [
+                _dealt(bucket, {"toks": (low, np.int32), "nodes": (np.concatenate(nodes), np.int64), "bands": (np.concatenate(roles), np.int8), "n": none, "slack": none}, "bucket"),
+                _dealt(at, {"toks": none, "nodes": (node, np.int64), "bands": (band, np.int8), "n": (n, np.int32), "slack": (slack, np.int32)}, "bucket"),
+            ]
+            if short:
+                parts.append(parts[0].slice(0, 1).set_column(0, "bucket", pa.nulls(1, pa.int64())))
+            for part in parts:
+                yield from part.combine_chunks().to_batches()
 
     return run
 
 
-_HELD = "node long, band tinyint, tok long, c long, n long, slack long"
-
-
-def _held_twice(table: pa.Table) -> pa.Table:
-    """Tokens of a bucket that several classes hold, with their number; the sizes pass through."""
-    flat = {c: table[c].combine_chunks() for c in ("toks", "nodes", "bands", "n", "slack")}
-    counts = {c: np.asarray(flat[c].value_lengths()) for c in ("toks", "n")}
-    values = {c: flat[c].flatten().to_numpy(zero_copy_only=False) for c in flat}
-    about = np.repeat(counts["toks"] == 0, np.asarray(flat["nodes"].value_lengths()))
-    tok, node, band = values["toks"].view(np.uint32), values["nodes"][~about], values["bands"][~about]
-    order = np.argsort(tok, kind="stable")
-    tok, node, band = tok[order], node[order], band[order]
-    _, first, c = np.unique(tok, return_index=True, return_counts=True)
-    c = np.repeat(c, c)
-    own = c > 1
-    bucket, m = table["bucket"][0].as_py(), len(values["n"])
-    mark = 0 if bucket is not None else -1
-    bucket = bucket or 0
-    return pa.table(
-        {
-            "node": pa.concat_arrays([_long(node[own]), _long(values["nodes"][about])]),
-            "band": pa.array(np.concatenate([band[own], values["bands"][about]]), pa.int8()),
-            "tok": pa.concat_arrays([_long((bucket << 32) + tok[own].astype(np.int64)), pa.nulls(m, pa.int64())]),
-            "c": _long(np.concatenate([c[own], np.full(m, mark)])),
-            "n": pa.concat_arrays([pa.nulls(int(own.sum()), pa.int64()), _long(values["n"])]),
-            "slack": pa.concat_arrays([pa.nulls(int(own.sum()), pa.int64()), _long(values["slack"])]),
-        }
-    )
+def _counted(buckets: int):
+    """Tokens of a bucket that several classes hold, with their number, packed by class; the sizes pass through."""
+
+    def run(table: pa.Table) -> pa.Table:
+        values, sizes = _flat(table, ["toks", "nodes", "bands", "n", "slack"])
+        bucket = table["bucket"][0].as_py()
+        if bucket is None:
+            mark = _dealt(np.zeros(1, np.int64), {k: (None, t) for k, t in _KINDS}, "dest", bucket=None)
+            return mark.set_column(0, "dest", pa.nulls(1, pa.int64()))
+        about = np.repeat(sizes["toks"] == 0, sizes["nodes"])
+        tok, node, band = values["toks"].view(np.uint32), values["nodes"][~about], values["bands"][~about]
+        _, place, c = np.unique(tok, return_inverse=True, return_counts=True)
+        c = c[place]
+        own = c > 1
+        dest = lambda x: (S.mix(x.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+        node, tok, band, c = node[own], tok[own].view(np.int32), band[own], c[own]
+        none, whose = (None, np.int32), values["nodes"][about]
+        held = {"toks": (tok, np.int32), "nodes": (node, np.int64), "bands": (band, np.int8), "c": (c, np.int32), "n": none, "slack": none}
+        said = {"toks": none, "nodes": (whose, np.int64), "bands": (values["bands"][about], np.int8), "c": none,
+                "n": (values["n"], np.int32), "slack": (values["slack"], np.int32)}
+        return pa.concat_tables(
+            [_dealt(dest(node), held, "dest", bucket=bucket), _dealt(dest(whose), said, "dest", bucket=bucket)]
+        )
+
+    return run
+
+
+_KINDS = [("toks", np.int32), ("nodes", np.int64), ("bands", np.int8), ("c", np.int32), ("n", np.int32), ("slack", np.int32)]
+
+
+def _first(table: pa.Table) -> pa.Table:
+    """Of each class and band the first parts in the order (classes that hold it, part), packed by bucket again.
+
+    A class with several texts keeps all its parts, and its size is unknown (-1).
+    """
+    if table["dest"][0].as_py() is None:
+        return _dealt(np.zeros(1, np.int64), {"toks": (None, np.int32), "nodes": (None, np.int64), "n": (None, np.int32)}, "bucket").set_column(
+            0, "bucket", pa.nulls(1, pa.int64())
+        )
+    values, sizes = _flat(table, [k for k, _ in _KINDS])
+    said = np.repeat(sizes["n"] > 0, sizes["nodes"])
+    bucket = np.repeat(table["bucket"].combine_chunks().to_numpy(zero_copy_only=False).astype(np.int64), sizes["nodes"])
+    node, band = values["nodes"], values["bands"]
+    tok, c = _spread(values["toks"].view(np.uint32), ~said), _spread(values["c"], ~said)
+    n, slack = _spread(values["n"], said), _spread(values["slack"], said)
+    order = np.lexsort((tok, bucket, c, band, node))  # what is said of a class has c = 0 and comes first
+    node, band, tok, c, n, slack, bucket, said = (x[order] for x in (node, band, tok, c, n, slack, bucket, said))
+    start = np.flatnonzero(np.append(True, (node[1:] != node[:-1]) | (band[1:] != band[:-1])))
+    run = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(node))))
+    told = np.add.reduceat(said.astype(np.int64), start)
+    count = np.diff(np.append(start, len(node))) - told
+    place = np.arange(len(node)) - start[run] - told[run]
+    keep = ~said & ((told[run] > 1) | (place < count[run] - slack[start][run]))
+    size = np.where(told > 1, -1, n[start])[run]
+    kinds = {"toks": (tok[keep].astype(np.uint32).view(np.int32), np.int32), "nodes": (node[keep], np.int64), "n": (size[keep], np.int32)}
+    return _dealt(bucket[keep], kinds, "bucket")
+
+
+def _spread(own: np.ndarray, where: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(where), np.int64)
+    out[where] = own
+    return out
+
+
+def _close(x: np.ndarray, y: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Whether two sizes allow a link; an unknown one does."""
+    return (np.minimum(x, y) < 0) | (np.minimum(x, y) * den >= np.maximum(x, y) * num)
+
+
+def _found(few: int, num: int, den: int):
+    """Pairs of the parts that few classes hold, and the members of the others."""
+
+    def run(table: pa.Table) -> pa.Table:
+        bucket = table["bucket"][0].as_py()
+        if bucket is None:
+            return pa.table({k: pa.nulls(1, pa.int64()) for k in _FOUND_NAMES})
+        values, _ = _flat(table, ["toks", "nodes", "n"])
+        tok, node, n = values["toks"].view(np.uint32).astype(np.int64), values["nodes"], values["n"].astype(np.int64)
+        order = np.lexsort((node, tok))
+        tok, node, n = tok[order], node[order], n[order]
+        once = np.append(True, (tok[1:] != tok[:-1]) | (node[1:] != node[:-1]))[: len(tok)]
+        tok, node, n = tok[once], node[once], n[once]
+        _, start, size = np.unique(tok, return_index=True, return_counts=True)
+        pairs = [np.zeros((4, 0), np.int64)]
+        for s in range(2, few + 1):
+            at = start[size == s]
+            for i in range(s - 1):
+                for j in range(i + 1, s):
+                    x, y = at + i, at + j
+                    fine = _close(n[x], n[y], num, den)
+                    pairs.append(np.stack([node[x], node[y], n[x], n[y]])[:, fine])
+        two = np.unique(np.concatenate(pairs, axis=1), axis=1)
+        own = np.repeat(size, size) > few
+        members = _long((bucket << 32) + tok[own]), _long(node[own]), _long(n[own]), _long(np.repeat(size, size)[own])
+        no = lambda k: pa.nulls(k, pa.int64())
+        a, m = two.shape[1], int(own.sum())
+        columns = [(no(a), members[0]), (_long(two[0]), members[1]), (_long(two[1]), no(m)), (_long(two[2]), members[2]),
+                   (_long(two[3]), no(m)), (no(a), members[3])]
+        return pa.table({k: pa.concat_arrays(x) for k, x in zip(_FOUND_NAMES, columns, strict=True)})
+
+    return run
+
+
+_FOUND_NAMES = [x.split()[0] for x in _FOUND.split(", ")]
 
 
 def _verified(num: int, den: int):
@@ -189,67 +277,102 @@ def _verified(num: int, den: int):
     return run
 
 
-def candidates(classes: DataFrame, bands: Bands, all_shingles: int) -> DataFrame | None:
-    """(tok, node, n): of each class (node, text) the first parts that others hold as well.
+def _shingled(buckets: int):
+    """The shingles of a batch, packed by bucket."""
 
-    None if some set has too few parts that are not zero to be decided in these bands.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            toks = [S.shingles(raw) for raw in batch["text"].to_pylist()]
+            nodes = np.repeat(np.array(batch["node"].to_pylist(), np.int64), [len(t) for t in toks])
+            tok = np.concatenate([np.zeros(0, np.uint64), *toks])
+            bucket = (((tok >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
+            low = (tok & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
+            yield from _dealt(bucket, {"toks": (low, np.int32), "nodes": (nodes, np.int64)}, "bucket").combine_chunks().to_batches()
+
+    return run
+
+
+def _singles(table: pa.Table) -> pa.Table:
+    """How many shingles of a bucket only this class holds."""
+    values, _ = _flat(table, ["toks", "nodes"])
+    _, first, c = np.unique(values["toks"], return_index=True, return_counts=True)
+    node, count = np.unique(values["nodes"][first[c == 1]], return_counts=True)
+    return pa.table({"node": _long(node), "own": _long(count)})
+
+
+def with_excess(crowded: DataFrame, texts: DataFrame, bands: Bands) -> DataFrame:
+    """Members with ``e``; classes whose sum of ``e`` is above 0 cannot link.
+
+    A shingle that no other class of a crowded part holds is in the symmetric difference of every pair, so a
+    pair differs in the sum of these at least, and may differ in (a + b) (1 - t) / (1 + t). A class of
+    unknown size may link with any. Members without a possible partner in their part are left out.
     """
-    buckets = max(1, all_shingles // 250_000)
-    sketched = classes.mapInArrow(_sketched(bands, buckets), _SKETCHED)
-    held = written(sketched.groupBy("bucket").applyInArrow(_held_twice, _HELD), "held")
-    if not held.where("c < 0").isEmpty():
-        return None
-    role = Window.partitionBy("node", "band")
-    ranked = held.select(
-        "node",
-        "tok",
-        F.max("n").over(role).alias("n"),
-        # the row of the sizes comes first; parts that nobody else holds come next, and are not here
-        (F.row_number().over(role.orderBy("c", "tok")) - 1).alias("place"),
-        (F.count("tok").over(role) - F.max("slack").over(role)).alias("wanted"),
+    nodes = written(crowded.select("node").distinct(), "nodes")
+    total = crowded.select("node", "n").distinct().agg(F.sum("n")).first()[0] or 0
+    packs = texts.join(nodes, "node", "left_semi").mapInArrow(
+        _shingled(max(1, total // 500_000)), "bucket long, toks array<int>, nodes array<long>"
+    )
+    singles = packs.groupBy("bucket").applyInArrow(_singles, "node long, own long").groupBy("node").agg(F.sum("own").alias("own"))
+    members = crowded.join(written(singles, "singles"), "node", "left")
+    e = F.coalesce("own", F.lit(0)) * (bands.den + bands.num) - F.col("n") * (bands.den - bands.num)
+    members = written(members.withColumn("e", F.when(F.col("n") < 0, F.lit(-(1 << 60))).otherwise(e)).drop("own"), "members")
+    # the two smallest: a member's best partner is not itself
+    two = members.groupBy("tok").agg(F.min(F.struct("e", "node")).alias("x"))
+    least = written(two.select("tok", "x.e", "x.node").toDF("tok", "least", "who"), "least")
+    return written(
+        members.join(least, "tok").where((F.col("node") == F.col("who")) | (F.col("e") + F.col("least") <= 0)).drop("least", "who"),
+        "partners",
     )
-    first = written(ranked.where("tok IS NOT NULL AND place <= wanted").select("tok", "node", "n"), "first")
-    groups = written(first.groupBy("tok").agg(F.count("*").alias("size")).where("size > 1"), "groups")
-    return written(first.join(groups, "tok"), "candidates")
 
 
-def _near(x: Column, y: Column, num: int, den: int) -> Column:
-    return F.least(x, y) * den >= F.greatest(x, y) * num
+def candidates(classes: DataFrame, bands: Bands, all_shingles: int) -> DataFrame | None:
+    """Pairs (node, other) of classes (node, text) that agree in a first part, and members (tok, node, n, size)
+    of the parts that more than ``FEW`` classes hold.
 
+    None if some set has too few parts that are not zero to be decided in these bands.
+    """
+    buckets = max(1, all_shingles // 500_000)
+    found = (
+        classes.mapInArrow(_sketched(bands, buckets), _SKETCHED)
+        .groupBy("bucket").applyInArrow(_counted(buckets), _COUNTED)
+        .groupBy("dest").applyInArrow(_first, _FIRST)
+        .groupBy("bucket").applyInArrow(_found(FEW, bands.num, bands.den), _FOUND)
+    )
+    found = written(found, "found")
+    return found if found.where("node IS NULL").isEmpty() else None
 
-def _pairs_of_few(members: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs of the parts that few classes hold, at most ``FEW`` of them."""
-    own = members.where(F.col("size") <= FEW).groupBy("tok").agg(F.array_sort(F.collect_list(F.struct("node", "n"))).alias("g"))
-    one = own.select("g", F.posexplode("g").alias("at", "x"))
-    two = one.select("x", F.explode(F.slice("g", F.col("at") + 2, F.size("g"))).alias("y"))
-    return two.where((F.col("x.node") < F.col("y.node")) & _near(F.col("x.n"), F.col("y.n"), num, den)).select(
-        F.col("x.node").alias("a"), F.col("y.node").alias("b")
-    )
+
+def _near(x: Column, y: Column, num: int, den: int) -> Column:
+    return (F.least(x, y) < 0) | (F.least(x, y) * den >= F.greatest(x, y) * num)
 
 
 def _pairs_with_pivots(crowded: DataFrame, seeds: list[int], num: int, den: int) -> DataFrame:
-    """Each member with the pivots of its part; the same classes are pivots of all parts that hold them."""
-    best = [F.min_by(F.struct("node", "n", "root"), F.xxhash64("node", F.lit(s))).alias(f"p{s}") for s in seeds]
+    """Each member with the pivots of its part: the one with the least excess, and for each seed one by hash, so
+    the same classes are pivots of all parts that hold them."""
+    one = F.struct("node", "n", "root", "e")
+    best = [F.min_by(one, F.struct("e", "node")).alias("p")] + [F.min_by(one, F.xxhash64("node", F.lit(s))).alias(f"p{s}") for s in seeds]
     pivots = crowded.groupBy("tok").agg(*best)
-    pivots = written(pivots.select("tok", F.explode(F.array_distinct(F.array(*[f"p{s}" for s in seeds]))).alias("p")), "pivots")
-    pairs = crowded.join(pivots, "tok").where(
-        (F.col("root") != F.col("p.root")) & _near(F.col("n"), F.col("p.n"), num, den)
+    pivots = pivots.select("tok", F.explode(F.array_distinct(F.array("p", *[f"p{s}" for s in seeds]))).alias("p"))
+    pairs = crowded.join(written(pivots, "pivots"), "tok").where(
+        (F.col("root") != F.col("p.root"))
+        & (F.col("e") + F.col("p.e") <= 0)
+        & _near(F.col("n"), F.col("p.n"), num, den)
     )
     return pairs.select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b"))
 
 
 def _cross(num: int, den: int):
-    """Pairs of one part and two sides of it, from different components and of near sizes."""
+    """Pairs of one part and two sides of it that may link, from different components."""
 
     def run(table: pa.Table) -> pa.Table:
-        node, n, root, side = (table[c].to_numpy() for c in ("node", "n", "root", "left"))
+        node, n, root, e, side = (table[c].to_numpy() for c in ("node", "n", "root", "e", "left"))
         one, two = np.flatnonzero(side), np.flatnonzero(~side)
         if not len(one) or not len(two):  # a side with itself
             one = two = np.arange(len(node))
         out = []
         for i in one:
-            j = two[(root[two] != root[i]) & (node[two] != node[i])]
-            j = j[np.minimum(n[j], n[i]) * den >= np.maximum(n[j], n[i]) * num]
+            j = two[(root[two] != root[i]) & (node[two] != node[i]) & (e[two] + e[i] <= 0)]
+            j = j[_close(n[j], n[i], num, den)]
             out.append(np.stack([np.minimum(node[j], node[i]), np.maximum(node[j], node[i])]))
         pairs = np.unique(np.concatenate(out, axis=1), axis=1) if out else np.zeros((2, 0), np.int64)
         return pa.table({"a": _long(pairs[0]), "b": _long(pairs[1])})
@@ -263,7 +386,7 @@ def _pairs_across(crowded: DataFrame, num: int, den: int) -> DataFrame:
     own = crowded.withColumn("sides", sides).withColumn("side", F.pmod(F.xxhash64("node"), F.col("sides")))
     dealt = own.withColumn("other", F.explode(F.expr("sequence(0L, sides - 1)"))).select(
         "tok", F.least("side", "other").alias("x"), F.greatest("side", "other").alias("y"),
-        (F.col("side") <= F.col("other")).alias("left"), "node", "n", "root",
+        (F.col("side") <= F.col("other")).alias("left"), "node", "n", "root", "e",
     )
     return dealt.groupBy("tok", "x", "y").applyInArrow(_cross(num, den), "a long, b long")
 
@@ -276,31 +399,32 @@ def _verify(pairs: DataFrame, texts: DataFrame, num: int, den: int) -> DataFrame
     return written(out, "verified")
 
 
-def _rooted(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """Members with the root of their component, only of the parts that hold several components."""
+def _unsettled(members: DataFrame, roots: DataFrame) -> DataFrame | None:
+    """Members with the root of their component, of the parts that hold several components; None without any."""
     own = members.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     own = written(own, "rooted")
     mixed = own.groupBy("tok").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("tok")
-    return written(own.join(written(mixed, "mixed"), "tok"), "crowded")
+    mixed = written(mixed, "mixed")
+    return None if mixed.isEmpty() else written(own.join(mixed, "tok"), "crowded")
 
 
-def roots_of(members: DataFrame, texts: DataFrame, tied: DataFrame, num: int, den: int) -> DataFrame:
+def roots_of(members: DataFrame, texts: DataFrame, tied: DataFrame | None, num: int, den: int) -> DataFrame:
     """(node, root) of all classes that are not roots; ``tied``: links that are known before."""
-    members = members.withColumn("root", F.col("node"))
-    crowded = written(members.where(F.col("size") > FEW), "crowded")
-    first = _pairs_of_few(members, num, den).union(_pairs_with_pivots(crowded, list(range(PIVOTS)), num, den))
-    links = tied.union(_verify(first, texts, num, den).where("linked").select("a", "b"))
-    roots = components(links)
+    crowded = members.where("tok IS NOT NULL").select("tok", "node", "n", "size", F.col("node").alias("root"))
+    crowded = with_excess(crowded, texts, Bands(num, den, 1.0))
+    few = members.where("tok IS NULL").select(F.col("node").alias("a"), F.col("other").alias("b"))
+    pairs = few.union(_pairs_with_pivots(crowded, list(range(PIVOTS)), num, den))
+    links = _verify(pairs, texts, num, den).where("linked").select("a", "b")
+    roots = components(links if tied is None else links.union(tied))
     for step in range(ROUNDS + 1):
-        crowded = _rooted(crowded, roots)
-        if crowded.isEmpty():
+        crowded = _unsettled(crowded, roots)
+        if crowded is None:
             break
         if step < ROUNDS:
-            more = _pairs_with_pivots(crowded, [PIVOTS + step], num, den)
+            pairs = _pairs_with_pivots(crowded, [PIVOTS + step], num, den)
         else:  # what pivots have not connected is compared as it is
-            more = _pairs_across(crowded, num, den)
-        links = links.union(_verify(more, texts, num, den).where("linked").select("a", "b"))
-        roots = components(links)
+            pairs = _pairs_across(crowded, num, den)
+        roots = extended(roots, _verify(pairs, texts, num, den).where("linked").select("a", "b"))
     return roots
 
 
@@ -338,13 +462,15 @@ def near_duplicates(
     while members is None:
         members = candidates(first, Bands(num, den, spread, fine), total)
         spread /= 2
-    texts = written(first.join(written(members.select("node").distinct(), "wanted"), "node", "left_semi"), "texts")
+    wanted = members.select("node").union(members.select("other").where("other IS NOT NULL")).distinct()
+    texts = written(first.join(written(wanted, "wanted"), "node", "left_semi"), "texts")
     # an id with several texts ties their classes
     several = own.where("n > 0").groupBy("doc").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x < y")
-    tied = own.where("n > 0").join(written(several.select("doc"), "several"), "doc").select(
-        F.least("doc", "node").alias("a"), F.greatest("doc", "node").alias("b")
-    )
-    roots = roots_of(members, texts, written(tied.where("a < b"), "tied"), num, den)
+    several, tied = written(several.select("doc"), "several"), None
+    if not several.isEmpty():
+        ends = own.where("n > 0").join(several, "doc")
+        tied = ends.select(F.least("doc", "node").alias("a"), F.greatest("doc", "node").alias("b")).where("a < b")
+    roots = roots_of(members, texts, tied, num, den)
     found = own.join(roots.select(F.col("node"), "root"), "node", "left")
     return found.select("doc", F.col("n").alias("n_shingles"), F.coalesce("root", "node", "doc").alias("component_id"))
 

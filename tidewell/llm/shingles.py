@@ -91,14 +91,15 @@ def set_key(hashes: np.ndarray) -> tuple[int, int]:
 def sketch_tokens(hashes: np.ndarray, parts: int) -> np.ndarray:
     """A 64-bit token per part of the parity sketch that is not zero; with 0 parts a token per shingle.
 
-    Each shingle flips one of 64 bits of one part. A shingle that only one of two sets holds touches one
-    part, so sets differ in at most as many parts as shingles.
+    Each shingle flips one bit of one part, so sets differ in at most as many bits, and parts, as shingles. A
+    part has 2**32 bits, few of them set: it is kept as the exclusive or of a random number for each set bit,
+    which is updated by the shingle and tells equal parts from others.
     """
     if not parts:
         return mix(hashes ^ _U(0xD6E8FEB86659FD93))
     at = ((hashes >> _U(32)) * _U(parts)) >> _U(32)
     sketch = np.zeros(parts, np.uint64)
-    np.bitwise_xor.at(sketch, at.astype(np.int64), _U(1) << (hashes & _U(63)))
+    np.bitwise_xor.at(sketch, at.astype(np.int64), mix((hashes & _U(0xFFFFFFFF)) + _U(_BASE)))
     own = np.flatnonzero(sketch)
     return mix(sketch[own] ^ mix(own.astype(np.uint64) * _U(_BASE) + _U(parts)))
 
