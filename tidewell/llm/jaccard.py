@@ -31,9 +31,11 @@ from tidewell.session import written
 UNNAMED = 1 << 62
 #: sets below this size are not folded into parts: a part per shingle
 FINE = 128
-#: parts shared by more classes than this are compared by pivots first
+#: parts shared by more classes than this are compared with a pivot first: the class with the least excess, which
+#: crowded parts mostly have in common
 FEW = 16
-PIVOTS = 3
+#: further pivots by hash, at first and in each of the rounds for parts that are still unsettled
+PIVOTS = 0
 ROUNDS = 1
 #: classes of one part that are compared in one task
 SIDE = 1024
