@@ -1,3 +1,4 @@
+import base64
 import random
 import zlib
 
@@ -59,6 +60,29 @@ def test_blocks_give_the_same_logits(model, monkeypatch):
     assert abs(model.logits(text) - want).max() < 1e-4
 
 
+UNLEARNED = {
+    "fi": "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki.",
+    "pl": "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem.",
+    "ru": "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью.",
+    "zh": "人人生而自由，在尊严和权利上一律平等。他们赋有理性和良心，并应以兄弟关系的精神相对待。",
+    "code": "def find(raw, size):\n    out, key = [], np.zeros(len(raw))\n    for n in GRAMS:\n        if len(raw) < n: break",
+    "base64": base64.b64encode(random.Random(3).randbytes(120)).decode(),
+}
+
+
+def test_texts_in_no_learned_language_go(spark, documents, model):
+    held = [r.text for r in documents.where(language.held_out()).where("n_chars > 40").orderBy("doc_id").limit(200).collect()]
+    shuffled = ["".join(random.Random(i).sample(t, len(t))) for i, t in enumerate(held)]
+    mixed = [f"{a[:300]} {b[:300]}" for a, b in zip(held, held[1:])]
+    short = [t[:40] for t in held]
+    kinds = {"unlearned": list(UNLEARNED.values()), "shuffled": shuffled, "whole": held, "mixed": mixed, "short": short}
+    rows = spark.createDataFrame([(k, t) for k, texts in kinds.items() for t in texts], "kind string, text string")
+    said = language.identify_languages(rows, model).groupBy("kind").agg(F.avg(F.col("rejected").cast("int")).alias("gone"))
+    gone = {r.kind: r.gone for r in said.collect()}
+    assert gone["unlearned"] == 1 and gone["shuffled"] >= 0.95
+    assert gone["whole"] <= 0.01 and gone["mixed"] <= 0.01 and gone["short"] <= 0.02
+
+
 def brute_fit(pieces, capacity):
     bins, out = [], []
     for length, source, cluster in pieces:

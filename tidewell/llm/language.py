@@ -1,7 +1,9 @@
 """Language of a text: the mean of hashed subword embeddings, and a linear softmax over it.
 
 The model is fitted by stochastic gradient descent on the driver from a bounded sample. Mean and softmax
-are both linear in the subwords, so a task needs one number per subword and language.
+are both linear in the subwords, so a task needs one number per subword and language. The softmax is sure of
+one of its languages for any text, so it cannot tell what is in none of them: one more number per subword,
+the log of its share in the sample, does, against the least mean that was calibrated for that much text.
 """
 
 from __future__ import annotations
@@ -46,34 +48,46 @@ def buckets(raw: np.ndarray, size: int, before: int = 0) -> np.ndarray:
 
 @dataclass
 class Model:
-    """``table``: for each bucket what it adds to the mean logit of each language."""
+    """``table``: for each bucket what it adds to the mean logit of each language, and last the log of its share.
+
+    ``floors``: the least mean of that last number by the log2 of the distinct buckets, as two rows; None
+    where nothing could be calibrated.
+    """
 
     languages: list[str]
     table: np.ndarray
     bias: np.ndarray
     temperature: float
-    least: float
+    floors: np.ndarray | None
 
     @property
     def bits(self) -> int:
         return (len(self.table) - 1).bit_length()
 
-    def logits(self, text: bytes) -> np.ndarray:
-        """Mean over all subwords, block by block, so a very long text needs no more memory."""
+    def means(self, text: bytes) -> tuple[np.ndarray, int]:
+        """Mean over all subwords, block by block, so a very long text needs no more memory; distinct buckets."""
         raw = normal(text)
-        total, count = np.zeros(len(self.languages)), 0
+        total, count = np.zeros(self.table.shape[1]), 0
+        seen = np.zeros(len(self.table), bool)
         over = max(GRAMS) - 1
         for start in range(0, max(len(raw), 1), BLOCK):
             first = max(0, start - over)
             own = buckets(raw[first : start + BLOCK], self.bits, start - first)
             total += np.bincount(own, minlength=len(self.table)) @ self.table if len(own) > 1 << 14 else self.table[own].sum(0)
             count += len(own)
-        return total / max(count, 1) + self.bias
+            seen[own] = True
+        return total / max(count, 1), int(seen.sum())
 
-    def predict(self, text: bytes) -> tuple[str, float]:
-        p = softmax(self.logits(text)[None] / self.temperature)[0]
+    def logits(self, text: bytes) -> np.ndarray:
+        return self.means(text)[0][:-1] + self.bias
+
+    def predict(self, text: bytes) -> tuple[str, float, bool]:
+        """Language, its probability, and whether the text is as familiar as texts of its size have to be."""
+        mean, distinct = self.means(text)
+        p = softmax((mean[:-1] + self.bias)[None] / self.temperature)[0]
         best = int(p.argmax())
-        return self.languages[best], float(p[best])
+        known = self.floors is None or bool(mean[-1] >= np.interp(np.log2(max(distinct, 1)), *self.floors))
+        return self.languages[best], float(p[best]), known
 
 
 def softmax(x: np.ndarray) -> np.ndarray:
@@ -90,6 +104,61 @@ def _pieces(text: bytes, rng: np.random.Generator) -> Iterable[bytes]:
             yield text[start : start + size]
 
 
+def _familiar(shares: np.ndarray) -> np.ndarray:
+    """Log of the mean share of each bucket over languages, each of the same weight."""
+    mean = shares.sum(axis=0) / max(shares.sum(), 1e-9)
+    return np.log(mean + 1e-3 / len(mean)).astype(np.float32)
+
+
+def _floors(aside: list[tuple[bytes, int]], shares: np.ndarray, rejected: float, rng: np.random.Generator) -> np.ndarray | None:
+    """The least familiarity by the amount of text, from pieces that must stay and pieces that must go.
+
+    Stay: stretches of the texts kept aside, and two of them in a row, whatever their languages. Go: the same
+    letters shuffled, and a language that the shares have not seen. The floor is what all but the share
+    ``rejected`` of the first reach, moved halfway to the middle of the second where that lies lower. The amount
+    is the number of distinct buckets: a word that is repeated says no more than once.
+    """
+    bits = (shares.shape[1] - 1).bit_length()
+    whole = _familiar(shares)
+    aside = [aside[i] for i in rng.permutation(len(aside))[:1000]]
+    several = np.count_nonzero(shares.any(axis=1)) > 1
+    without = {y: _familiar(np.delete(shares, y, axis=0)) for y in {y for _, y in aside}} if several else {}
+    rounds = max(1, 500 // max(len(aside), 1))
+    stay, go = [], []
+
+    def add(to: list, piece: bytes, known: np.ndarray) -> None:
+        own = buckets(normal(piece), bits)
+        if len(own):
+            to.append((np.log2(len(np.unique(own))), known[own].mean()))
+
+    for _ in range(rounds):
+        before = b""
+        for text, y in aside:
+            for size in (6, 12, 24, 48, 100, 300, 1000, len(text)):
+                start = int(rng.integers(0, max(len(text) - size, 0) + 1))
+                piece = text[start : start + size]
+                add(stay, piece, whole)
+                letters = np.array(list(piece.decode("utf-8", "ignore")))
+                add(go, "".join(rng.permutation(letters)).encode(), whole)
+                if y in without:
+                    add(go, piece, without[y])
+            add(stay, before[:150] + b" " + text[:150], whole)
+            before = text
+    if not stay:
+        return None
+    stay, go = np.array(stay), np.array(go)
+    places, floors = [], []
+    for at in np.arange(0, bits + 1, 1.0):
+        here, there = (x[np.abs(x[:, 0] - at) <= 0.75][:, 1] for x in (stay, go))
+        if len(here) >= 50:
+            low = np.quantile(here, rejected)
+            far = np.median(there) if len(there) else low
+            places.append(at)
+            floors.append(min(low, (low + far) / 2))
+    # more text never has to be less familiar
+    return np.array([places, np.minimum.accumulate(floors[::-1])[::-1]]) if places else None
+
+
 def train(
     sample: list[tuple[bytes, str]],
     bits: int = 14,
@@ -102,17 +171,20 @@ def train(
 ) -> Model:
     """Fit on (lower-cased text, language); every fifth text is kept aside to calibrate.
 
-    The temperature makes the mean log loss of the texts kept aside smallest; ``least`` is the probability
-    that all but the share ``rejected`` of them reach, and at most a tenth of the way from chance to certainty:
-    a text that mixes languages is still a text in one of them.
+    The temperature makes the mean log loss of the texts kept aside smallest; ``rejected`` is the share of
+    pieces of them that may be less familiar than the floors. A text that mixes languages is still a text, so
+    its probability rejects nothing.
     """
     languages = sorted({lang for _, lang in sample})
     rng = np.random.default_rng(seed)
     rows, where, target, aside = [], {n: i for i, n in enumerate(languages)}, [], []
+    shares = np.zeros((len(languages), 1 << bits))
     for i, (text, lang) in enumerate(sample):
         if i % 5 == 4:
             aside.append((text, where[lang]))
             continue
+        own = buckets(normal(text), bits)
+        shares[where[lang]] += np.bincount(own, minlength=1 << bits) / max(len(own), 1)
         for piece in _pieces(text, rng):
             own = buckets(normal(piece), bits)
             if len(own):
@@ -142,16 +214,16 @@ def train(
             used = np.unique(np.concatenate([rows[i][0] for i in own]))
             embed[used] -= now * width * (x[:, used].T @ back)
             step += 1
-    model = Model(languages, (embed @ weight).astype(np.float32), bias, 1.0, 0.0)
+    shares /= np.maximum(shares.sum(axis=1, keepdims=True), 1e-9)
+    table = np.column_stack([embed @ weight, _familiar(shares)]).astype(np.float32)
+    model = Model(languages, table, bias, 1.0, None)
     if aside:
         logits = np.array([model.logits(t) for t, _ in aside])
         own = np.arange(len(aside)), np.array([y for _, y in aside])
         heats = np.geomspace(0.05, 20, 60)
         loss = [-np.log(softmax(logits / h)[own] + 1e-12).mean() for h in heats]
         model.temperature = float(heats[int(np.argmin(loss))])
-        best = np.sort(softmax(logits / model.temperature).max(axis=1))
-        chance = 1 / len(languages)
-        model.least = float(min(chance + 0.1 * (1 - chance), best[int(rejected * len(best))]))
+        model.floors = _floors(aside, shares, rejected, np.random.default_rng(seed))
     return model
 
 
@@ -198,8 +270,8 @@ def identify_languages(docs: DataFrame, model: Model | None, text: str = "text")
     """The documents with ``lang_pred``, ``score`` (its probability) and ``rejected``.
 
     A null text or one without a letter is ``und`` with score 0 and rejected, as is everything without a
-    model. ``rejected`` is set too where the score is below the calibrated least probability; ``lang_pred``
-    stays the best guess there. Whole texts are read. Repeated rows each give their row, extra columns pass
+    model. ``rejected`` is set too where the subwords are less familiar than calibrated for that much text, as
+    in an unlearned language, code or letter junk; ``lang_pred`` and ``score`` stay the best guess there. Whole texts are read. Repeated rows each give their row, extra columns pass
     through.
     """
     lowered, letters = _usable(text)
@@ -213,8 +285,8 @@ def identify_languages(docs: DataFrame, model: Model | None, text: str = "text")
             if not raw.is_valid or model is None:
                 out.append({"lang": UNKNOWN, "score": 0.0, "rejected": True})
                 continue
-            lang, score = model.predict(raw.as_py())
-            out.append({"lang": lang, "score": score, "rejected": score < model.least})
+            lang, score, known = model.predict(raw.as_py())
+            out.append({"lang": lang, "score": score, "rejected": not known})
         return pa.array(out, kind)
 
     said = F.arrow_udf(run, "lang string, score double, rejected boolean")
