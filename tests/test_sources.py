@@ -89,6 +89,35 @@ def test_csv_empty_cell_is_reported(spark, put):
     assert row["error"] == "Measurement 'x' must be a number or string"
 
 
+def _record(i, pad=""):
+    return f'{{"series_id":"s{i}","timestamp":"2024-01-01","note":"{pad}","measurements":{{"v":{i}}}}}'
+
+
+def test_json_layout_is_per_file_and_nothing_is_lost(spark, tmp_path):
+    contents = {
+        "broken first.json": f"{{bad\n{_record(1)}\n{_record(2)}",
+        "array[1].json": f"[{_record(3)},\n{_record(4)}]",
+        "lines.json": f"{_record(5)}\n{{oops\n{_record(6)}",
+        "cut.json": f"[{_record(7)},\n{_record(8)[:-9]}",
+    }
+    for name, content in contents.items():
+        (tmp_path / name).write_text(content)
+    rows = text.read_json(spark, str(tmp_path)).collect()
+    assert sorted(r["series_id"] for r in rows if not r["error"]) == [f"s{i}" for i in range(1, 7)]
+    assert [r["error"] for r in rows if r["error"]] == ["Invalid JSON"] * 3
+
+
+def test_json_array_above_the_size_of_a_variant(spark, tmp_path):
+    path, pad = tmp_path / "big.json", "x" * 100_000
+    with path.open("w") as out:
+        for i in range(1400):
+            out.write(("," if i else "[") + _record(i, pad))
+        out.write("]")
+    assert path.stat().st_size > 128 << 20
+    good = rec.split(text.read_json(spark, str(path))).accepted
+    assert good.select("series_id").distinct().count() == 1400
+
+
 def test_csv_without_header(spark, put):
     rows = by_series(text.read_csv(spark, put("a.csv", "A,2024-01-01,1,z\nB,2024-01-02\nC\n"), header=False))
     assert set(rows) == {"A", "B"}

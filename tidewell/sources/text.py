@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,34 +27,58 @@ def _file() -> Column:
     return F.col("_metadata.file_path").alias(SOURCE)
 
 
-def read_json(spark: SparkSession, path: str, record_type: str = "time_series") -> DataFrame:
+def paths_of(files: list[str]) -> list[str]:
+    """``_metadata.file_path`` values as paths to read: unescaped, with glob marks taken literally."""
+    return [re.sub(r"([\[\]{}*?\\])", r"\\\1", unquote(f)) for f in files]
+
+
+def read_json(spark: SparkSession, path: str | list[str], record_type: str = "time_series") -> DataFrame:
     """A file holds an array of records, one record, or one record per line.
 
-    The first line tells which: only a complete object on a line of its own is read line by
-    line, which splits. Anything else than records yields no record.
+    The first line of each file tells which: after a complete object it is read line by line, which splits.
+    Other files are read whole, one per task; their elements are values of their own. What is unreadable as a
+    whole is read by lines if one of them is an object, else it is a reject. Other values than records
+    yield no record.
     """
-    top = spark.read.text(path).where(F.length(F.trim("value")) > 0).limit(1)
-    kind = F.schema_of_variant(F.try_parse_json("value"))
-    if not top.where(kind.startswith("OBJECT")).isEmpty():
+    top = spark.read.text(path).select("value", _file(), F.col("_metadata.file_block_start").alias("at"))
+    top = top.where((F.col("at") == 0) & (F.length(F.trim("value")) > 0))
+    is_object = F.coalesce(F.schema_of_variant(F.try_parse_json("value")).startswith("OBJECT"), F.lit(False))
+    top = top.select(SOURCE, (F.monotonically_increasing_id() * 2 + is_object.cast("int")).alias("place"))
+    found = top.groupBy(SOURCE).agg((F.min("place") % 2 == 1).alias("by_line")).collect()
+    by_line, whole = ([r[SOURCE] for r in found if r["by_line"] is kind] for kind in (True, False))
+    if not whole:
         return read_jsonl(spark, path, record_type)
-    whole = (
-        spark.read.option("singleVariantColumn", "record")
-        .option("multiLine", True)
-        .json(path)
-        .select("record", _file())
+    own = _whole_json(spark, paths_of(whole) if by_line else path, record_type)
+    return own.unionByName(read_jsonl(spark, paths_of(by_line), record_type)) if by_line else own
+
+
+def _whole_json(spark: SparkSession, path: str | list[str], record_type: str) -> DataFrame:
+    """Each file is one text of at most 2 GB; a VARIANT, which ends at 128 MiB, holds one element of it only."""
+    text = F.regexp_replace("value", r"^\uFEFF?\s+|^\uFEFF", "")
+    files = spark.read.text(path, wholetext=True).select(text.alias("value"), _file())
+    elements = F.from_json("value", "array<variant>")
+    # a single object is an array of one; anything else at the top is no record
+    typed = F.when(F.col("value").startswith("["), elements).when(
+        F.col("value").startswith("{"), F.from_json(F.concat(F.lit("["), "value", F.lit("]")), "array<variant>")
     )
-    kind = F.coalesce(F.schema_of_variant("record"), F.lit("ABSENT"))
-    elements = F.when(
-        kind.startswith("ARRAY"), F.try_variant_get("record", "$", "array<variant>")
-    ).when(kind.startswith("OBJECT"), F.array("record"))
-    return process(whole.select(SOURCE, F.explode(elements).alias("record")), record_type)
+    bad = F.col("records").isNull() & F.col("value").rlike(r"^[\[{]\s*[^\s\]\[{}]|^[\[{]\s*[\[{]")
+    lines = F.filter(F.split("value", r"\r?\n"), lambda x: F.length(F.trim(x)) > 0)
+    objects = F.exists(lines, lambda x: F.coalesce(F.schema_of_variant(F.try_parse_json(x)).startswith("OBJECT"), F.lit(False)))
+    texts = F.when(bad, F.when(objects, lines).otherwise(F.array(F.lit(None).cast("string"))))
+    parts = files.withColumn("records", typed).withColumn("texts", texts)
+    good = parts.where("records IS NOT NULL").select(SOURCE, F.explode("records").alias("record"))
+    lost = parts.where("texts IS NOT NULL").select(SOURCE, F.explode("texts").alias("value"))
+    return process(good, record_type).unionByName(_from_lines(lost, record_type))
 
 
-def read_jsonl(spark: SparkSession, path: str, record_type: str = "time_series") -> DataFrame:
+def read_jsonl(spark: SparkSession, path: str | list[str], record_type: str = "time_series") -> DataFrame:
     """One record per line; blank lines are skipped, unreadable ones become rejects."""
     lines = spark.read.text(path).select(F.col("value"), _file())
-    parsed = json_records(lines.where(F.length(F.trim("value")) > 0))
-    done = process(parsed, record_type)
+    return _from_lines(lines.where(F.length(F.trim("value")) > 0), record_type)
+
+
+def _from_lines(lines: DataFrame, record_type: str) -> DataFrame:
+    done = process(json_records(lines), record_type)
     unreadable = F.when(F.try_parse_json("value").isNull(), F.lit("Invalid JSON"))
     return done.withColumn("error", F.coalesce(unreadable, "error")).drop("value")
 

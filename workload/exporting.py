@@ -204,6 +204,19 @@ def roundtrip_json(spark, sf):
     return _back(_round_trip(spark, sf, "json"))
 
 
+@query("json_array_records", _BACK)
+def json_array_records(spark, sf):
+    """Files that each hold one array, on one line."""
+    path = work_path(spark, "events-arrays")
+    numbers = F.transform_values("measurements", lambda _, v: protocols.token(v))
+    rows = records(spark, sf).withColumn("measurements", numbers)
+    line = F.to_json(F.struct("series_id", F.col("timestamp_raw").alias("timestamp"), "measurements"))
+    arrays = rows.groupBy(F.expr("event_id div 10000")).agg(F.array_join(F.collect_list(line), ",").alias("lines"))
+    whole = arrays.select(F.concat(F.lit("["), "lines", F.lit("]")))
+    whole.write.option("maxRecordsPerFile", 1).text(path)
+    return _back(formats.read_records(spark, path, "json"))
+
+
 @query("roundtrip_jsonl_gzip", _BACK)
 def roundtrip_jsonl_gzip(spark, sf):
     return _back(_round_trip(spark, sf, "gzip", "jsonl", inner="jsonl"))
