@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewell.operators import limiter, missing, reshape
+from tidewell.operators.steps import clean
 from tidewell.plans import chunking, quantiles
 
 ORDER = ["ts", "id"]
@@ -127,3 +128,29 @@ def test_arrays_are_bounded_and_whole(skewed, size):
     assert got["timestamps"].map(len).max() == 50
     assert got["timestamps"].map(len).sum() == skewed.count()
     assert all(list(t) == sorted(t) for t in got["timestamps"])
+
+
+@pytest.mark.parametrize("by", [["s"], []])
+@pytest.mark.parametrize("method", ["linear", "ffill", "bfill"])
+def test_text_order_keys_work_at_any_size(skewed, by, method, monkeypatch):
+    texts = skewed.withColumn("ts", F.date_format("ts", "yyyy-M-d HH:m:s"))
+    plain = missing.interpolate(texts, ["v"], ORDER, by, method, bounds=[])
+    monkeypatch.setattr(chunking, "ROWS_PER_CHUNK", 100)
+    assert len(chunking.chunk_bounds(texts, "ts")) > 8
+    cut = missing.interpolate(texts, ["v"], ORDER, by, method)
+    pd.testing.assert_frame_equal(rows(plain), rows(cut))
+
+
+def test_cut_points_of_texts(spark, monkeypatch):
+    keys = [f"{i:04d}é" for i in range(500)]
+    df = spark.createDataFrame([(k,) for k in [*keys, None, ""]], "k string")
+    bounds = keys[1::3]
+    got = {r["k"]: r[chunking.CHUNK] for r in chunking.with_chunk(df, "k", bounds).collect()}
+    assert got == {None: -1, "": 0, **{k: sum(b <= k for b in bounds) for k in keys}}
+
+
+def test_cleaning_steps_apply_above_the_chunk_size(skewed, monkeypatch):
+    texts = skewed.withColumn("ts", F.col("ts").cast("string"))
+    monkeypatch.setattr(chunking, "ROWS_PER_CHUNK", 100)
+    done = clean(texts, [{"operation": "fill_na", "params": {"method": "ffill"}}], ORDER, ["s"])
+    assert [r.applied for r in done.report] == [True]

@@ -23,6 +23,9 @@ from pyspark.sql import types as T
 
 ROWS_PER_CHUNK = 4_000_000
 MAX_CHUNKS = 4096
+#: text order keys: sampled texts per chunk, and how many of their characters a cut point keeps
+SAMPLE_PER_CHUNK = 20
+CUT_LENGTH = 200
 
 CHUNK = "__chunk"
 EDGE = "__edge"
@@ -44,16 +47,38 @@ def numeric_key(df: DataFrame, column: str) -> Column:
     raise TypeError(f"cannot cut chunks along {column!r} of type {kind.simpleString()}")
 
 
-def chunk_bounds(df: DataFrame, column: str, rows_per_chunk: int | None = None) -> list[float]:
+def text_key(df: DataFrame, column: str) -> Column | None:
+    """An order-preserving text for a text, binary or boolean column, else None."""
+    kind = df.schema[column].dataType
+    if isinstance(kind, T.BinaryType):
+        return F.hex(column)
+    if isinstance(kind, T.StringType) and getattr(kind, "collation", "UTF8_BINARY") != "UTF8_BINARY":
+        return None
+    return F.col(column).cast("string") if isinstance(kind, (T.StringType, T.BooleanType)) else None
+
+
+def chunk_bounds(df: DataFrame, column: str, rows_per_chunk: int | None = None) -> list[float] | list[str]:
     """Inner cut points of equal-depth chunks along ``column``; empty when one chunk is enough.
 
-    One aggregation; at most ``MAX_CHUNKS`` numbers reach the driver.
+    One aggregation; at most ``MAX_CHUNKS`` numbers reach the driver. Texts are cut in their own order, as the
+    window reads them, at beginnings of ``CUT_LENGTH`` characters taken from a sample. A column that is none
+    of these (an array, say) stays one chunk, so that its result does not depend on the number of rows.
     """
+    text = text_key(df, column)
+    if text is None and not isinstance(
+        df.schema[column].dataType, (T.TimestampType, T.TimestampNTZType, T.DateType, T.NumericType)
+    ):
+        return []
     rows_per_chunk = rows_per_chunk or ROWS_PER_CHUNK
     rows = df.count()
     if rows <= rows_per_chunk:
         return []
     n = min(MAX_CHUNKS, -(-rows // rows_per_chunk))
+    if text is not None:
+        starts = df.select(F.substring(text, 1, CUT_LENGTH).alias("s")).where("s IS NOT NULL")
+        share = min(1.0, SAMPLE_PER_CHUNK * n / rows)
+        sample = sorted(r["s"] for r in starts.sample(fraction=share, seed=7).limit(2 * SAMPLE_PER_CHUNK * n).collect())
+        return sorted({sample[len(sample) * i // n] for i in range(1, n)}) if sample else []
     return quantile_edges(df.select(numeric_key(df, column).alias(_KEY)), _KEY, n)
 
 
@@ -68,10 +93,23 @@ def isolate_repeats(edges: Sequence[float]) -> list[float]:
     return sorted({e for v in edges for e in (v, nextafter(v, inf))})
 
 
-def with_chunk(df: DataFrame, column: str, bounds: Sequence[float], name: str = CHUNK) -> DataFrame:
+def _cuts_up_to(key: Column, bounds: Sequence[str]) -> Column:
+    """How many cut points are not above ``key``: looked up among every 64th of them, then among 64."""
+    cuts = F.array(*[F.lit(b) for b in bounds])
+    heads = F.array(*[F.lit(b) for b in bounds[::64]])
+    full = F.greatest(F.size(F.filter(heads, lambda c: c <= key)) - 1, F.lit(0)) * 64
+    return full + F.size(F.filter(F.slice(cuts, full + 1, 64), lambda c: c <= key))
+
+
+def with_chunk(
+    df: DataFrame, column: str, bounds: Sequence[float] | Sequence[str], name: str = CHUNK
+) -> DataFrame:
     """Tag rows with the chunk of ``column``. Null keys form the first chunk, as nulls sort first."""
     if not bounds:
         return df.withColumn(name, F.lit(0))
+    text = text_key(df, column)
+    if text is not None:
+        return df.withColumn(name, F.when(text.isNull(), F.lit(-1)).otherwise(_cuts_up_to(text, bounds)))
     keyed = df.withColumn(_KEY, numeric_key(df, column))
     cut = Bucketizer(
         splits=[-inf, *bounds, inf], inputCol=_KEY, outputCol=name, handleInvalid="keep"
