@@ -118,6 +118,22 @@ def test_json_array_above_the_size_of_a_variant(spark, tmp_path):
     assert good.select("series_id").distinct().count() == 1400
 
 
+def test_csv_files_are_read_by_their_own_header(spark, tmp_path):
+    (tmp_path / "a [1].csv").write_text("ticker,date,open,close\nA,2024-01-01,1,2\n")
+    (tmp_path / "b.csv").write_text("ticker,date,close,open\nB,2024-01-01,2,1\n")
+    (tmp_path / "c.csv").write_text("x,series_id,timestamp\n7,C,2024-01-01\n")
+    rows = by_series(rec.check_canonical(text.read_csv(spark, str(tmp_path))))
+    assert numbers(rows["A"]) == numbers(rows["B"]) == {"open": 1.0, "close": 2.0}
+    assert numbers(rows["C"]) == {"x": 7.0} and not any(r["error"] for r in rows.values())
+
+
+def test_stooq_files_are_read_by_their_own_header(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("TICKER,PER,DATE,TIME,OPEN,CLOSE\nA,D,20240101,000000,1,2\n")
+    (tmp_path / "b.txt").write_text("TICKER,PER,DATE,TIME,CLOSE,OPEN\nB,D,20240101,000000,2,1\n")
+    rows = by_series(formats.read_records(spark, str(tmp_path), "stooq"))
+    assert [(numbers(r)["open"], numbers(r)["close"]) for r in (rows["A"], rows["B"])] == [(1.0, 2.0)] * 2
+
+
 def test_csv_without_header(spark, put):
     rows = by_series(text.read_csv(spark, put("a.csv", "A,2024-01-01,1,z\nB,2024-01-02\nC\n"), header=False))
     assert set(rows) == {"A", "B"}

@@ -2,19 +2,25 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell import schema
 from tidewell.functions.tokens import iso_text, parse_loose
+from tidewell.sources.text import by_header
 
 # The columns of the format, in file order.
 STOOQ_COLUMNS = ["TICKER", "PER", "DATE", "TIME", "OPEN", "HIGH", "LOW", "CLOSE", "VOL", "OPENINT"]
 
 
-def read_stooq(spark: SparkSession, path: str) -> DataFrame:
-    """Canonical columns and ``error``; a bad number drops that field only."""
-    names = spark.read.option("header", True).csv(path).columns
+def read_stooq(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Canonical columns and ``error``; a bad number drops that field only. Each file has its own header."""
+    return reduce(DataFrame.unionByName, [_read_stooq(spark, own, names) for names, own in by_header(spark, path)])
+
+
+def _read_stooq(spark: SparkSession, path: str | list[str], names: list[str]) -> DataFrame:
     fields = ", ".join(f"`{n}` string" for n in names)
     rows = spark.read.schema(fields).option("header", True).csv(path)
     lacking = [c for c in STOOQ_COLUMNS if c not in names]

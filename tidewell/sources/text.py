@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from functools import reduce
 from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -83,15 +84,37 @@ def _from_lines(lines: DataFrame, record_type: str) -> DataFrame:
     return done.withColumn("error", F.coalesce(unreadable, "error")).drop("value")
 
 
-def header_of(spark: SparkSession, path: str, sep: str = ",") -> list[str]:
+def header_of(spark: SparkSession, path: str | list[str], sep: str = ",") -> list[str]:
     return spark.read.option("header", True).option("sep", sep).csv(path).columns
 
 
-def read_csv(spark: SparkSession, path: str, header: bool = True, sep: str = ",") -> DataFrame:
-    """CSV to canonical columns and ``error``. All cells are read as text, with no type guess."""
+def by_header(spark: SparkSession, path: str | list[str], sep: str = ",") -> list[tuple[list[str], str | list[str]]]:
+    """(column names, paths) of the files below ``path``, one pair per distinct header line.
+
+    One job looks at the lines of each file's first block; a header per file reaches the driver.
+    """
+    lines = spark.read.text(path).select("value", _file(), F.col("_metadata.file_block_start").alias("at"))
+    lines = lines.where((F.col("at") == 0) & (F.length(F.trim("value")) > 0))
+    placed = lines.select(SOURCE, F.struct(F.monotonically_increasing_id().alias("id"), "value").alias("line"))
+    groups: dict[str, list[str]] = {}
+    for r in placed.groupBy(SOURCE).agg(F.min("line").alias("line")).orderBy(SOURCE).collect():
+        groups.setdefault(r["line"]["value"].removeprefix("\ufeff").rstrip(), []).append(r[SOURCE])
+    if len(groups) < 2:
+        return [(header_of(spark, path, sep), path)]
+    return [(header_of(spark, paths_of(own[:1]), sep), paths_of(own)) for own in groups.values()]
+
+
+def read_csv(spark: SparkSession, path: str | list[str], header: bool = True, sep: str = ",") -> DataFrame:
+    """CSV to canonical columns and ``error``. All cells are read as text, with no type guess.
+
+    Files may differ in their headers: each is read by its own.
+    """
     if not header:
         return _read_headerless(spark, path, sep)
-    names = header_of(spark, path, sep)
+    return reduce(DataFrame.unionByName, [_read_csv(spark, own, names, sep) for names, own in by_header(spark, path, sep)])
+
+
+def _read_csv(spark: SparkSession, path: str | list[str], names: list[str], sep: str) -> DataFrame:
     fields = ", ".join(f"`{n}` string" for n in (*names, _EXTRA))
     rows = (
         spark.read.schema(fields).option("header", True).option("sep", sep).csv(path).select("*", _file())

@@ -262,6 +262,20 @@ def roundtrip_csv_headerless(spark, sf):
     )
 
 
+@query("csv_mixed_headers", _BACK)
+def csv_mixed_headers(spark, sf):
+    """Files of one folder whose headers name the columns in different orders."""
+    path = work_path(spark, "events-headers")
+    rows = records(spark, sf).select(
+        "event_id", "series_id", F.col("timestamp_raw").alias("timestamp"), q.metric("value").alias("value"), q.metric("k").alias("k")
+    )
+    orders = [["series_id", "timestamp", "value", "k"], ["k", "value", "timestamp", "series_id"], ["timestamp", "k", "series_id", "value"]]
+    for i, names in enumerate(orders):
+        part = rows.where(F.col("event_id") % len(orders) == i).select(*names)
+        part.write.mode("append").option("header", True).csv(path)
+    return _back(formats.read_records(spark, path, "csv"))
+
+
 def _columnar(spark, sf, fmt):
     path = work_path(spark, f"events-{fmt}")
     files.write_records(records(spark, sf).select("series_id", "timestamp", "measurements"), path, fmt)
