@@ -1,5 +1,6 @@
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from tidewell.llm import chat, licences
 from tidewell.llm.licences import Template
@@ -98,6 +99,22 @@ def test_rotation(spark):
     assert {k[2] for k in own if k[0] == 4} == {-1, -2}
 
 
+def test_spans_of_a_large_block_are_summed_once(spark):
+    n = 20_000
+    turns = spark.range(n).select(
+        F.lit(None).cast("long").alias("conv_id"), F.lit(None).cast("long").alias("turn"),
+        F.concat(F.lit("r"), F.col("id") % 3).alias("role"), F.concat(F.lit("text é "), F.col("id")).alias("text"),
+    )
+    out = chat.rotate_perspectives(turns)
+    assert "aggregate(slice(" not in out._jdf.queryExecution().toString()
+    rows = {r.perspective: r for r in out.collect()}
+    assert set(rows) == {"r0", "r1", "r2"}
+    for i in range(3):
+        r = rows[f"r{i}"]
+        said = [r.text[s.start : s.end].removesuffix(chat.END) for s in r.mask]
+        assert said == sorted(f"text é {k}" for k in range(i, n, 3))
+
+
 def test_no_turns(spark):
     none = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert chat.rotate_perspectives(none).collect() == []

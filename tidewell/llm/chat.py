@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell.session import written
@@ -31,7 +31,8 @@ def rotate_perspectives(
     perspective, null, with nothing to train on. Turns stand in the order (turn, role, text), nulls first.
     Repeated rows of a turn are one turn: ``n_rows`` counts the rows, ``n_turns`` the turns. A null role is
     a user without name, a null text empty; a null conversation is one of its own. A long conversation gives
-    several blocks, by turn number (those without a number are block null), so no task holds all its turns.
+    several blocks, by turn number (those without a number are block null). The text of a block is one row, so
+    turns that share their number, or have none, are in one task; where they start is summed before that.
     """
     t = turns.select(
         F.col(conv_id).alias("conv_id"),
@@ -48,35 +49,43 @@ def rotate_perspectives(
         .select(F.col("conv_id").alias("c"), "perspective"),
         "perspectives",
     )
-    blocks = (
+
+    def head(said: Column) -> Column:
+        return F.concat(F.lit(START), said, F.lit("\n"))
+
+    name = F.regexp_replace(_plain(F.col("role")), r"[ \t\n\x0B\f\r]", "_")
+    user = F.when(F.col("role").isNull(), F.lit("user")).otherwise(F.concat(F.lit("user name="), name))
+    other = head(F.when(F.col("role") == "system", F.lit("system")).otherwise(user))
+    assistant = head(F.lit("assistant"))
+
+    def before(length: Column, *within: str) -> Column:
+        w = Window.partitionBy("conv_id", "block", *within).orderBy("turn", "role", "text")
+        return F.coalesce(F.sum(length).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+    body = F.concat(_plain(F.col("text")), F.lit(END))
+    # a turn starts after all before it as others see them, but the speaker's own ones have another head
+    parts = (
         t.groupBy("conv_id", "block", "turn", "role", "text")
         .agg(F.count("*").alias("n"))
-        .groupBy("conv_id", "block")
-        .agg(F.sum("n").alias("n_rows"), F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
+        .withColumns({"other": other, "body": body})
+        .withColumn("seen", before(F.char_length("other") + F.char_length("body") + 1))
+        .withColumn("start", F.col("seen") + before(F.char_length(assistant) - F.char_length("other"), "role"))
+    )
+    part = F.struct("turn", "role", "text", "other", "body", "start")
+    blocks = parts.groupBy("conv_id", "block").agg(
+        F.sum("n").alias("n_rows"), F.array_sort(F.collect_list(part)).alias("turns")
     )
     each = blocks.join(perspectives, F.col("conv_id").eqNullSafe(F.col("c")))
 
     def own(x: Column) -> Column:
         return F.coalesce(x["role"] == F.col("perspective"), F.lit(False))
 
-    def head(x: Column) -> Column:
-        name = F.regexp_replace(_plain(x["role"]), r"[ \t\n\x0B\f\r]", "_")
-        user = F.when(x["role"].isNull(), F.lit("user")).otherwise(F.concat(F.lit("user name="), name))
-        said = F.when(own(x), F.lit("assistant")).when(x["role"] == "system", F.lit("system")).otherwise(user)
-        return F.concat(F.lit(START), said, F.lit("\n"))
-
-    def part(x: Column) -> Column:
-        return F.struct(head(x).alias("head"), F.concat(_plain(x["text"]), F.lit(END)).alias("body"), own(x).alias("own"))
-
-    size = lambda p: F.char_length(p["head"]) + F.char_length(p["body"]) + 1
-    each = each.withColumn("parts", F.transform("turns", part)).withColumn("sizes", F.transform("parts", size))
-
-    def before(i: Column) -> Column:
-        return F.aggregate(F.slice("sizes", F.lit(1), i), F.lit(0), lambda a, b: a + b)
+    def shown(x: Column) -> Column:
+        return F.concat(F.when(own(x), assistant).otherwise(x["other"]), x["body"], F.lit("\n"))
 
-    def span(p: Column, i: Column) -> Column:
-        start = before(i) + F.char_length(p["head"])
-        return F.when(p["own"], F.struct(start.alias("start"), (start + F.char_length(p["body"])).alias("end")))
+    def span(x: Column) -> Column:
+        start = (x["start"] + F.char_length(assistant)).cast("int")
+        return F.struct(start.alias("start"), (start + F.char_length(x["body"])).alias("end"))
 
     return each.select(
         "conv_id",
@@ -84,6 +93,6 @@ def rotate_perspectives(
         "block",
         F.size("turns").cast("long").alias("n_turns"),
         "n_rows",
-        F.array_join(F.transform("parts", lambda p: F.concat(p["head"], p["body"], F.lit("\n"))), "").alias("text"),
-        F.array_compact(F.transform("parts", span)).alias("mask"),
+        F.array_join(F.transform("turns", shown), "").alias("text"),
+        F.transform(F.filter("turns", own), span).alias("mask"),
     )
