@@ -7,7 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm import chat, decontamination, jaccard, language, licences, line_dedup, packing, sharding, topk, warc
+from tidewell.llm import (
+    chat,
+    decontamination,
+    jaccard,
+    language,
+    licences,
+    line_dedup,
+    packing,
+    runs,
+    sharding,
+    token_counts,
+    topk,
+    warc,
+)
 from tidewell.llm.common import UPPER, table
 from tidewell.session import work_path
 
@@ -193,3 +206,40 @@ def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = jaccard.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return groups.withColumnRenamed("doc", "doc_id")
+
+
+@query("op12_token_counts")
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = token_counts.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_bytes", "n_tokens", "over_limit")
+
+
+def _made_periodic(docs: DataFrame) -> DataFrame:
+    """Every tenth text, by a hash of its id, repeats a stretch of its words to the end; no id: unchanged."""
+    hashed = docs.withColumn("h", F.crc32(F.col("doc_id").cast("string")))
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    chosen = hashed.withColumns({"words": F.when(F.col("h") % 10 == 0, words), "g": F.floor(F.col("h") / 10)})
+    some = F.size("words") > 0
+    n = F.greatest(F.size("words"), F.lit(1)).cast("long")
+    placed = chosen.withColumn("a", F.col("g") % n).withColumn("p", 1 + F.floor((n - F.col("a")) / (3 + F.col("g") % 8)))
+    again = F.transform(
+        F.sequence(F.lit(0).cast("long"), n - F.col("a") - 1),
+        lambda i: F.get("words", (F.col("a") + i % F.col("p")).cast("int")),
+    )
+    made = F.array_join(F.concat(F.slice("words", 1, F.col("a").cast("int")), again), " ")
+    return placed.select("doc_id", F.when(some, made).otherwise(F.col("text")).alias("text"))
+
+
+@query("op13_periodic_runs")
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = runs.find_runs(_made_periodic(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    out = out.withColumn("top", runs.best_run())
+    line = F.transform("runs", lambda r: F.concat(F.concat_ws(",", *[r[c].cast("string") for c in ("start", "length", "period")]), F.lit("\n")))
+    return out.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        *[F.col(f"top.{c}").alias(c) for c in ("start", "length", "period")],
+        F.expr("(1000 * top.length) div top.period").alias("exponent_milli"),
+        F.sha2(F.array_join(line, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
