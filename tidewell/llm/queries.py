@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidewell.llm import (
     chat,
+    conversation_repair,
     decontamination,
     jaccard,
     language,
@@ -243,3 +244,79 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join(line, ""), 256).alias("runs_sha256"),
         F.sha2("collapsed", 256).alias("collapsed_sha256"),
     )
+
+
+#: CRC-32 of ASCII text by a table of 256 entries, which the rule of its polynomial gives
+_CRC = """xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT),
+    list_transform(string_split({text}, ''), lambda x: CAST(ord(x) AS BIGINT))),
+    lambda c, b: xor(c >> 8, crc_table.t[(xor(c, b) & 255) + 1])))"""
+_CRC_TABLE = """SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)),
+    lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS t"""
+
+
+@query(
+    "op11_conversation_repair",
+    f"""
+    WITH RECURSIVE crc_table AS ({_CRC_TABLE}),
+    f AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_CRC.format(
+        text="coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')")} % 20 AS f
+      FROM conversations, crc_table),
+    damaged AS (SELECT conv_id, turn, CASE WHEN f = 4 THEN 'user' ELSE role END AS role,
+        CASE f WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+        unnest(range(CASE WHEN f = 3 THEN 2 ELSE 1 END)) AS copy FROM f WHERE f <> 0),
+    numbered AS (SELECT conv_id, turn, role, text, left(role, 1) AS c, trim(text, {_BLANKS}) AS inner_text,
+        row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) AS i FROM damaged),
+    placed AS (SELECT *, i > min(i) OVER (PARTITION BY conv_id, role, text) AS again FROM numbered),
+    faults AS (SELECT *, inner_text = '' AS blank, inner_text <> '' AND again AS dup,
+        inner_text <> '' AND NOT again AND right(inner_text, 1) NOT IN ('.', '!', '?') AS cut,
+        lag(c) OVER (PARTITION BY conv_id ORDER BY i) || c NOT IN ('su', 'ua', 'au') AS odd FROM placed),
+    counts AS (SELECT conv_id, max(i) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+        count(*) FILTER (blank) AS blank, count(*) FILTER (dup) AS dup, count(*) FILTER (cut) AS cut,
+        count(*) FILTER (odd) AS odd FROM faults GROUP BY conv_id),
+    inserts AS (SELECT * FROM (VALUES (0, 0, []), (0, 2, ['user:']), (0, 3, ['user:', 'assistant:']),
+        (1, 1, []), (1, 2, ['user:']), (1, 3, ['user:', 'assistant:']), (2, 2, []), (2, 3, ['assistant:']),
+        (3, 3, []), (3, 2, ['user:'])) v(p, q, made)),
+    edits AS (SELECT * FROM (VALUES ('D', NULL, 0, 0), ('D', NULL, 1, 1), ('D', NULL, 2, 2), ('D', NULL, 3, 3),
+        ('K', 's', 0, 1), ('K', 'u', 0, 2), ('K', 'u', 1, 2), ('K', 'a', 2, 3), ('K', 'u', 3, 2),
+        ('R', 'user', 0, 2), ('R', 'user', 1, 2), ('R', 'assistant', 2, 3), ('R', 'user', 3, 2)) v(e, x, p, q)),
+    steps AS (SELECT a.p, b.q, b.e, b.x, a.made, repeat('I', len(a.made)) || b.e AS audit,
+        3 * len(a.made) + CASE b.e WHEN 'R' THEN 3 WHEN 'D' THEN 4 ELSE 0 END AS cost
+        FROM inserts a JOIN edits b ON b.p = a.q),
+    ways AS (
+      SELECT conv_id, CAST(0 AS BIGINT) AS i, 0 AS state, CAST(0 AS BIGINT) AS cost, '' AS audit, CAST([] AS VARCHAR[]) AS made
+      FROM counts
+      UNION ALL
+      SELECT conv_id, i, state, cost, audit, made FROM (
+        SELECT w.conv_id, w.i + 1 AS i, s.q AS state,
+          w.cost + s.cost + CASE WHEN r.cut AND s.e <> 'D' THEN 3 ELSE 0 END AS cost, w.audit || s.audit AS audit,
+          w.made || CAST(s.made AS VARCHAR[]) || CASE s.e WHEN 'K' THEN [r.role || ':' || r.text] WHEN 'R' THEN [s.x || ':' || r.text]
+            ELSE CAST([] AS VARCHAR[]) END AS made
+        FROM ways w JOIN faults r ON r.conv_id IS NOT DISTINCT FROM w.conv_id AND r.i = w.i + 1
+          JOIN steps s ON s.p = w.state AND (s.e = 'D' OR (NOT r.blank AND NOT r.dup AND (s.e = 'R' OR s.x = r.c))))
+      QUALIFY row_number() OVER (PARTITION BY conv_id, i, state ORDER BY cost, audit) = 1),
+    ends AS (SELECT * FROM (VALUES (0, []), (1, ['user:', 'assistant:']), (2, ['assistant:']), (3, [])) v(state, made)),
+    best AS (SELECT w.conv_id, w.cost + 3 * len(e.made) AS cost, w.audit || repeat('I', len(e.made)) AS audit,
+        sha256(coalesce(array_to_string(w.made || CAST(e.made AS VARCHAR[]), chr(10)), '')) AS repaired
+      FROM ways w JOIN counts c ON c.conv_id IS NOT DISTINCT FROM w.conv_id AND c.n = w.i JOIN ends e ON e.state = w.state
+      QUALIFY row_number() OVER (PARTITION BY w.conv_id ORDER BY w.cost + 3 * len(e.made), w.audit || repeat('I', len(e.made))) = 1)
+    SELECT o.conv_id, coalesce(c.gaps, 0) AS gaps, coalesce(c.blank, 0) AS blank, coalesce(c.dup, 0) AS duplicate,
+      coalesce(c.cut, 0) AS truncated, coalesce(c.odd, 0) AS illegal, CAST(coalesce(b.cost, 0) AS BIGINT) AS cost,
+      coalesce(b.audit, '') AS audit, coalesce(b.repaired, sha256('')) AS repaired_sha256
+    FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM o.conv_id
+      LEFT JOIN best b ON b.conv_id IS NOT DISTINCT FROM o.conv_id""",
+)
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    edits, summary = conversation_repair.repair_conversations(conversation_repair.damaged(turns))
+    counts = [c for c in summary.columns if c != "conv_id"]
+    # all conversations, figures and digests meet in one grouping, where a null id is a key like others
+    all_of = turns.select("conv_id").unionByName(summary, allowMissingColumns=True).groupBy("conv_id")
+    figures = all_of.agg(*[F.coalesce(F.max(c), F.lit(0)).cast("long").alias(c) for c in counts])
+    texts = conversation_repair.digests(edits).withColumnRenamed("name", "_name")
+    out = figures.join(texts, F.col("conv_id").cast("string").eqNullSafe(F.col("_name")), "left")
+    return out.select(
+        "conv_id",
+        *counts,
+        F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"),
+    )
