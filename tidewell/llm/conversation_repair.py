@@ -408,7 +408,8 @@ def _digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     name, audit, digest, lines = None, [], None, 0
 
     def out() -> pa.RecordBatch:
-        return pa.RecordBatch.from_pydict({"name": [name], "audit": ["".join(audit)], "repaired_sha256": [digest.hexdigest()]})
+        values = [name, "".join(audit), digest.hexdigest()]
+        return pa.RecordBatch.from_arrays([pa.array([v], pa.string()) for v in values], ["name", "audit", "repaired_sha256"])
 
     for batch in batches:
         for row in batch.to_pylist():
