@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -132,3 +133,39 @@ def test_components_of_chains_and_stars(spark):
             root[a] = root[b] = min(root[a], root[b])
     assert got == {x: r for x, r in root.items() if x != r}
     assert C.components(spark.createDataFrame([(1, 1)], "a long, b long").where(F.lit(False))).collect() == []
+
+
+def test_crowded_group_verifies_few_pairs(spark, monkeypatch):
+    """Near copies of one text share most of their parts; parity bits leave about the links to verify."""
+    pick = random.Random(17)
+    words = [f"w{k}" for k in range(150)]
+    rows = []
+    for doc in range(150):
+        own = list(words)
+        for k in pick.sample(range(150), pick.randrange(2, 11)):
+            own[k] = f"x{doc}-{k}"
+        rows.append((doc, " ".join(own)))
+    seen = []
+    plain = jaccard._verify
+
+    def counted(pairs, *rest):
+        out = plain(pairs, *rest)
+        seen.append((out.count(), out.where("linked").count()))
+        return out
+
+    monkeypatch.setattr(jaccard, "_verify", counted)
+    got = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc, r.n_shingles, r.component_id) for r in got) == sorted(brute_components(rows))
+    verified, linked = (sum(x) for x in zip(*seen, strict=True))
+    assert verified <= linked + 20
+
+
+def test_bit_distance_is_a_lower_bound():
+    pick = np.random.default_rng(5)
+    for size in (1, 5, 100, 3000):
+        a = np.unique(pick.integers(0, 1 << 63, size).astype(np.uint64))
+        b = np.unique(np.concatenate([a[: size // 2], pick.integers(0, 1 << 63, size // 3).astype(np.uint64)]))
+        apart = len(np.setxor1d(a, b))
+        for x, y in ((512, 512), (512, 4096), (8192, 1024)):
+            assert S.distance(S.bit_sketch(a, x), S.bit_sketch(b, y)) <= apart
+        assert S.distance(S.bit_sketch(a, 1 << 20), S.bit_sketch(b, 1 << 20)) >= 0.95 * apart

@@ -10,7 +10,9 @@
 4.  Classes that agree in a part are candidates. Where many agree, the shingles that only one of them holds
     are counted: they tell most pairs that cannot link. The rest are first compared with a few pivots; classes
     that are connected then need no further comparison, the others are compared.
-5.  Candidates are verified on their whole texts; links give components.
+5.  Every pair must pass a bound before it goes on: parity bits of the two sets differ in no more places than the
+    sets differ in shingles, so a Hamming distance above d rules a link out. What is left is verified on whole
+    texts; links give components.
 """
 
 from __future__ import annotations
@@ -39,6 +41,8 @@ PIVOTS = 0
 ROUNDS = 1
 #: classes of one part that are compared in one task
 SIDE = 1024
+#: 64-bit words of the sketches that are compared first, and the least width in bits
+COARSE, LEAST_BITS = 8, 512
 
 
 class Bands:
@@ -61,6 +65,10 @@ class Bands:
         """Most shingles in which two linked sets of together ``sizes`` differ."""
         return sizes * (self.den - self.num) // (self.den + self.num)
 
+    def bits(self, n: int) -> int:
+        """Places of the parity bits of a set: 32 or more for each shingle in which a linked set may differ."""
+        return max(LEAST_BITS, 1 << (32 * self.apart(n + n * self.den // self.num)).bit_length())
+
     def roles(self, n: int) -> Iterator[tuple[int, int]]:
         """(band, d): the bands of partners at least as large, and d for the largest of them."""
         most = n * self.den // self.num
@@ -363,40 +371,94 @@ def _pairs_with_pivots(crowded: DataFrame, seeds: list[int], num: int, den: int)
     return pairs.select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b"))
 
 
-def _cross(num: int, den: int):
-    """Pairs of one part and two sides of it that may link, from different components."""
+def _bit_sketched(bands: Bands):
+    def run(texts: pa.Array) -> pa.Array:
+        own = (S.shingles(raw) for raw in texts.to_pylist())
+        return pa.array([S.bit_sketch(x, bands.bits(len(x))) for x in own], pa.binary())
+
+    return F.arrow_udf(run, "binary")
+
+
+def _sketches(texts: DataFrame, bands: Bands) -> DataFrame:
+    """(node, size, bits) of each class; a class with several texts has no bits, and no pair of it is ruled out."""
+    said = F.arrow_udf(_sets, "n long, a long, b long")
+    own = texts.select("node", said("text")["n"].alias("size"), _bit_sketched(bands)("text").alias("bits"))
+    several = F.count("*") > 1
+    return written(
+        own.groupBy("node").agg(F.when(~several, F.max("size")).alias("size"), F.when(~several, F.max("bits")).alias("bits")),
+        "sketches",
+    )
+
+
+def _near_enough(bands: Bands):
+    def run(x: pa.Array, y: pa.Array, sizes: pa.Array) -> pa.Array:
+        rows = zip(x.to_pylist(), y.to_pylist(), sizes.to_pylist(), strict=True)
+        return pa.array([n is None or S.distance(a, b) <= bands.apart(n) for a, b, n in rows], pa.bool_())
+
+    return F.arrow_udf(run, "boolean")
+
+
+def _may_link(pairs: DataFrame, sketches: DataFrame, bands: Bands) -> DataFrame:
+    """The distinct pairs (a, b) that their parity bits do not rule out."""
+    left = sketches.select(F.col("node").alias("a"), F.col("size").alias("n"), F.col("bits").alias("x"))
+    right = sketches.select(F.col("node").alias("b"), F.col("size").alias("m"), F.col("bits").alias("y"))
+    both = pairs.distinct().join(left, "a").join(right, "b")
+    return both.where(_near_enough(bands)("x", "y", F.col("n") + F.col("m"))).select("a", "b")
+
+
+def _cross(bands: Bands):
+    """Pairs of one part and two sides of it that may link, from different components.
+
+    A pair is looked at by its coarse parity bits, then by all of them, and given only by the first part that
+    both classes hold.
+    """
 
     def run(table: pa.Table) -> pa.Table:
         node, n, root, e, side = (table[c].to_numpy() for c in ("node", "n", "root", "e", "left"))
+        tok, bits, parts = table["tok"][0].as_py(), table["bits"].to_pylist(), table["toks"].to_pylist()
+        coarse = np.zeros((len(node), COARSE), np.uint64)
+        for k, own in enumerate(bits):
+            if own is not None:
+                coarse[k] = S.folded(np.frombuffer(own, np.uint64), COARSE)
+        known = np.array([x is not None for x in bits])
         one, two = np.flatnonzero(side), np.flatnonzero(~side)
         if not len(one) or not len(two):  # a side with itself
             one = two = np.arange(len(node))
-        out = []
+        pairs = set()
         for i in one:
             j = two[(root[two] != root[i]) & (node[two] != node[i]) & (e[two] + e[i] <= 0)]
-            j = j[_close(n[j], n[i], num, den)]
-            out.append(np.stack([np.minimum(node[j], node[i]), np.maximum(node[j], node[i])]))
-        pairs = np.unique(np.concatenate(out, axis=1), axis=1) if out else np.zeros((2, 0), np.int64)
-        return pa.table({"a": _long(pairs[0]), "b": _long(pairs[1])})
+            j = j[_close(n[j], n[i], bands.num, bands.den)]
+            most = (n[j] + n[i]) * (bands.den - bands.num) // (bands.den + bands.num)
+            told = known[j] & known[i]
+            j = j[~told | (np.bitwise_count(coarse[j] ^ coarse[i]).sum(axis=1, dtype=np.int64) <= most)]
+            for k in j.tolist():
+                if known[i] and known[k] and S.distance(bits[i], bits[k]) > bands.apart(int(n[i] + n[k])):
+                    continue
+                if tok == min(set(parts[i]).intersection(parts[k])):
+                    pairs.add((min(node[i], node[k]), max(node[i], node[k])))
+        a, b = zip(*pairs, strict=True) if pairs else ((), ())
+        return pa.table({"a": _long(a), "b": _long(b)})
 
     return run
 
 
-def _pairs_across(crowded: DataFrame, num: int, den: int) -> DataFrame:
-    """All pairs from different components of a part, in blocks of two sides of bounded size."""
+def _pairs_across(crowded: DataFrame, sketches: DataFrame, bands: Bands) -> DataFrame:
+    """All pairs from different components of a part that may link, in blocks of two sides of bounded size."""
+    held = crowded.groupBy("node").agg(F.collect_set("tok").alias("toks"))
+    crowded = crowded.join(held.join(sketches.select("node", "bits"), "node"), "node")
     sides = F.ceil(F.col("size") / SIDE).cast("long")
     own = crowded.withColumn("sides", sides).withColumn("side", F.pmod(F.xxhash64("node"), F.col("sides")))
     dealt = own.withColumn("other", F.explode(F.expr("sequence(0L, sides - 1)"))).select(
         "tok", F.least("side", "other").alias("x"), F.greatest("side", "other").alias("y"),
-        (F.col("side") <= F.col("other")).alias("left"), "node", "n", "root", "e",
+        (F.col("side") <= F.col("other")).alias("left"), "node", "n", "root", "e", "bits", "toks",
     )
-    return dealt.groupBy("tok", "x", "y").applyInArrow(_cross(num, den), "a long, b long")
+    return dealt.groupBy("tok", "x", "y").applyInArrow(_cross(bands), "a long, b long")
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, num: int, den: int) -> DataFrame:
     left = texts.select(F.col("node").alias("a"), F.col("text").alias("ta"))
     right = texts.select(F.col("node").alias("b"), F.col("text").alias("tb"))
-    joined = pairs.distinct().join(left, "a").join(right, "b").select("a", "b", "ta", "tb")
+    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb")
     out = joined.mapInArrow(_verified(num, den), "a long, b long, both long, together long, linked boolean")
     return written(out, "verified")
 
@@ -412,11 +474,16 @@ def _unsettled(members: DataFrame, roots: DataFrame) -> DataFrame | None:
 
 def roots_of(members: DataFrame, texts: DataFrame, tied: DataFrame | None, num: int, den: int) -> DataFrame:
     """(node, root) of all classes that are not roots; ``tied``: links that are known before."""
+    bands = Bands(num, den, 1.0)
+    sketches = _sketches(texts, bands)
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        return _verify(_may_link(pairs, sketches, bands), texts, num, den).where("linked").select("a", "b")
+
     crowded = members.where("tok IS NOT NULL").select("tok", "node", "n", "size", F.col("node").alias("root"))
-    crowded = with_excess(crowded, texts, Bands(num, den, 1.0))
+    crowded = with_excess(crowded, texts, bands)
     few = members.where("tok IS NULL").select(F.col("node").alias("a"), F.col("other").alias("b"))
-    pairs = few.union(_pairs_with_pivots(crowded, list(range(PIVOTS)), num, den))
-    links = _verify(pairs, texts, num, den).where("linked").select("a", "b")
+    links = linked(few.union(_pairs_with_pivots(crowded, list(range(PIVOTS)), num, den)))
     roots = components(links if tied is None else links.union(tied))
     for step in range(ROUNDS + 1):
         crowded = _unsettled(crowded, roots)
@@ -425,8 +492,8 @@ def roots_of(members: DataFrame, texts: DataFrame, tied: DataFrame | None, num:
         if step < ROUNDS:
             pairs = _pairs_with_pivots(crowded, [PIVOTS + step], num, den)
         else:  # what pivots have not connected is compared as it is
-            pairs = _pairs_across(crowded, num, den)
-        roots = extended(roots, _verify(pairs, texts, num, den).where("linked").select("a", "b"))
+            pairs = _pairs_across(crowded, sketches, bands)
+        roots = extended(roots, linked(pairs))
     return roots
 
 

@@ -112,3 +112,27 @@ def shared(a: np.ndarray, b: np.ndarray) -> int:
         return 0
     at = np.minimum(np.searchsorted(b, a), len(b) - 1)
     return int((b[at] == a).sum())
+
+
+def bit_sketch(hashes: np.ndarray, bits: int) -> bytes:
+    """A parity bit per place: each shingle flips one of ``bits`` (a power of two) places.
+
+    Sets differ in at least as many shingles as their sketches differ in bits.
+    """
+    at = (mix(hashes ^ _U(0xA0761D6478BD642F)) & _U(bits - 1)).astype(np.int64)
+    return np.packbits(np.bincount(at, minlength=bits) & 1, bitorder="little").tobytes()
+
+
+def folded(sketch: np.ndarray, words: int) -> np.ndarray:
+    """The sketch (64-bit words) that the same set has on fewer places."""
+    while len(sketch) > words:
+        half = len(sketch) // 2
+        sketch = sketch[:half] ^ sketch[half:]
+    return sketch
+
+
+def distance(a: bytes, b: bytes) -> int:
+    """Bits in which two sketches differ, on the places that both have: a lower bound of the symmetric difference."""
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    words = min(len(x), len(y))
+    return int(np.bitwise_count(folded(x, words) ^ folded(y, words)).sum())
