@@ -40,9 +40,9 @@ FEW = 16
 PIVOTS = 0
 ROUNDS = 1
 #: classes of one part that are compared in one task
-SIDE = 1024
-#: 64-bit words of the sketches that are compared first, and the least width in bits
-COARSE, LEAST_BITS = 8, 512
+SIDE = 4096
+#: 64-bit words of what is compared first and of what moves with a class; bits of the smallest sketch
+FIRST, COARSE, LEAST_BITS = 8, 32, 2048
 
 
 class Bands:
@@ -372,22 +372,25 @@ def _pairs_with_pivots(crowded: DataFrame, seeds: list[int], num: int, den: int)
 
 
 def _bit_sketched(bands: Bands):
+    kind = pa.struct([("bits", pa.binary()), ("coarse", pa.binary())])
+
     def run(texts: pa.Array) -> pa.Array:
-        own = (S.shingles(raw) for raw in texts.to_pylist())
-        return pa.array([S.bit_sketch(x, bands.bits(len(x))) for x in own], pa.binary())
+        out = []
+        for raw in texts.to_pylist():
+            own = S.shingles(raw)
+            bits = S.bit_sketch(own, bands.bits(len(own)))
+            out.append({"bits": bits, "coarse": S.folded(np.frombuffer(bits, np.uint64), COARSE).tobytes()})
+        return pa.array(out, kind)
 
-    return F.arrow_udf(run, "binary")
+    return F.arrow_udf(run, "bits binary, coarse binary")
 
 
 def _sketches(texts: DataFrame, bands: Bands) -> DataFrame:
-    """(node, size, bits) of each class; a class with several texts has no bits, and no pair of it is ruled out."""
+    """(node, size, bits, coarse) of each class; one with several texts has none, and no pair of it is ruled out."""
     said = F.arrow_udf(_sets, "n long, a long, b long")
-    own = texts.select("node", said("text")["n"].alias("size"), _bit_sketched(bands)("text").alias("bits"))
-    several = F.count("*") > 1
-    return written(
-        own.groupBy("node").agg(F.when(~several, F.max("size")).alias("size"), F.when(~several, F.max("bits")).alias("bits")),
-        "sketches",
-    )
+    own = texts.select("node", said("text")["n"].alias("size"), _bit_sketched(bands)("text").alias("s")).select("node", "size", "s.*")
+    known = {c: F.when(F.count("*") == 1, F.max(c)).alias(c) for c in ("size", "bits", "coarse")}
+    return written(own.groupBy("node").agg(*known.values()), "sketches")
 
 
 def _near_enough(bands: Bands):
@@ -409,48 +412,41 @@ def _may_link(pairs: DataFrame, sketches: DataFrame, bands: Bands) -> DataFrame:
 def _cross(bands: Bands):
     """Pairs of one part and two sides of it that may link, from different components.
 
-    A pair is looked at by its coarse parity bits, then by all of them, and given only by the first part that
-    both classes hold.
+    A pair is looked at by a few parity bits, then by more; all of them are compared afterwards.
     """
 
     def run(table: pa.Table) -> pa.Table:
         node, n, root, e, side = (table[c].to_numpy() for c in ("node", "n", "root", "e", "left"))
-        tok, bits, parts = table["tok"][0].as_py(), table["bits"].to_pylist(), table["toks"].to_pylist()
-        coarse = np.zeros((len(node), COARSE), np.uint64)
-        for k, own in enumerate(bits):
-            if own is not None:
-                coarse[k] = S.folded(np.frombuffer(own, np.uint64), COARSE)
-        known = np.array([x is not None for x in bits])
+        raw = table["coarse"].to_pylist()
+        known = np.array([x is not None for x in raw])
+        bits = np.frombuffer(b"".join(x or bytes(8 * COARSE) for x in raw), np.uint64).reshape(len(raw), COARSE)
+        first = np.stack([S.folded(x, FIRST) for x in bits]) if len(raw) else np.zeros((0, FIRST), np.uint64)
         one, two = np.flatnonzero(side), np.flatnonzero(~side)
         if not len(one) or not len(two):  # a side with itself
             one = two = np.arange(len(node))
-        pairs = set()
+        out = [np.zeros((2, 0), np.int64)]
         for i in one:
             j = two[(root[two] != root[i]) & (node[two] != node[i]) & (e[two] + e[i] <= 0)]
             j = j[_close(n[j], n[i], bands.num, bands.den)]
-            most = (n[j] + n[i]) * (bands.den - bands.num) // (bands.den + bands.num)
-            told = known[j] & known[i]
-            j = j[~told | (np.bitwise_count(coarse[j] ^ coarse[i]).sum(axis=1, dtype=np.int64) <= most)]
-            for k in j.tolist():
-                if known[i] and known[k] and S.distance(bits[i], bits[k]) > bands.apart(int(n[i] + n[k])):
-                    continue
-                if tok == min(set(parts[i]).intersection(parts[k])):
-                    pairs.add((min(node[i], node[k]), max(node[i], node[k])))
-        a, b = zip(*pairs, strict=True) if pairs else ((), ())
-        return pa.table({"a": _long(a), "b": _long(b)})
+            for words in (first, bits):
+                apart = np.bitwise_count(words[j] ^ words[i]).sum(axis=1, dtype=np.int64)
+                most = (n[j] + n[i]) * (bands.den - bands.num) // (bands.den + bands.num)
+                j = j[~(known[j] & known[i]) | (apart <= most)]
+            out.append(np.stack([np.minimum(node[j], node[i]), np.maximum(node[j], node[i])]))
+        pairs = np.unique(np.concatenate(out, axis=1), axis=1)
+        return pa.table({"a": _long(pairs[0]), "b": _long(pairs[1])})
 
     return run
 
 
 def _pairs_across(crowded: DataFrame, sketches: DataFrame, bands: Bands) -> DataFrame:
     """All pairs from different components of a part that may link, in blocks of two sides of bounded size."""
-    held = crowded.groupBy("node").agg(F.collect_set("tok").alias("toks"))
-    crowded = crowded.join(held.join(sketches.select("node", "bits"), "node"), "node")
+    crowded = crowded.join(sketches.select("node", "coarse"), "node")
     sides = F.ceil(F.col("size") / SIDE).cast("long")
     own = crowded.withColumn("sides", sides).withColumn("side", F.pmod(F.xxhash64("node"), F.col("sides")))
     dealt = own.withColumn("other", F.explode(F.expr("sequence(0L, sides - 1)"))).select(
         "tok", F.least("side", "other").alias("x"), F.greatest("side", "other").alias("y"),
-        (F.col("side") <= F.col("other")).alias("left"), "node", "n", "root", "e", "bits", "toks",
+        (F.col("side") <= F.col("other")).alias("left"), "node", "n", "root", "e", "coarse",
     )
     return dealt.groupBy("tok", "x", "y").applyInArrow(_cross(bands), "a long, b long")
 
