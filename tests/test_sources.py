@@ -103,7 +103,7 @@ def test_json_layout_is_per_file_and_nothing_is_lost(spark, tmp_path):
     for name, content in contents.items():
         (tmp_path / name).write_text(content)
     rows = text.read_json(spark, str(tmp_path)).collect()
-    assert sorted(r["series_id"] for r in rows if not r["error"]) == [f"s{i}" for i in range(1, 7)]
+    assert sorted(r["series_id"] for r in rows if not r["error"]) == [f"s{i}" for i in range(1, 8)]
     assert [r["error"] for r in rows if r["error"]] == ["Invalid JSON"] * 3
 
 
@@ -290,3 +290,34 @@ def test_accepted_and_rejected_cover_the_input(spark, put):
     read = text.read_jsonl(spark, put("a.jsonl", "\n".join(lines)))
     parts = rec.split(read)
     assert (parts.accepted.count(), parts.rejected.count(), read.count()) == (50, 3, 53)
+
+
+def test_delimited_files_are_read_by_their_own_layout(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("SYMBOL;DATE;OPEN;CLOSE\nA;2024-01-01;1;2\n")
+    (tmp_path / "b.txt").write_text("DATE\tCLOSE\tOPEN\tSYMBOL\tNote\n2024-01-02\t4\t3\tB\tx\n\nDATE\tCLOSE\tOPEN\tSYMBOL\tNote\n")
+    (tmp_path / "c.txt").write_text("7 8\n\n9 10\n")
+    (tmp_path / "s.txt").write_text("TICKER,PER,DATE,TIME,OPEN,HIGH,LOW,CLOSE,VOL,OPENINT\nS,D,20240103,000000,5,6,4,5.5,10,0\n")
+    rows = delimited.read_delimited(spark, str(tmp_path)).collect()
+    got = {(r["series_id"], r["timestamp_raw"][:10]): {k: v for k, v in numbers(r, "raw").items() if v is not None} for r in rows}
+    assert got[("A", "2024-01-01")] == {"open": "1", "close": "2"}
+    assert got[("B", "2024-01-02")] == {"open": "3", "close": "4", "note": "x"}
+    assert got[("c", "row_0")] == {"value_1": "8"} and got[("c", "row_2")] == {"value_1": "10"}
+    assert got[("S", "2024-01-03")]["close"] == "5.5"
+    assert len(rows) == 5
+
+
+def test_csv_of_many_headers_is_one_branch(spark, tmp_path):
+    for k in range(60):
+        (tmp_path / f"{k:03}.csv").write_text(f'm{k},ticker,date,Close\n{k},T{k},2024-01-01,{k}.5\n"x, y",T{k},2024-01-02,1,2\n')
+    read = text.read_csv(spark, str(tmp_path))
+    plan = read._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" not in plan
+    rows = rec.check_canonical(read).collect()
+    good = {r["series_id"]: numbers(r) for r in rows if not r["error"]}
+    assert good == {f"T{k}": {f"m{k}": float(k), "close": k + 0.5} for k in range(60)}
+    assert [r["error"] for r in rows if r["error"]] == ["Row is longer than the header"] * 60
+
+
+def test_csv_columns_that_differ_in_case(spark, put):
+    rows = by_series(rec.check_canonical(text.read_csv(spark, put("a.csv", "ticker,date,Open,close,open\nA,2024-01-01,1,2,3\n"))))
+    assert numbers(rows["A"]) == {"open": 3.0, "close": 2.0}

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tidewell import schema
 from tidewell.functions.tokens import bound, parse_timestamp
 
+_END = "end of text"
 NUMBER_KINDS = r"^(BIGINT|DOUBLE|FLOAT|DECIMAL|BOOLEAN)"
 
 
@@ -26,8 +27,14 @@ class Split:
 
 
 def json_records(df: DataFrame, column: str = "value") -> DataFrame:
-    """Parse JSON text into a VARIANT column ``record``; unreadable text gives null."""
-    return df.withColumn("record", F.try_parse_json(column))
+    """Parse JSON text into a VARIANT column ``record``; text that is not exactly one value gives null.
+
+    The parser stops behind the first value, so the text is read as the first of two elements: a marker
+    that stands where it should shows that nothing else followed.
+    """
+    two = df.withColumn("__two", F.try_parse_json(F.concat(F.lit("["), F.col(column), F.lit(f',"{_END}"]'))))
+    whole = (F.try_variant_get("__two", "$[1]", "string") == _END) & F.try_variant_get("__two", "$[2]", "variant").isNull()
+    return two.withColumn("record", F.when(whole, F.try_variant_get("__two", "$[0]", "variant"))).drop("__two")
 
 
 def field(record: Column, name: str) -> Column:

@@ -2,34 +2,36 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell import schema
 from tidewell.functions.tokens import iso_text, parse_loose
-from tidewell.sources.text import by_header
+from tidewell.sources import layouts
 
 # The columns of the format, in file order.
 STOOQ_COLUMNS = ["TICKER", "PER", "DATE", "TIME", "OPEN", "HIGH", "LOW", "CLOSE", "VOL", "OPENINT"]
 
 
+_PLACES = pa.struct([("width", pa.int32()), ("places", pa.list_(pa.int32()))])
+
+
+def _layout(first: str) -> dict:
+    names = layouts.fields_of(first, ",")
+    return {"width": len(names), "places": [names.index(c) if c in names else None for c in STOOQ_COLUMNS]}
+
+
 def read_stooq(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Canonical columns and ``error``; a bad number drops that field only. Each file has its own header."""
-    return reduce(DataFrame.unionByName, [_read_stooq(spark, own, names) for names, own in by_header(spark, path)])
+    return stooq_lines(layouts.lines_of(spark, path))
 
 
-def _read_stooq(spark: SparkSession, path: str | list[str], names: list[str]) -> DataFrame:
-    fields = ", ".join(f"`{n}` string" for n in names)
-    rows = spark.read.schema(fields).option("header", True).csv(path)
-    lacking = [c for c in STOOQ_COLUMNS if c not in names]
-    rows = rows.select(
-        F.col("_metadata.file_path").alias("source_file"),
-        *[F.trim(f"`{c}`").alias(c) for c in STOOQ_COLUMNS if c in names],
-        *[F.lit(None).cast("string").alias(c) for c in lacking],
-    )
-    return stooq_records(rows)
+def stooq_lines(lines: DataFrame) -> DataFrame:
+    known = layouts.described(layouts.first_lines(lines), _layout, _PLACES, "width int, places array<int>")
+    rows = layouts.with_cells(lines, known, ",")
+    cells = [F.trim(F.get("cells", F.get("layout.places", F.lit(i)))).alias(c) for i, c in enumerate(STOOQ_COLUMNS)]
+    return stooq_records(rows.select(layouts.SOURCE, *cells))
 
 
 def stooq_records(rows: DataFrame) -> DataFrame:

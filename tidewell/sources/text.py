@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
-from functools import reduce
-from urllib.parse import unquote
+from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -14,6 +13,8 @@ from pyspark.sql.types import StringType
 from tidewell import schema
 from tidewell.functions.tokens import iso_text, parse_timestamp, token_value
 from tidewell.operators.records import json_records, merge_last_wins, process
+from tidewell.session import written
+from tidewell.sources import json_parts, layouts
 
 # CSV column names with a role; the first group marks price data.
 PRICE_MARKS = {"open", "high", "low", "close", "volume", "vol"}
@@ -21,55 +22,44 @@ PRICE_COLUMNS = ["open", "high", "low", "close", "volume", "vol", "openint"]
 KEY_COLUMNS = {"series_id", "timestamp", "ticker", "date"}
 
 _EXTRA = "__beyond_header"
-SOURCE = "source_file"
+SOURCE = json_parts.SOURCE
 
 
 def _file() -> Column:
     return F.col("_metadata.file_path").alias(SOURCE)
 
 
-def paths_of(files: list[str]) -> list[str]:
-    """``_metadata.file_path`` values as paths to read: unescaped, with glob marks taken literally."""
-    return [re.sub(r"([\[\]{}*?\\])", r"\\\1", unquote(f)) for f in files]
-
-
 def read_json(spark: SparkSession, path: str | list[str], record_type: str = "time_series") -> DataFrame:
     """A file holds an array of records, one record, or one record per line.
 
-    The first line of each file tells which: after a complete object it is read line by line, which splits.
-    Other files are read whole, one per task; their elements are values of their own. What is unreadable as a
-    whole is read by lines if one of them is an object, else it is a reject. Other values than records
-    yield no record.
+    The first ``}`` of each file tells which. Arrays and objects over several lines are cut into their elements,
+    by all tasks that read a part of the file; a broken element is a reject with its text, and those
+    behind it are still read. What looked like an object and is none is read by lines. Other values than records
+    yield no record, single elements that are none are rejects. An element may have 128 MiB. In a folder that
+    mixes layouts, the files are told apart by a join on their names, and a line may have 2 GB.
     """
-    top = spark.read.text(path).select("value", _file(), F.col("_metadata.file_block_start").alias("at"))
-    top = top.where((F.col("at") == 0) & (F.length(F.trim("value")) > 0))
-    is_object = F.coalesce(F.schema_of_variant(F.try_parse_json("value")).startswith("OBJECT"), F.lit(False))
-    top = top.select(SOURCE, (F.monotonically_increasing_id() * 2 + is_object.cast("int")).alias("place"))
-    found = top.groupBy(SOURCE).agg((F.min("place") % 2 == 1).alias("by_line")).collect()
-    by_line, whole = ([r[SOURCE] for r in found if r["by_line"] is kind] for kind in (True, False))
-    if not whole:
-        return read_jsonl(spark, path, record_type)
-    own = _whole_json(spark, paths_of(whole) if by_line else path, record_type)
-    return own.unionByName(read_jsonl(spark, paths_of(by_line), record_type)) if by_line else own
-
-
-def _whole_json(spark: SparkSession, path: str | list[str], record_type: str) -> DataFrame:
-    """Each file is one text of at most 2 GB; a VARIANT, which ends at 128 MiB, holds one element of it only."""
-    text = F.regexp_replace("value", r"^\uFEFF?\s+|^\uFEFF", "")
-    files = spark.read.text(path, wholetext=True).select(text.alias("value"), _file())
-    elements = F.from_json("value", "array<variant>")
-    # a single object is an array of one; anything else at the top is no record
-    typed = F.when(F.col("value").startswith("["), elements).when(
-        F.col("value").startswith("{"), F.from_json(F.concat(F.lit("["), "value", F.lit("]")), "array<variant>")
-    )
-    bad = F.col("records").isNull() & F.col("value").rlike(r"^[\[{]\s*[^\s\]\[{}]|^[\[{]\s*[\[{]")
-    lines = F.filter(F.split("value", r"\r?\n"), lambda x: F.length(F.trim(x)) > 0)
-    objects = F.exists(lines, lambda x: F.coalesce(F.schema_of_variant(F.try_parse_json(x)).startswith("OBJECT"), F.lit(False)))
-    texts = F.when(bad, F.when(objects, lines).otherwise(F.array(F.lit(None).cast("string"))))
-    parts = files.withColumn("records", typed).withColumn("texts", texts)
-    good = parts.where("records IS NOT NULL").select(SOURCE, F.explode("records").alias("record"))
-    lost = parts.where("texts IS NOT NULL").select(SOURCE, F.explode("texts").alias("value"))
-    return process(good, record_type).unionByName(_from_lines(lost, record_type))
+    pieces = json_parts.read_pieces(spark, path)
+    kinds = written(json_parts.kinds_of(pieces), "json_kinds")
+    present = {r["kind"] for r in kinds.select("kind").distinct().collect()}
+    whole = kinds.where(F.col("kind").isin("array", "object"))
+    by_line = kinds.where(F.col("kind") == "lines")
+    if not present & {"array", "object"}:
+        return read_jsonl(spark, path, record_type) if present <= {"lines"} else _lines_of(spark, path, by_line, record_type)
+    found = written(json_parts.elements(pieces.join(whole, SOURCE)), "json_elements")
+    no_object = (F.col("kind") == "object") & F.col("broken")
+    values = written(json_parts.values_of(found.where(~no_object)), "json_values")
+    bad = values.where("record IS NULL AND value IS NOT NULL").select(SOURCE, "value")
+    out = process(values.where("value IS NULL").select(SOURCE, "record"), record_type)
+    out = out.unionByName(_from_lines(bad, record_type))
+    if "object" not in present and "lines" not in present:
+        return out
+    lost = found.where(no_object).select(SOURCE).distinct()
+    return out.unionByName(_lines_of(spark, path, by_line.select(SOURCE).union(lost), record_type))
+
+
+def _lines_of(spark: SparkSession, path: str | list[str], files: DataFrame, record_type: str) -> DataFrame:
+    lines = spark.read.text(path).select("value", _file()).join(files.select(SOURCE), SOURCE, "left_semi")
+    return _from_lines(lines.where(F.length(F.trim("value")) > 0), record_type)
 
 
 def read_jsonl(spark: SparkSession, path: str | list[str], record_type: str = "time_series") -> DataFrame:
@@ -79,82 +69,128 @@ def read_jsonl(spark: SparkSession, path: str | list[str], record_type: str = "t
 
 
 def _from_lines(lines: DataFrame, record_type: str) -> DataFrame:
-    done = process(json_records(lines), record_type)
-    unreadable = F.when(F.try_parse_json("value").isNull(), F.lit("Invalid JSON"))
-    return done.withColumn("error", F.coalesce(unreadable, "error")).drop("value")
+    read = json_records(lines).withColumn("__unreadable", F.col("record").isNull())
+    done = process(read, record_type)
+    unreadable = F.when(F.col("__unreadable"), F.lit("Invalid JSON"))
+    return done.withColumn("error", F.coalesce(unreadable, "error")).drop("value", "__unreadable")
 
 
-def header_of(spark: SparkSession, path: str | list[str], sep: str = ",") -> list[str]:
-    return spark.read.option("header", True).option("sep", sep).csv(path).columns
+@dataclass
+class Roles:
+    """Columns of a flat table by what they mean: positions of series, time and format, and named measurements."""
 
+    series: int | None
+    time: int | None
+    format: int | None
+    prices: dict[str, int]
+    others: dict[str, int]
 
-def by_header(spark: SparkSession, path: str | list[str], sep: str = ",") -> list[tuple[list[str], str | list[str]]]:
-    """(column names, paths) of the files below ``path``, one pair per distinct header line.
 
-    One job looks at the lines of each file's first block; a header per file reaches the driver.
+def roles_of(names: list[str]) -> Roles:
+    """``ticker`` names the series before ``series_id``; ``timestamp`` goes before ``date``. Of equal names the last counts.
+
+    In a table with price names these become measurements under their lower-case names, ``volume`` as ``vol``;
+    every other column that is no key is a measurement.
     """
-    lines = spark.read.text(path).select("value", _file(), F.col("_metadata.file_block_start").alias("at"))
-    lines = lines.where((F.col("at") == 0) & (F.length(F.trim("value")) > 0))
-    placed = lines.select(SOURCE, F.struct(F.monotonically_increasing_id().alias("id"), "value").alias("line"))
-    groups: dict[str, list[str]] = {}
-    for r in placed.groupBy(SOURCE).agg(F.min("line").alias("line")).orderBy(SOURCE).collect():
-        groups.setdefault(r["line"]["value"].removeprefix("\ufeff").rstrip(), []).append(r[SOURCE])
-    if len(groups) < 2:
-        return [(header_of(spark, path, sep), path)]
-    return [(header_of(spark, paths_of(own[:1]), sep), paths_of(own)) for own in groups.values()]
+    place = {n: i for i, n in enumerate(names)}
+    is_price_table = any(n.lower() in PRICE_MARKS for n in place)
+    prices, others = {}, {}
+    for n, i in place.items():
+        if is_price_table and n.lower() in PRICE_COLUMNS:
+            key = "vol" if n.lower() == "volume" else n.lower()
+            if key not in prices or n.lower() != "volume":
+                prices[key] = i
+        elif n.lower() not in KEY_COLUMNS:
+            others[n] = i
+    first = lambda *tries: next((place[n] for n in tries if n in place), None)
+    return Roles(first("ticker", "series_id"), first("timestamp", "date"), first("format"), prices, others)
+
+
+_ROLES = pa.struct(
+    [("names", pa.list_(pa.string())), ("width", pa.int32()), ("series", pa.int32()), ("time", pa.int32()), ("format", pa.int32()),
+     ("prices", layouts.NAMED), ("others", layouts.NAMED)]
+)
+_ROLES_SQL = (
+    f"names array<string>, width int, series int, time int, format int, prices {layouts.NAMED_SQL}, others {layouts.NAMED_SQL}"
+)
+
+
+def _header_layout(separator: str) -> Callable[[str], dict]:
+    def read(first: str) -> dict:
+        names = layouts.fields_of(first, separator)
+        r = roles_of(names)
+        return {
+            "names": names, "width": len(names), "series": r.series, "time": r.time, "format": r.format,
+            "prices": layouts.named(r.prices), "others": layouts.named(r.others),
+        }
+
+    return read
 
 
 def read_csv(spark: SparkSession, path: str | list[str], header: bool = True, sep: str = ",") -> DataFrame:
     """CSV to canonical columns and ``error``. All cells are read as text, with no type guess.
 
-    Files may differ in their headers: each is read by its own.
+    Files may differ in their headers: each is read by its own. One header for all is read by Spark's CSV
+    source; otherwise the layouts are joined to the lines, as data, however many there are.
     """
     if not header:
         return _read_headerless(spark, path, sep)
-    return reduce(DataFrame.unionByName, [_read_csv(spark, own, names, sep) for names, own in by_header(spark, path, sep)])
+    lines = layouts.lines_of(spark, path)
+    known = layouts.described(layouts.first_lines(lines), _header_layout(sep), _ROLES, _ROLES_SQL)
+    one = layouts.only_one(known)
+    return _read_csv(spark, path, list(one["names"]), sep) if one else _placed_csv(lines, known, sep)
 
 
 def _read_csv(spark: SparkSession, path: str | list[str], names: list[str], sep: str) -> DataFrame:
-    fields = ", ".join(f"`{n}` string" for n in (*names, _EXTRA))
-    rows = (
-        spark.read.schema(fields).option("header", True).option("sep", sep).csv(path).select("*", _file())
+    fields = ", ".join(f"c{i} string" for i in range(len(names) + 1))
+    rows = spark.read.schema(fields).option("header", True).option("sep", sep).csv(path).select("*", _file())
+    overlong = F.when(F.col(f"c{len(names)}").isNotNull(), F.lit("Row is longer than the header"))
+    place = {n: f"c{i}" for i, n in enumerate(names)}
+    return canonical_table(rows.withColumn("error", overlong), names, column=lambda n: F.col(place[n]))
+
+
+def _placed_csv(lines: DataFrame, known: DataFrame, sep: str) -> DataFrame:
+    rows = layouts.with_cells(lines, known, sep)
+    raw_time = F.coalesce(layouts.cell("cells", "layout.time"), F.lit(""))
+    series = F.when(F.col("layout.series").isNull(), "UNKNOWN").otherwise(F.coalesce(layouts.cell("cells", "layout.series"), F.lit("")))
+    # an empty cell stays as an entry without value: validation reports it
+    others = layouts.placed("layout.others", "cells", keep_empty=True)
+    return rows.select(
+        SOURCE,
+        F.when(layouts.cell("cells", "layout.width").isNotNull(), F.lit("Row is longer than the header")).alias("error"),
+        series.alias("series_id"),
+        parse_timestamp(raw_time).alias("timestamp"),
+        raw_time.alias("timestamp_raw"),
+        merge_last_wins(others, layouts.placed("layout.prices", "cells")).alias("measurements"),
+        F.lit(None).cast(schema.METADATA).alias("metadata"),
+        layouts.cell("cells", "layout.format").alias("format"),
     )
-    overlong = F.when(F.col(_EXTRA).isNotNull(), F.lit("Row is longer than the header"))
-    return canonical_table(rows.withColumn("error", overlong).drop(_EXTRA), names)
 
 
 def canonical_table(
-    rows: DataFrame, names: list[str], cell: Callable[[str], Column] | None = None
+    rows: DataFrame,
+    names: list[str],
+    cell: Callable[[str], Column] | None = None,
+    column: Callable[[str], Column] | None = None,
 ) -> DataFrame:
-    """Flat columns to canonical columns; ``cell`` gives a column's VALUE, by default from text.
+    """Flat columns to canonical columns by ``roles_of`` their names.
 
-    ``ticker`` names the series before ``series_id``; ``timestamp`` goes before ``date``.
-    Price columns become numeric measurements under their lower-case names, ``volume`` as
-    ``vol``; every other non-key column becomes a measurement.
+    ``column`` finds the column of a name; ``cell`` gives its VALUE, by default from text.
     """
-    cell = cell or (lambda n: token_value(F.col(f"`{n}`")))
-    series = next((F.col(n) for n in ("ticker", "series_id") if n in names), F.lit("UNKNOWN"))
-    time_name = next((n for n in ("timestamp", "date") if n in names), None)
-    raw_time = F.col(time_name) if time_name else F.lit("")
-    if time_name and not isinstance(rows.schema[time_name].dataType, StringType):
+    column = column or (lambda n: F.col(f"`{n}`"))
+    cell = cell or (lambda n: token_value(column(n)))
+    roles = roles_of(names)
+    series = F.lit("UNKNOWN") if roles.series is None else column(names[roles.series])
+    raw_time = F.lit("") if roles.time is None else column(names[roles.time])
+    if roles.time is not None and not isinstance(rows.select(raw_time).schema[0].dataType, StringType):
         at = raw_time.cast("timestamp")
         raw_time = iso_text(at)
     else:
         at = parse_timestamp(raw_time)
-    lower = {n: n.lower() for n in names}
-    is_price_table = bool(PRICE_MARKS & set(lower.values()))
-    prices, others = {}, {}
-    for n in names:
-        if is_price_table and lower[n] in PRICE_COLUMNS:
-            key = "vol" if lower[n] == "volume" else lower[n]
-            if key not in prices or lower[n] != "volume":
-                prices[key] = cell(n)
-        elif lower[n] not in KEY_COLUMNS:
-            others[n] = cell(n)
+    prices = {key: cell(names[i]) for key, i in roles.prices.items()}
     # an empty cell stays as an entry without value: validation reports it
-    kept = F.map_from_entries(
-        F.array(*[F.struct(F.lit(n).alias("key"), v.alias("value")) for n, v in others.items()])
-    ) if others else F.create_map().cast(schema.MEASUREMENTS)
+    entries = [F.struct(F.lit(n).alias("key"), cell(n).alias("value")) for n in roles.others]
+    kept = F.map_from_entries(F.array(*entries)) if entries else F.create_map().cast(schema.MEASUREMENTS)
     measurements = merge_last_wins(kept, schema.measurement_map(prices)) if prices else kept
     return rows.select(
         *[c for c in (SOURCE, "error") if c in rows.columns],
@@ -163,7 +199,7 @@ def canonical_table(
         F.coalesce(raw_time, F.lit("")).alias("timestamp_raw"),
         measurements.alias("measurements"),
         F.lit(None).cast(schema.METADATA).alias("metadata"),
-        (F.col("format") if "format" in names else F.lit(None).cast("string")).alias("format"),
+        (F.lit(None).cast("string") if roles.format is None else column(names[roles.format])).alias("format"),
     )
 
 

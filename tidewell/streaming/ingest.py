@@ -38,10 +38,11 @@ def ingest(
         numbered = batch.withColumn("line_id", F.monotonically_increasing_id()).withColumn(
             "batch_id", F.lit(batch_id)
         )
-        done = records.process(records.json_records(numbered), record_type)
-        unreadable = F.when(F.try_parse_json("value").isNull(), F.lit("Invalid JSON"))
+        read = records.json_records(numbered).withColumn("unreadable", F.col("record").isNull())
+        done = records.process(read, record_type)
+        unreadable = F.when(F.col("unreadable"), F.lit("Invalid JSON"))
         # accepted and rejected are two actions over one parse
-        checked = done.withColumn("error", F.coalesce(unreadable, "error")).persist()
+        checked = done.withColumn("error", F.coalesce(unreadable, "error")).drop("unreadable").persist()
         parts = records.split(checked)
         parts.rejected.select(*REJECT_COLUMNS).write.mode("overwrite").parquet(
             f"{rejects_path}/batch={batch_id}"
