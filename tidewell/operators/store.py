@@ -114,7 +114,7 @@ def new_keys(before: DataFrame, after: DataFrame, keys: Sequence[str] = KEYS) ->
 
 
 def with_series_metadata(
-    points: DataFrame, records: DataFrame, order: Sequence[str] = ("timestamp",)
+    points: DataFrame, records: DataFrame, order: Sequence[str | Column] = ("timestamp",)
 ) -> DataFrame:
     """Give each point the metadata of the first record of its series.
 

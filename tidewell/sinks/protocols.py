@@ -6,11 +6,15 @@ shuffle. Text lines come in a column ``value``, ready for ``write.text``.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewell import schema
 from tidewell.functions.tokens import two_decimals
 from tidewell.operators.reshape import POINTS_PER_ROW, in_blocks, unpivot_long
+from tidewell.operators.store import with_series_metadata
 from tidewell.sources.stooq import STOOQ_COLUMNS
 
 # Spellings of the price fields on export, tried in this order.
@@ -177,12 +181,15 @@ def tdengine_lines(df: DataFrame, table: str = "time_series_data") -> DataFrame:
 
 
 def victoria_rows(
-    df: DataFrame, block: str | None = None, points: int = POINTS_PER_ROW, bounds=None
+    df: DataFrame, block: str | None = "hour", points: int = POINTS_PER_ROW, bounds=None, order: Sequence[str] | None = None
 ) -> DataFrame:
-    """(metric labels, values, timestamps). One point per row, or with a time unit such as
-    ``hour`` one row per series, measurement and unit, of at most ``points`` points.
+    """(metric labels, values, timestamps): a row per series, measurement and time unit, of at most ``points`` points.
+
+    All points of a series carry the metadata of its first record by ``order`` (time, then the metadata as
+    text). Without a unit (None) each point is a row.
     """
-    long = unpivot_long(df)
+    by = list(order) if order else [F.col("timestamp"), schema.canonical_text(F.col("metadata"))]
+    long = with_series_metadata(unpivot_long(df), df, by)
     labels = _label_map(F.concat_ws("_", "series_id", "measurement"))
     if block is None:
         return long.select(
@@ -192,7 +199,7 @@ def victoria_rows(
     point = F.struct(F.unix_millis("timestamp").alias("t"), F.col("value").alias("v"))
     keys = ["series_id", "measurement"]
     grouped = in_blocks(long, keys, block, points, bounds).groupBy(*keys, "block", "part").agg(
-        F.array_sort(F.array_agg(point)).alias("p"), F.min_by("metadata", "timestamp").alias("metadata")
+        F.array_sort(F.array_agg(point)).alias("p"), F.any_value("metadata").alias("metadata")
     )
     return grouped.select(
         labels.alias("metric"), F.col("p.v").alias("values"), F.col("p.t").alias("timestamps")

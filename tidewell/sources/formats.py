@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 from pathlib import PurePosixPath
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -89,6 +90,15 @@ def detect_format(path: str) -> str | None:
     return found
 
 
+def format_of(path: Column) -> Column:
+    """``detect_format`` for a column of paths."""
+    known = F.create_map(*[F.lit(x) for pair in EXTENSIONS.items() for x in pair])
+    last = lambda p: F.lower(F.regexp_extract(p, r"[^/.][^/]*(\.[^./]+)$", 1))
+    found = F.try_element_at(known, last(path))
+    inner = F.try_element_at(known, last(F.regexp_replace(path, r"\.[^./]*$", "")))
+    return F.when(found.isin("gzip", "bzip2"), F.coalesce(inner, found)).otherwise(found)
+
+
 def _columnar(reader: str) -> Callable[[SparkSession, str], DataFrame]:
     def read(spark: SparkSession, path: str) -> DataFrame:
         # files may differ in columns; what one lacks is null
@@ -145,10 +155,15 @@ READERS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 def read_records(spark: SparkSession, path: str | list[str], fmt: str | None = None) -> DataFrame:
     """Canonical columns and ``error`` from any readable format; unknown extensions read as JSON.
 
-    Several paths are one read, not a loop.
+    The paths of one format are one read, not a loop; without ``fmt`` each path has the format of its extension.
     """
-    first = path if isinstance(path, str) else path[0]
-    fmt = (fmt or detect_format(first) or "json").lower()
-    if fmt not in READERS:
-        raise NotImplementedError(f"{fmt} files cannot be read")
-    return READERS[fmt](spark, path)
+    groups: dict[str, list[str]] = {}
+    for own in [path] if isinstance(path, str) else path:
+        groups.setdefault((fmt or detect_format(own) or "json").lower(), []).append(own)
+    for name in groups:
+        if name not in READERS:
+            raise NotImplementedError(f"{name} files cannot be read")
+    if len(groups) == 1:
+        return READERS[next(iter(groups))](spark, path)
+    parts = [READERS[name](spark, own) for name, own in groups.items()]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)

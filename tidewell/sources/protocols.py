@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from tidewell import schema
 from tidewell.functions.tokens import iso_text
 
+SOURCE = "source_file"
+
 # possessive repetition runs as a loop: a plain one recurses for every character of a long field
 _TOKEN = r"(?:[^\\, =]|\\.)++"
 _QUOTED = r"\"(?:[^\"\\]|\\.)*+\""
@@ -24,8 +26,17 @@ def _group(text: Column, pattern: str, group: int) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
 
 
+def _lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    return spark.read.text(path).select("value", F.col("_metadata.file_path").alias(SOURCE))
+
+
+def _source(df: DataFrame) -> list[str]:
+    return [c for c in (SOURCE,) if c in df.columns]
+
+
 def _canonical(rows: DataFrame, series: Column, at: Column, measurements: Column, metadata: Column, fmt: str):
     return rows.select(
+        *_source(rows),
         "error",
         series.alias("series_id"),
         at.alias("timestamp"),
@@ -40,6 +51,7 @@ def line_protocol_records(lines: DataFrame, column: str = "value") -> DataFrame:
     """``series[,tag=v] field=v[,field=v] [nanoseconds]``; a ``series_id`` tag names the series."""
     line = F.col(column)
     rows = lines.where((F.length(F.trim(line)) > 0) & ~line.startswith("#")).select(
+        *_source(lines),
         F.regexp_extract(line, _LINE, 1).alias("head"),
         F.regexp_extract(line, _LINE, 2).alias("fields"),
         F.regexp_extract(line, _LINE, 3).try_cast("bigint").alias("ns"),
@@ -75,6 +87,7 @@ def opentsdb_records(lines: DataFrame, column: str = "value") -> DataFrame:
     line = F.trim(F.col(column))
     p = F.split(line, r"\s+")
     rows = lines.where(F.length(line) > 0).select(
+        *_source(lines),
         p.alias("p"),
         F.when(
             (F.get(p, F.lit(0)) != "put") | (F.size(p) < 4) | F.get(p, F.lit(3)).try_cast("double").isNull(),
@@ -114,10 +127,11 @@ _SERIES_STRUCT = _SERIES.replace("labels ", "labels:").replace("samples ", "samp
 def prometheus_records(spark: SparkSession, path: str) -> DataFrame:
     """JSON with labels and millisecond samples: one series per line, or a ``timeseries`` list."""
     read = spark.read.schema(f"timeseries array<struct<{_SERIES_STRUCT}>>, {_SERIES}").json(path)
+    read = read.select("*", F.col("_metadata.file_path").alias(SOURCE))
     one = F.array(F.struct("labels", "samples"))
-    series = read.select(F.explode(F.coalesce("timeseries", one)).alias("s"))
+    series = read.select(SOURCE, F.explode(F.coalesce("timeseries", one)).alias("s"))
     rows = series.select(
-        F.map_from_entries(F.col("s.labels")).alias("tags"), F.explode("s.samples").alias("x")
+        SOURCE, F.map_from_entries(F.col("s.labels")).alias("tags"), F.explode("s.samples").alias("x")
     ).withColumn("error", F.lit(None).cast("string"))
     name = F.element_at("tags", "__name__")
     sid = F.coalesce(F.element_at("tags", "series_id"), name)
@@ -131,8 +145,8 @@ def prometheus_records(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_line_protocol(spark: SparkSession, path: str) -> DataFrame:
-    return line_protocol_records(spark.read.text(path))
+    return line_protocol_records(_lines(spark, path))
 
 
 def read_opentsdb(spark: SparkSession, path: str) -> DataFrame:
-    return opentsdb_records(spark.read.text(path))
+    return opentsdb_records(_lines(spark, path))

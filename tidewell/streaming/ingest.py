@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,6 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tidewell.operators import records, store
+from tidewell.session import written
+from tidewell.sources.formats import READERS, detect_format, read_records
+from tidewell.sources.layouts import SOURCE
 
 REJECT_COLUMNS = ["value", "error"]
 
@@ -61,6 +65,60 @@ def ingest(
     )
 
 
+_LANDED = "path string, modificationTime timestamp, length long, content binary"
+REJECTED = [SOURCE, "series_id", "timestamp_raw", "error"]
+
+
+def _literal(path: str) -> str:
+    """A path whose glob marks are taken as they are."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", path)
+
+
+def ingest_files(
+    spark: SparkSession,
+    landing: str,
+    store_path: str,
+    rejects_path: str,
+    checkpoint: str,
+    fmt: str | None = None,
+    files_per_batch: int = 1000,
+) -> StreamingQuery:
+    """Validate every file that lands, of any readable format, and merge it into the store.
+
+    The stream carries the names of files only. Those of a batch, at most ``files_per_batch``, are grouped by
+    ``fmt`` or by their extension, and each group is one read with all its layouts. Files of a format
+    that cannot be read are one reject each. A repeated batch writes the same rows again. Among the rows of
+    one key the newer file wins. The trigger takes what is there and stops.
+    """
+    names = spark.readStream.format("binaryFile").schema(_LANDED).option("maxFilesPerTrigger", files_per_batch).load(landing)
+    names = names.select("path", "modificationTime", F.col("_metadata.file_path").alias(SOURCE))
+
+    def merge(batch: DataFrame, batch_id: int) -> None:
+        own, landed = batch.sparkSession, batch.collect()
+        readable = [f for f in landed if (fmt or detect_format(f["path"]) or "json") in READERS]
+        others = [(f[SOURCE], None, None, "Files of this format cannot be read") for f in landed if f not in readable]
+        lost = own.createDataFrame(others, ", ".join(f"{c} string" for c in REJECTED))
+        folder = f"{rejects_path}/batch={batch_id}"
+        if not readable:
+            lost.write.mode("overwrite").parquet(folder)
+            return
+        read = read_records(own, [_literal(f["path"]) for f in readable], fmt)
+        times = own.createDataFrame([(f[SOURCE], f["modificationTime"]) for f in readable], f"{SOURCE} string, file_time timestamp")
+        # accepted and rejected are two actions over one parse
+        checked = written(records.check_canonical(read).join(times, SOURCE, "left"), "landed")
+        parts = records.split(checked)
+        parts.rejected.select(*REJECTED).unionByName(lost).write.mode("overwrite").parquet(folder)
+        numbered = parts.accepted.withColumns({"batch_id": F.lit(batch_id), "line_id": F.monotonically_increasing_id()})
+        store.upsert(own, store_path, numbered, ["batch_id", "file_time", "line_id"])
+
+    return (
+        names.writeStream.foreachBatch(merge)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
 def fan_out(
     messages: DataFrame,
     channel: str,
@@ -75,11 +133,12 @@ def fan_out(
     mine = messages.where(F.col("channel") == channel)
 
     def deliver(batch: DataFrame, batch_id: int) -> None:
-        parsed = records.json_records(batch)
+        parsed = records.json_records(batch).persist()
         parsed.where(F.col("record").isNull()).drop("record").write.mode("overwrite").parquet(
             f"{rejects_path}/batch={batch_id}"
         )
         handler(parsed.where(F.col("record").isNotNull()), batch_id)
+        parsed.unpersist()
 
     return (
         mine.writeStream.foreachBatch(deliver)

@@ -99,10 +99,12 @@ def prometheus_samples(spark, sf):
 
 @query(
     "victoria_points",
-    f"WITH {EVENTS}, {_LONG} SELECT event_type || '_' || m AS name, {_USER} AS \"user\", {_MS} AS \"timestamp\", x AS value FROM long",
+    f"WITH {EVENTS}, {_LONG}, first AS (SELECT event_type, arg_min({_USER}, (ts, {_USER})) AS \"user\" FROM ev GROUP BY 1) "
+    f"SELECT event_type || '_' || m AS name, \"user\", {_MS} AS \"timestamp\", x AS value FROM long JOIN first USING (event_type)",
 )
 def victoria_points(spark, sf):
-    rows = protocols.victoria_rows(records(spark, sf))
+    """Every point carries the labels of the first record of its series."""
+    rows = protocols.victoria_rows(records(spark, sf), block=None)
     return rows.select(
         F.element_at("metric", "__name__").alias("name"), F.element_at("metric", "user").alias("user"),
         F.get("timestamps", F.lit(0)).alias("timestamp"), F.get("values", F.lit(0)).alias("value"),
@@ -116,7 +118,7 @@ def victoria_points(spark, sf):
 )
 def victoria_blocks(spark, sf):
     """One row per series, measurement and hour."""
-    rows = protocols.victoria_rows(records(spark, sf), "hour")
+    rows = protocols.victoria_rows(records(spark, sf))
     total = F.aggregate("values", F.lit(0.0), lambda a, x: a + x)
     return rows.select(
         F.element_at("metric", "__name__").alias("name"), F.size("values").cast("long").alias("points"),
@@ -276,6 +278,52 @@ def csv_mixed_headers(spark, sf):
     return _back(formats.read_records(spark, path, "csv"))
 
 
+@query("txt_mixed_layouts", _BACK.replace("ts AS timestamp", "date_trunc('second', ts) AS timestamp"))
+def txt_mixed_layouts(spark, sf):
+    """Delimited files of one folder that differ in separator, order and names of their columns."""
+    path = work_path(spark, "events-layouts")
+    rows = records(spark, sf).select(
+        "event_id", F.col("series_id").alias("SYMBOL"), F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss").alias("DATE"),
+        q.metric("value").alias("value"), q.metric("k").alias("k"),
+    )
+    kinds = [(";", ["SYMBOL", "DATE", "value", "k"]), ("\t", ["k", "DATE", "SYMBOL", "value"]), ("|", ["value", "k", "DATE", "SYMBOL"])]
+    for i, (sep, names) in enumerate(kinds):
+        part = rows.where(F.col("event_id") % len(kinds) == i).select(*names)
+        part.write.mode("append").option("header", True).option("sep", sep).csv(path)
+    good = rec.split(rec.check_canonical(formats.read_records(spark, path, "txt"))).accepted
+    return good.select("series_id", "timestamp", q.metric("value").alias("value"), q.metric("k").alias("k"))
+
+
+@query(
+    "jsonl_trailing_text",
+    f"WITH {EVENTS} SELECT event_type AS series_id, ts AS timestamp, value, CAST(k AS DOUBLE) AS k FROM ev WHERE k % 7 NOT IN (1, 2, 3, 4)",
+)
+def jsonl_trailing_text(spark, sf):
+    """Lines with more than one value are rejects: junk, a second object, a comma, a stray bracket."""
+    path = work_path(spark, "events-trailing")
+    line = F.to_json(F.struct("series_id", F.col("timestamp_raw").alias("timestamp"), F.transform_values("measurements", lambda _, v: protocols.token(v)).alias("measurements")))
+    kind = q.metric("k").cast("int") % 7
+    tail = F.when(kind == 1, " junk").when(kind == 2, line).when(kind == 3, F.concat(F.lit(","), line)).when(kind == 4, "]").otherwise("  ")
+    records(spark, sf).select(F.concat(line, tail).alias("value")).write.text(path)
+    return _back(formats.read_records(spark, path, "jsonl"))
+
+
+@query(
+    "json_broken_elements",
+    f"WITH {EVENTS} SELECT k % 9 = 1 AS broken, count(*) AS n FROM ev GROUP BY 1",
+)
+def json_broken_elements(spark, sf):
+    """Arrays with broken elements: each is a reject of its own, and all others are read."""
+    path = work_path(spark, "events-broken")
+    rows = records(spark, sf)
+    line = F.to_json(F.struct("series_id", F.col("timestamp_raw").alias("timestamp"), F.transform_values("measurements", lambda _, v: protocols.token(v)).alias("measurements")))
+    broken = F.when(q.metric("k").cast("int") % 9 == 1, F.concat(F.lit('{"series_id": },'), F.lit(""))).otherwise(F.concat(line, F.lit(",")))
+    arrays = rows.select("event_id", broken.alias("line")).groupBy(F.expr("event_id div 1000")).agg(F.array_join(F.collect_list("line"), "\n").alias("lines"))
+    arrays.select(F.concat(F.lit("["), F.regexp_replace("lines", ",$", ""), F.lit("]"))).write.option("maxRecordsPerFile", 1).text(path)
+    read = formats.read_records(spark, path, "json")
+    return read.groupBy(F.col("error").isNotNull().alias("broken")).agg(F.count("*").alias("n"))
+
+
 def _columnar(spark, sf, fmt):
     path = work_path(spark, f"events-{fmt}")
     files.write_records(records(spark, sf).select("series_id", "timestamp", "measurements"), path, fmt)

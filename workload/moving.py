@@ -3,9 +3,11 @@
 from pyspark.sql import functions as F
 
 from tidewell.forecast import models
+from tidewell.forecast.changepoints import forecast_changepoints as bending
 from tidewell.forecast.trend import Z80, forecast
 from tidewell.operators import limiter, store
 from tidewell.operators import query as q
+from tidewell.sinks import files
 from tidewell.session import work_path
 from tidewell.streaming import ingest, windows
 from workload.recording import _DEFECTS, json_lines
@@ -114,6 +116,29 @@ def stream_ingest(spark, sf):
     return spark.read.parquet(f"{root}/store").select("series_id", "timestamp", q.metric("value").alias("value"))
 
 
+@query("stream_ingest_formats", f"WITH {EVENTS} SELECT event_type AS series_id, ts AS timestamp, value, CAST(k AS DOUBLE) AS k FROM ev")
+def stream_ingest_formats(spark, sf):
+    """CSV files with two headers, JSON arrays, line protocol and Parquet land in one folder."""
+    root = work_path(spark, "ingest-formats")
+    rows = records(spark, sf).select("event_id", "series_id", "timestamp", "timestamp_raw", "measurements")
+    part = lambda i: rows.where(F.col("event_id") % 5 == i)
+    flat = [F.col("series_id"), F.col("timestamp_raw").alias("timestamp"), q.metric("value").alias("value"), q.metric("k").alias("k")]
+    part(0).select(*flat).write.option("header", True).csv(f"{root}/a")
+    part(1).select(*reversed(flat)).write.option("header", True).csv(f"{root}/b")
+    plain = ["series_id", "timestamp", "measurements"]
+    files.write_records(part(2).select("series_id", F.col("timestamp_raw").alias("timestamp"), "measurements"), f"{root}/c", "json")
+    files.write_records(part(3).select(*plain), f"{root}/d", "influxdb")
+    files.write_records(part(4).select(*plain), f"{root}/e", "parquet")
+    names = {"a": "csv", "b": "csv", "c": "json", "d": "influxdb", "e": "parquet"}
+    for folder, fmt in names.items():
+        ingest.ingest_files(
+            spark, f"{root}/{folder}", f"{root}/store", f"{root}/rejects/{folder}", f"{root}/checkpoint/{folder}",
+            None if fmt in ("csv", "parquet") else fmt,
+        ).awaitTermination()
+    read = store.stored(spark, f"{root}/store")
+    return read.select("series_id", "timestamp", q.metric("value").alias("value"), q.metric("k").alias("k"))
+
+
 @query(
     "ingest_conservation",
     f"WITH {EVENTS} SELECT count(*) AS arrived, count(*) FILTER (k >= 10) AS stored, count(*) FILTER (k < 10) AS rejected FROM ev",
@@ -212,6 +237,41 @@ def forecast_daily(spark, sf):
     return out.withColumns({c: rounded(c, 2) for c in ("yhat", "yhat_lower", "yhat_upper")})
 
 
+_BENDS, _WAVES, _SIZE = 5, 3, 13
+_TERMS = ", ".join(
+    ["CAST(1 AS DOUBLE)", "p"] + [f"greatest(p - {0.8 * j / _BENDS!r}, 0)" for j in range(1, _BENDS + 1)]
+    + [f"{g}(2 * pi() * {f} * (t - floor(t / 7) * 7) / 7)" for f in range(1, _WAVES + 1) for g in ("sin", "cos")]
+)
+
+
+@query(
+    "forecast_changepoints",
+    "WITH RECURSIVE d AS (SELECT event_type AS s, date_trunc('day', ts) AS ds, sum(value) AS y FROM events GROUP BY 1, 2), "
+    "span AS (SELECT s, min(epoch_us(ds)) AS a, max(epoch_us(ds)) AS b, max(ds) AS top FROM d GROUP BY 1), "
+    "w AS (SELECT s, ds, y FROM d UNION ALL SELECT s, unnest([top + to_days(CAST(i AS INTEGER)) FOR i IN range(1, 15)]), NULL FROM span), "
+    f"f AS (SELECT s, ds, y, [{_TERMS}] AS x FROM (SELECT w.*, (epoch_us(ds) - a) / CAST(b - a AS DOUBLE) AS p, {_T} AS t FROM w JOIN span USING (s))), "
+    f"i AS (SELECT unnest(range(1, {_SIZE + 1})) AS i), "
+    "cells AS (SELECT s, i.i, j.i AS j, sum(x[i.i] * x[j.i]) + CASE WHEN i.i <> j.i THEN 0 WHEN i.i <= 2 THEN 1e-6 ELSE 0.1 END AS v "
+    "FROM f, i, i AS j WHERE y IS NOT NULL GROUP BY s, i.i, j.i "
+    f"UNION ALL SELECT s, i.i, {_SIZE + 1}, sum(x[i.i] * y) FROM f, i WHERE y IS NOT NULL GROUP BY s, i.i), "
+    "rows AS (SELECT s, i, list(v ORDER BY j) AS r FROM cells GROUP BY s, i), "
+    "elim AS (SELECT s, 1 AS n, list(r ORDER BY i) AS m FROM rows GROUP BY s UNION ALL "
+    f"SELECT s, n + 1, list_transform(range(1, {_SIZE + 1}), lambda q: CASE WHEN q = n THEN list_transform(m[n], lambda v: v / m[n][n]) "
+    f"ELSE list_transform(range(1, {_SIZE + 2}), lambda c: m[q][c] - m[q][n] * m[n][c] / m[n][n]) END) FROM elim WHERE n <= {_SIZE}), "
+    f"fit AS (SELECT f.*, list_sum(list_transform(range(1, {_SIZE + 1}), lambda q: m[q][{_SIZE + 1}] * x[q])) AS yhat "
+    f"FROM f JOIN elim ON elim.s = f.s AND n = {_SIZE + 1}), "
+    f"e AS (SELECT s, {Z80} * sqrt(sum((y - yhat) * (y - yhat)) / greatest(count(y) - {_SIZE}, 1)) AS e FROM fit WHERE y IS NOT NULL GROUP BY s) "
+    f"SELECT s AS series_id, ds, {r('yhat', 2)} AS yhat, {r('yhat - e', 2)} AS yhat_lower, {r('yhat + e', 2)} AS yhat_upper FROM fit JOIN e USING (s)",
+)
+def forecast_changepoints(spark, sf):
+    """A trend that bends and smooth weeks, against normal equations solved by elimination."""
+    daily = events(spark, sf).groupBy(F.col("event_type").alias("series_id"), F.date_trunc("day", "ts").alias("ds")).agg(
+        F.sum("value").alias("y")
+    )
+    out = bending(daily, periods=14, changepoints=_BENDS, seasons=((7, _WAVES),))
+    return out.withColumns({c: rounded(c, 2) for c in ("yhat", "yhat_lower", "yhat_upper")})
+
+
 @query("gbt_forecast")
 def gbt_forecast(spark, sf):
     """Predictions for the last 30 rows, with the error measured on the held-out part."""

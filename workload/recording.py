@@ -8,6 +8,7 @@ from tidewell.operators import records as rec
 from tidewell.operators import reshape, store
 from tidewell.plans import jobs
 from tidewell.session import work_path
+from tidewell.sinks import protocols
 from tidewell.sources import formats, payload
 from workload.registry import BARS, EVENTS, bars, events, query, records, table
 
@@ -311,6 +312,24 @@ def batch_outcomes(spark, sf):
     return counts.groupBy(part.alias("part")).agg(*[F.sum(c).alias(c) for c in ("total", "success", "errors")])
 
 
+@query(
+    "batch_outcomes_line_protocol",
+    f"WITH {EVENTS} SELECT k // 25 AS part, count(*) AS total, count(*) FILTER (WHERE k >= 10) AS success, "
+    "count(*) FILTER (WHERE k < 10) AS errors FROM ev GROUP BY 1",
+)
+def batch_outcomes_line_protocol(spark, sf):
+    """Outcomes per folder of line protocol files, some of whose lines are none."""
+    path = work_path(spark, "landing-lines")
+    rows = records(spark, sf).withColumn("number", q.metric("k").cast("int"))
+    for i in range(4):
+        own = rows.where(F.expr(f"number div 25 = {i}"))
+        bad = own.where("number < 10").select(F.concat(F.lit("no line "), "series_id").alias("value"))
+        protocols.line_protocol(own.where("number >= 10")).union(bad).write.text(f"{path}/part={i}")
+    counts = jobs.batch_outcomes(spark, [f"{path}/part={i}" for i in range(4)], "influxdb")
+    part = F.regexp_extract("source_file", r"part=(\d+)", 1).cast("int")
+    return counts.groupBy(part.alias("part")).agg(*[F.sum(c).alias(c) for c in ("total", "success", "errors")])
+
+
 @query(
     "api_payload",
     f"WITH {EVENTS} SELECT event_type AS series_id, ts AS timestamp, value AS close, CAST(k AS DOUBLE) AS extra FROM ev",
@@ -336,8 +355,6 @@ def api_payload(spark, sf):
 )
 def detect_formats(spark, sf):
     """Format of a path by its extension, for a table of paths."""
-    known = F.create_map(*[F.lit(x) for pair in formats.EXTENSIONS.items() for x in pair])
-    endings = F.array(*[F.lit(e) for e in (".csv", ".LP", ".ndjson", ".pq")])
-    path = F.concat(F.lit("in/file"), F.col("doc_id").cast("string"), F.get(endings, (F.col("doc_id") % 4).cast("int")))
-    extension = F.lower(F.regexp_extract(path, r"(\.[^.]+)$", 1))
-    return table(spark, sf, "documents").select("doc_id", F.element_at(known, extension).alias("fmt"))
+    endings = F.array(*[F.lit(e) for e in (".csv", ".LP", ".ndjson.gz", ".pq")])
+    path = F.concat(F.lit("in.dir/file"), F.col("doc_id").cast("string"), F.get(endings, (F.col("doc_id") % 4).cast("int")))
+    return table(spark, sf, "documents").select("doc_id", formats.format_of(path).alias("fmt"))
