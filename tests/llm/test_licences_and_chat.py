@@ -90,13 +90,24 @@ def test_rotation(spark):
     rows = chat.rotate_perspectives(turns, conv_id="perspective", text="block").collect()
     own = {(r.conv_id, r.perspective, r.block): r for r in rows}
     ann = own[1, "ann", 0]
-    assert (ann.n_turns, ann.n_rows) == (5, 6)
-    assert ann.text.startswith("<|im_start|>system\nbe kind<|im_end|>\n<|im_start|>assistant\nhi < |im_end|><|im_end|>\n")
-    assert [ann.text[s.start : s.end] for s in ann.mask] == ["hi < |im_end|><|im_end|>", "<|im_end|>"]
-    assert "<|im_start|>user name=ann\n" in own[1, "bob", 0].text and "user name=carl_x_y\n" in own[1, "ann", None].text
+    assert (ann.n_turns, ann.n_rows) == (7, 8)
+    assert ann.text.startswith(
+        "<|im_start|>user name=carl_x_y\nno number<|im_end|>\n<|im_start|>system\nbe kind<|im_end|>\n"
+        "<|im_start|>assistant\nhi < |im_end|><|im_end|>\n"
+    )
+    assert [ann.text[s.start : s.end] for s in ann.mask] == ["hi < |im_end|><|im_end|>", "<|im_end|>", "late<|im_end|>"]
+    assert "<|im_start|>user name=ann\n" in own[1, "bob", 0].text
     assert own[2, None, 0].mask == [] and own[3, None, 0].text == "<|im_start|>user\nnameless<|im_end|>\n"
-    assert own[1, "bob", 1].mask == [] and {k[1] for k in own if k[0] is None} == {"ann"}
-    assert {k[2] for k in own if k[0] == 4} == {-1, -2}
+    assert {k[1] for k in own if k[0] is None} == {"ann"} and {k[2] for k in own} == {0}
+
+
+def test_blocks_follow_places_not_numbers(spark):
+    rows = [(7, 1_700_000_000 + 1000 * k, ("ann", "bob")[k % 2], f"turn {k}") for k in range(6)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    out = chat.rotate_perspectives(turns).collect()
+    assert sorted((r.perspective, r.block, r.n_turns, len(r.mask)) for r in out) == [("ann", 0, 6, 3), ("bob", 0, 6, 3)]
+    cut = chat.rotate_perspectives(turns, turns_per_block=4).collect()
+    assert sorted((r.perspective, r.block, r.n_turns) for r in cut) == [(p, b, n) for p in ("ann", "bob") for b, n in ((0, 4), (1, 2))]
 
 
 def test_spans_of_a_large_block_are_summed_once(spark):
@@ -107,11 +118,11 @@ def test_spans_of_a_large_block_are_summed_once(spark):
     )
     out = chat.rotate_perspectives(turns)
     assert "aggregate(slice(" not in out._jdf.queryExecution().toString()
-    rows = {r.perspective: r for r in out.collect()}
-    assert set(rows) == {"r0", "r1", "r2"}
+    rows = out.collect()
+    assert {r.perspective for r in rows} == {"r0", "r1", "r2"} and max(r.n_turns for r in rows) == 512
     for i in range(3):
-        r = rows[f"r{i}"]
-        said = [r.text[s.start : s.end].removesuffix(chat.END) for s in r.mask]
+        own = sorted((r for r in rows if r.perspective == f"r{i}"), key=lambda r: r.block)
+        said = [r.text[s.start : s.end].removesuffix(chat.END) for r in own for s in r.mask]
         assert said == sorted(f"text é {k}" for k in range(i, n, 3))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewell.llm.common import numbered
 from tidewell.session import written
 
 START, END = "<|im_start|>", "<|im_end|>"
@@ -31,15 +32,16 @@ def rotate_perspectives(
     perspective, null, with nothing to train on. Turns stand in the order (turn, role, text), nulls first.
     Repeated rows of a turn are one turn: ``n_rows`` counts the rows, ``n_turns`` the turns. A null role is
     a user without name, a null text empty; a null conversation is one of its own. A long conversation gives
-    several blocks, by turn number (those without a number are block null). The text of a block is one row, so
-    turns that share their number, or have none, are in one task; where they start is summed before that.
+    several blocks of ``turns_per_block`` turns by their place in this order, whatever their numbers; no task
+    holds more than one block of a conversation. Extra columns take no part and are not returned. An empty
+    table gives no rows.
     """
     t = turns.select(
         F.col(conv_id).alias("conv_id"),
         F.col(turn).cast("long").alias("turn"),
         F.col(role).cast("string").alias("role"),
         F.col(text).cast("string").alias("text"),
-    ).withColumn("block", F.expr(f"turn div {turns_per_block}") - F.when(F.expr(f"turn % {turns_per_block} < 0"), 1).otherwise(0))
+    )
 
     speakers = t.select("conv_id", F.when(F.col("role") != "system", F.col("role")).alias("perspective")).distinct()
     alone = speakers.groupBy("conv_id").agg(F.max("perspective").alias("any")).withColumnRenamed("conv_id", "c")
@@ -64,9 +66,10 @@ def rotate_perspectives(
 
     body = F.concat(_plain(F.col("text")), F.lit(END))
     # a turn starts after all before it as others see them, but the speaker's own ones have another head
+    distinct = t.groupBy("conv_id", "turn", "role", "text").agg(F.count("*").alias("n"))
     parts = (
-        t.groupBy("conv_id", "block", "turn", "role", "text")
-        .agg(F.count("*").alias("n"))
+        numbered(distinct, "conv_id", ["turn", "role", "text"])
+        .withColumn("block", F.expr(f"position div {turns_per_block}"))
         .withColumns({"other": other, "body": body})
         .withColumn("seen", before(F.char_length("other") + F.char_length("body") + 1))
         .withColumn("start", F.col("seen") + before(F.char_length(assistant) - F.char_length("other"), "role"))

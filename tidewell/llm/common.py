@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewell.session import tune
+from tidewell.session import tune, written
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: rows without an id count as one nameless document that comes after all others
@@ -49,3 +49,20 @@ def ascii_lower(c: Column) -> Column:
 
 def utf8(c: Column) -> Column:
     return c.cast("string").cast("binary")
+
+
+def numbered(df: DataFrame, group: str, order: list[str], name: str = "position") -> DataFrame:
+    """``name``: the place (from 0) of each row in its group, by ``order`` with nulls first.
+
+    Rows are cut into ranges of (group, order), so a large group lies in many tasks; what a group has in the
+    ranges before is a sum over a row for each range and group.
+    """
+    sort = [F.asc_nulls_first(c) for c in (group, *order)]
+    placed = df.repartitionByRange(*sort).sortWithinPartitions(*sort).withColumn("_seq", F.monotonically_increasing_id())
+    placed = written(placed, "in_order").withColumn("_range", F.shiftright("_seq", 33))
+    own = placed.groupBy(F.col(group).alias("_group"), F.col("_range").alias("_own")).agg(F.min("_seq").alias("_low"), F.count("*").alias("_n"))
+    before = Window.partitionBy("_group").orderBy("_own").rowsBetween(Window.unboundedPreceding, -1)
+    starts = own.withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_low"))
+    starts = written(starts.select("_group", "_own", "_start"), "range_starts")
+    joined = placed.join(starts, (F.col("_range") == F.col("_own")) & F.col(group).eqNullSafe(F.col("_group")))
+    return joined.withColumn(name, F.col("_seq") + F.col("_start")).drop("_seq", "_range", "_group", "_own", "_start")

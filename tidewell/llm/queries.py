@@ -138,8 +138,9 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "op3_chat_formatting",
     """
-    WITH t AS (SELECT conv_id, turn, role, text, CAST(floor(turn / 512.0) AS BIGINT) AS block, count(*) AS n
-               FROM conversations GROUP BY ALL),
+    WITH g AS (SELECT conv_id, turn, role, text, count(*) AS n FROM conversations GROUP BY ALL),
+    t AS (SELECT *, (row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) - 1)
+            // 512 AS block FROM g),
     s AS (SELECT DISTINCT conv_id, CASE WHEN role <> 'system' THEN role END AS perspective FROM t),
     p AS (SELECT conv_id, perspective FROM s
           QUALIFY perspective IS NOT NULL OR max(perspective) OVER (PARTITION BY conv_id) IS NULL),
