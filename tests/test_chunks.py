@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewell.operators import limiter, missing, reshape
+from tidewell.operators import resample as resampling
 from tidewell.operators.steps import clean
 from tidewell.plans import chunking, quantiles
 
@@ -61,6 +62,89 @@ def test_no_task_sees_a_whole_hot_series(skewed):
     assert sizes.agg(F.max("count")).first()[0] < 250
 
 
+@pytest.fixture(scope="module")
+def tied(skewed):
+    """Half the rows share one day, a fifth have none."""
+    day = F.when(F.col("id") % 5 == 0, None).when(F.col("id") % 2 == 0, F.lit("2024-03-05")).otherwise(
+        F.date_add(F.lit("2024-03-01").cast("date"), (F.col("id") % 11).cast("int")).cast("string")
+    )
+    return skewed.withColumn("ts", day).cache()
+
+
+@pytest.mark.parametrize("kind", ["timestamp", "date", "string", "double"])
+def test_equal_first_keys_are_cut_along_the_second(tied, kind):
+    first = F.unix_seconds(F.col("ts").cast("timestamp")).cast("double") if kind == "double" else F.col("ts").cast(kind)
+    df = tied.withColumn("ts", first)
+    bounds = chunking.chunk_bounds(df, ORDER, 100)
+    assert -1 in bounds.inner and len(bounds.inner) > 1
+    cut = chunking.with_chunk(df, ORDER, bounds)
+    assert cut.groupBy(chunking.CHUNK).count().agg(F.max("count")).first()[0] < 250
+    spans = cut.groupBy(chunking.CHUNK).agg(F.min(F.struct(*ORDER)).alias("lo"), F.max(F.struct(*ORDER)).alias("hi"))
+    ends = [(r["lo"], r["hi"]) for r in spans.orderBy(chunking.CHUNK).collect()]
+    flat = [tuple((x is not None, x or 0) for x in e) for pair in ends for e in pair]
+    assert flat == sorted(flat)
+    for by in (["s"], []):
+        for method in ("linear", "nearest", "ffill", "bfill"):
+            plain = missing.interpolate(df, ["v"], ORDER, by, method, bounds=[])
+            pd.testing.assert_frame_equal(rows(plain), rows(missing.interpolate(df, ["v"], ORDER, by, method, bounds=bounds)))
+
+
+def test_missing_first_keys_alone_are_cut(spark):
+    df = spark.range(400).select(F.lit(None).cast("timestamp").alias("ts"), "id", (F.col("id") % 7).alias("v"))
+    bounds = chunking.chunk_bounds(df, ORDER, 50)
+    assert bounds and not len(bounds)
+    assert chunking.with_chunk(df, ORDER, bounds).groupBy(chunking.CHUNK).count().agg(F.max("count")).first()[0] < 120
+    assert [r.position for r in chunking.row_positions(df, ORDER, bounds=bounds).orderBy("id").collect()] == list(range(1, 401))
+
+
+def test_large_keys_that_doubles_cannot_tell_apart_stay_together(spark):
+    df = spark.range(400).select((F.lit(2**60) + F.col("id") % 3).alias("ts"), (-F.col("id")).alias("id"))
+    bounds = chunking.chunk_bounds(df, ORDER, 50)
+    assert not bounds.inner
+
+
+def test_more_chunks_than_one_aggregate_gives(skewed, monkeypatch):
+    monkeypatch.setattr(chunking, "MAX_CHUNKS", 4)
+    bounds = chunking.chunk_bounds(skewed, ORDER, 50)
+    assert len(bounds) > 20
+    sizes = chunking.with_chunk(skewed, ORDER, bounds).groupBy(chunking.CHUNK).count()
+    assert sizes.agg(F.max("count")).first()[0] < 150
+    plain = missing.interpolate(skewed, ["v"], ORDER, ["s"], "linear", bounds=[])
+    pd.testing.assert_frame_equal(rows(plain), rows(missing.interpolate(skewed, ["v"], ORDER, ["s"], "linear", bounds=bounds)))
+
+
+def test_all_columns_and_ranks_at_once(spark):
+    rng = np.random.default_rng(1)
+    pdf = pd.DataFrame(
+        {
+            "a": rng.normal(size=5000),
+            "b": rng.integers(0, 3, 5000).astype(float),
+            "c": np.where(rng.random(5000) < 0.5, np.nan, rng.random(5000)),
+            "d": [1e300] * 5000,
+        }
+    )
+    probs = [0, 0.01, 0.25, 0.5, 0.99, 1.0]
+    df = spark.createDataFrame(pdf)
+    for small in (0, 100, 20_000):
+        got = quantiles.exact_quantiles(df, list("abcd"), probs, small)
+        for c in "abcd":
+            assert got[c] == pytest.approx(pdf[c].quantile(probs).tolist())
+    ends = spark.createDataFrame([(float("-inf"),)] * 90 + [(float(k),) for k in range(20)] + [(float("inf"),)] * 90, "v double")
+    assert quantiles.exact_quantiles(ends, ["v"], [0.0, 0.5, 1.0], 0)["v"] == [float("-inf"), 9.5, float("inf")]
+
+
+def test_next_bins_across_ranges(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    numbers = sorted(rng.choice(np.arange(-2000, 2000), 300, replace=False).tolist())
+    df = spark.createDataFrame([(n, float(n)) for n in numbers], "b long, v double")
+    for size in (1 << 16, 1 << 4):
+        monkeypatch.setattr(resampling, "NEXT_RANGE", size)
+        ahead = resampling._with_next_bin(df, "b")
+        assert {r.b: r["__next"] for r in ahead.collect()} == dict(zip(numbers, [*numbers[1:], None], strict=True))
+        assert "SinglePartition" not in ahead._jdf.queryExecution().executedPlan().toString()
+    assert resampling.with_empty_bins(df, [], "b", ["v"]).count() == numbers[-1] - numbers[0] + 1
+
+
 def replay(events, window, limit):
     """The limiter, one event after the other."""
     opened, used, out = {}, {}, {}

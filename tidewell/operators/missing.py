@@ -107,7 +107,7 @@ def interpolate(
     if method not in ("linear", "time", "nearest"):
         raise ValueError(f"unknown interpolation method {method!r}")
     if bounds is None:
-        bounds = chunking.chunk_bounds(df, order[0])
+        bounds = chunking.chunk_bounds(df, order)
     names = df.columns
     rows = nan_to_null(df, columns)
     if method == "time":
@@ -153,7 +153,7 @@ def _neighbours(
                 for i, m in marks.items()
             }
         )
-    marked = chunking.with_chunk(df, order[0], bounds).withColumns(
+    marked = chunking.with_chunk(df, order, bounds).withColumns(
         {f"__mark{i}": m for i, m in marks.items()}
     )
     rank = {i: F.when(F.col(f"__mark{i}").isNotNull(), F.struct(*order)) for i in marks}

@@ -6,7 +6,7 @@ import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,6 +25,8 @@ CALENDAR = {
 }
 NUMERIC_ONLY = {"mean", "sum", "median", "std", "var"}
 SPINE_BLOCK = 4096
+#: bin numbers that one task looks at for the next bin of a table without groups, a power of two
+NEXT_RANGE = 1 << 16
 
 
 @dataclass(frozen=True)
@@ -124,7 +126,8 @@ def with_empty_bins(grouped: DataFrame, by: Sequence[str], number: str, values:
     data. Gaps are exploded in blocks, so no row ever holds a long array.
     """
     following = F.lead(number).over(chunking.along(by, [number]))
-    reach = grouped.withColumn("__hi", F.coalesce(following - 1, F.col(number))).withColumnRenamed(number, "__lo")
+    ahead = grouped.withColumn("__next", following) if by else _with_next_bin(grouped, number)
+    reach = ahead.withColumn("__hi", F.coalesce(F.col("__next") - 1, F.col(number))).withColumnRenamed(number, "__lo")
     first, last = F.floor(F.col("__lo") / SPINE_BLOCK), F.floor(F.col("__hi") / SPINE_BLOCK)
     blocks = reach.withColumn("__b", F.explode(F.sequence(first, last)))
     low = F.greatest(F.col("__lo"), F.col("__b") * SPINE_BLOCK)
@@ -134,6 +137,31 @@ def with_empty_bins(grouped: DataFrame, by: Sequence[str], number: str, values:
     return bins.select(*by, number, *[F.when(own, F.col(v)).alias(v) for v in values])
 
 
+def _with_next_bin(grouped: DataFrame, number: str) -> DataFrame:
+    """``__next``: the bin after each one, of a table without groups, cut into ranges of ``NEXT_RANGE`` numbers.
+
+    The last bin of a range is followed by the first one of a later range, which joins it as an edge row. Which
+    range that is comes from the first bins alone, in the same way one level up; at the top all ranges are one.
+    """
+    shift = NEXT_RANGE.bit_length() - 1
+    # numbers from 0, so that three levels hold all of them
+    key = F.shiftright(F.col(number) + (1 << 3 * shift - 1), shift)
+    ranged = grouped.withColumn("__range", key)
+    heads = ranged.groupBy("__range").agg(F.min(number).alias("__head"))
+    upper = heads.withColumn("__up", F.shiftright("__range", shift))
+    tops = upper.groupBy("__up").agg(F.min("__head").alias("__head")).withColumn("__top", F.shiftright("__up", shift))
+    top_edges = tops.select("__up", F.lead("__head").over(Window.partitionBy("__top").orderBy("__up")).alias("__head"))
+    both = upper.withColumn("__edge", F.lit(0)).unionByName(
+        top_edges.where("__head IS NOT NULL").withColumns({"__range": F.lit(None).cast("long"), "__edge": F.lit(1)})
+    )
+    in_upper = Window.partitionBy("__up").orderBy("__edge", "__range")
+    edges = both.withColumn("__next_head", F.lead("__head").over(in_upper)).where("__edge = 0 AND __next_head IS NOT NULL")
+    edge_rows = edges.select("__range", F.col("__next_head").alias(number), F.lit(1).alias("__edge"))
+    rows = ranged.withColumn("__edge", F.lit(0)).unionByName(edge_rows, allowMissingColumns=True)
+    in_range = Window.partitionBy("__range").orderBy(number)
+    return rows.withColumn("__next", F.lead(number).over(in_range)).where("__edge = 0").drop("__edge", "__range")
+
+
 def resample(
     df: DataFrame,
     column: str = "timestamp",

@@ -13,8 +13,10 @@ The result equals the plain window. Small inputs take the plain window.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from math import inf, nextafter
+from bisect import bisect_right
+from collections import Counter
+from collections.abc import Iterable, Sequence
+from math import inf, isfinite, nextafter
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
@@ -23,6 +25,8 @@ from pyspark.sql import types as T
 
 ROWS_PER_CHUNK = 4_000_000
 MAX_CHUNKS = 4096
+#: chunk numbers kept for the second key within one chunk of the first
+INNER_CHUNKS = 1 << 32
 #: text order keys: sampled texts per chunk, and how many of their characters a cut point keeps
 SAMPLE_PER_CHUNK = 20
 CUT_LENGTH = 200
@@ -31,6 +35,8 @@ CHUNK = "__chunk"
 EDGE = "__edge"
 _KEY = "__chunk_key"
 
+_NUMBERS = (T.TimestampType, T.TimestampNTZType, T.DateType, T.NumericType)
+
 FIRST_TO_HERE = (Window.unboundedPreceding, Window.currentRow)
 BEFORE = (Window.unboundedPreceding, -1)
 
@@ -57,35 +63,108 @@ def text_key(df: DataFrame, column: str) -> Column | None:
     return F.col(column).cast("string") if isinstance(kind, (T.StringType, T.BooleanType)) else None
 
 
-def chunk_bounds(df: DataFrame, column: str, rows_per_chunk: int | None = None) -> list[float] | list[str]:
-    """Inner cut points of equal-depth chunks along ``column``; empty when one chunk is enough.
+class Cuts(list):
+    """Cut points of the first order key. ``inner`` has, by the chunk of a key that fills more than one, the cut
+    points of the second order key in it."""
+
+    def __init__(self, cuts: Iterable = (), inner: dict[int, list[float]] | None = None) -> None:
+        super().__init__(cuts)
+        self.inner = inner or {}
+
+    def __bool__(self) -> bool:
+        return len(self) > 0 or bool(self.inner)
+
 
-    One aggregation; at most ``MAX_CHUNKS`` numbers reach the driver. Texts are cut in their own order, as the
-    window reads them, at beginnings of ``CUT_LENGTH`` characters taken from a sample. A column that is none
-    of these (an array, say) stays one chunk, so that its result does not depend on the number of rows.
+def chunk_bounds(df: DataFrame, order: str | Sequence[str], rows_per_chunk: int | None = None) -> Cuts:
+    """Inner cut points of equal-depth chunks along ``order``; empty when one chunk is enough.
+
+    The number of chunks follows the rows: ``MAX_CHUNKS`` numbers come from one aggregation, and beyond it each of
+    those chunks is cut further by a second one, grouped by chunk. Texts are cut in their own order, as the
+    window reads them, at beginnings of ``CUT_LENGTH`` characters taken from a sample, at most ``MAX_CHUNKS``. A
+    column that is none of these (an array, say) stays one chunk, so that its result does not depend on the
+    number of rows. With several keys, rows that share a first key (or have none) and are more than a chunk are
+    cut along the second one if that is a time or a number; a name alone never separates equal keys.
     """
+    keys = [order] if isinstance(order, str) else list(order)
+    column = keys[0]
     text = text_key(df, column)
-    if text is None and not isinstance(
-        df.schema[column].dataType, (T.TimestampType, T.TimestampNTZType, T.DateType, T.NumericType)
-    ):
-        return []
+    if text is None and not isinstance(df.schema[column].dataType, _NUMBERS):
+        return Cuts()
     rows_per_chunk = rows_per_chunk or ROWS_PER_CHUNK
-    rows = df.count()
+    rows, present = df.agg(F.count("*"), F.count(column)).first()
     if rows <= rows_per_chunk:
-        return []
-    n = min(MAX_CHUNKS, -(-rows // rows_per_chunk))
+        return Cuts()
+    n = -(-rows // rows_per_chunk)
+    outer = min(MAX_CHUNKS, n)
     if text is not None:
         starts = df.select(F.substring(text, 1, CUT_LENGTH).alias("s")).where("s IS NOT NULL")
-        share = min(1.0, SAMPLE_PER_CHUNK * n / rows)
-        sample = sorted(r["s"] for r in starts.sample(fraction=share, seed=7).limit(2 * SAMPLE_PER_CHUNK * n).collect())
-        return sorted({sample[len(sample) * i // n] for i in range(1, n)}) if sample else []
-    return quantile_edges(df.select(numeric_key(df, column).alias(_KEY)), _KEY, n)
+        share = min(1.0, SAMPLE_PER_CHUNK * outer / rows)
+        sample = sorted(r["s"] for r in starts.sample(fraction=share, seed=7).limit(2 * SAMPLE_PER_CHUNK * outer).collect())
+        times = Counter(sample[len(sample) * i // outer] for i in range(1, outer)) if sample else Counter()
+    else:
+        times = Counter(_quantiles(df.select(numeric_key(df, column).alias(_KEY)), _KEY, outer))
+        if n > outer:
+            finer = -(-n // outer)
+            times = Counter({v: k * finer for v, k in times.items()})
+            for cuts in _quantiles_within(with_chunk(df, column, sorted(times)), numeric_key(df, column), finer):
+                times.update(cuts)
+    if present < rows:
+        times[None] = (rows - present) // rows_per_chunk
+    heavy = {v: k + 1 for v, k in times.items() if k > 1 or (v is None and k)}
+    times.pop(None, None)
+    if not heavy or len(keys) == 1 or not isinstance(df.schema[keys[1]].dataType, _NUMBERS):
+        return Cuts(sorted(times))
+    return _with_inner(df, keys, sorted(times), heavy)
+
+
+def _with_inner(df: DataFrame, keys: Sequence[str], cuts: list, heavy: dict) -> Cuts:
+    """``cuts`` with the cut points of the second key for the ``heavy`` first keys (a number of parts for each)."""
+    text, kind = text_key(df, keys[0]), df.schema[keys[0]].dataType
+    first = numeric_key(df, keys[0]) if text is None else text
+
+    def exact(v) -> bool:
+        """Whether rows that agree in ``v`` agree in the key itself."""
+        if v is None:
+            return True
+        if isinstance(v, str):
+            return len(v) < CUT_LENGTH
+        if isinstance(kind, T.DecimalType) and kind.precision > 15:
+            return False
+        return isfinite(v) and (abs(v) < 1 << 53 or isinstance(kind, (T.DoubleType, T.FloatType)))
+
+    parts = {v: k for v, k in heavy.items() if exact(v)}
+    alone = sorted(set(cuts) | {f"{v}\0" if isinstance(v, str) else nextafter(v, inf) for v in parts if v is not None})
+    rows = df.select(first.alias("v"), numeric_key(df, keys[1]).alias("k"))
+    wanted = F.col("v").isin([v for v in parts if v is not None])
+    rows = rows.where((wanted | F.col("v").isNull()) if None in parts else wanted)
+    most = max(parts.values(), default=0)
+    if not most:
+        return Cuts(alone)
+    probs = [i / most for i in range(1, most)]
+    found = rows.groupBy("v").agg(F.percentile_approx("k", probs, 20 * max(most, 100)).alias("q")).collect()  # one row per heavy key
+    inner = {}
+    for v, q in found:
+        edges = sorted({q[len(q) * i // parts[v]] for i in range(1, parts[v])}) if q else []
+        inner[-1 if v is None else bisect_right(alone, v)] = [e for e in edges if isfinite(e)]
+    return Cuts(alone, {at: edges for at, edges in inner.items() if edges})
+
+
+def _quantiles(df: DataFrame, column: str, n: int) -> list[float]:
+    """The finite n-quantiles, repeated ones as often as they occur."""
+    probs = [i / n for i in range(1, n)]
+    row = df.agg(F.percentile_approx(column, probs, 20 * max(n, 100)).alias("q")).first()
+    return sorted(v for v in row["q"] or [] if isfinite(v))
 
 
-def quantile_edges(df: DataFrame, column: str, n: int) -> list[float]:
+def _quantiles_within(chunked: DataFrame, key: Column, n: int) -> list[list[float]]:
+    """The finite n-quantiles of each chunk: ``n`` numbers per chunk, as many as there will be chunks."""
     probs = [i / n for i in range(1, n)]
-    row = df.agg(F.percentile_approx(column, probs, 20 * max(n, 100)).alias("q")).first()
-    return sorted(set(row["q"] or []))
+    rows = chunked.groupBy(CHUNK).agg(F.percentile_approx(key, probs, 20 * max(n, 100)).alias("q")).collect()
+    return [[v for v in r["q"] or [] if isfinite(v)] for r in rows]
+
+
+def quantile_edges(df: DataFrame, column: str, n: int) -> list[float]:
+    return sorted(set(_quantiles(df, column, n)))
 
 
 def isolate_repeats(edges: Sequence[float]) -> list[float]:
@@ -102,20 +181,32 @@ def _cuts_up_to(key: Column, bounds: Sequence[str]) -> Column:
 
 
 def with_chunk(
-    df: DataFrame, column: str, bounds: Sequence[float] | Sequence[str], name: str = CHUNK
+    df: DataFrame, order: str | Sequence[str], bounds: Sequence[float] | Sequence[str], name: str = CHUNK
 ) -> DataFrame:
-    """Tag rows with the chunk of ``column``. Null keys form the first chunk, as nulls sort first."""
+    """Tag rows with their chunk along ``order``. Null keys form the first chunk, as nulls sort first."""
     if not bounds:
         return df.withColumn(name, F.lit(0))
-    text = text_key(df, column)
-    if text is not None:
-        return df.withColumn(name, F.when(text.isNull(), F.lit(-1)).otherwise(_cuts_up_to(text, bounds)))
-    keyed = df.withColumn(_KEY, numeric_key(df, column))
-    cut = Bucketizer(
-        splits=[-inf, *bounds, inf], inputCol=_KEY, outputCol=name, handleInvalid="keep"
-    ).transform(keyed)
-    index = F.when(F.col(_KEY).isNull(), F.lit(-1)).otherwise(F.col(name).cast("int"))
-    return cut.withColumn(name, index).drop(_KEY)
+    keys = [order] if isinstance(order, str) else list(order)
+    text = text_key(df, keys[0])
+    if not len(bounds):  # only missing keys are cut
+        cut = df.withColumn(name, F.when(F.col(keys[0]).isNull(), F.lit(-1)).otherwise(F.lit(0)))
+    elif text is not None:
+        cut = df.withColumn(name, F.when(text.isNull(), F.lit(-1)).otherwise(_cuts_up_to(text, bounds)))
+    else:
+        keyed = df.withColumn(_KEY, numeric_key(df, keys[0]))
+        cut = Bucketizer(
+            splits=[-inf, *bounds, inf], inputCol=_KEY, outputCol=name, handleInvalid="keep"
+        ).transform(keyed)
+        index = F.when(F.col(_KEY).isNull(), F.lit(-1)).otherwise(F.col(name).cast("int"))
+        cut = cut.withColumn(name, index).drop(_KEY)
+    inner = getattr(bounds, "inner", None)
+    if not inner:
+        return cut
+    second = numeric_key(df, keys[1])
+    cuts = F.create_map(*[x for at, own in inner.items() for x in (F.lit(at), F.array(*[F.lit(e) for e in own]))])
+    passed = F.size(F.filter(F.try_element_at(cuts, F.col(name)), lambda e: e <= second))
+    within = F.when(F.col(name).isin(list(inner)), passed).otherwise(0)
+    return cut.withColumn(name, F.col(name) * INNER_CHUNKS + within.cast("long"))
 
 
 def along(by: Sequence[str], order: Sequence[str], backward: bool = False) -> WindowSpec:
@@ -145,7 +236,7 @@ def fill_ordered(
 ) -> DataFrame:
     """Replace nulls by the previous (or next) non-null value in ``order`` within ``by``."""
     if bounds is None:
-        bounds = chunk_bounds(df, order[0])
+        bounds = chunk_bounds(df, order)
     names = df.columns
     by = list(by)
     targets = [c for c in columns if c not in by]
@@ -154,7 +245,7 @@ def fill_ordered(
         w = along(by, order, backward).rowsBetween(*FIRST_TO_HERE)
         return df.withColumns({c: F.last(c, ignorenulls=True).over(w) for c in targets})
 
-    cut = with_chunk(df, order[0], bounds)
+    cut = with_chunk(df, order, bounds)
     nearest = F.min_by if backward else F.max_by
     # order columns may be filled themselves, so summaries travel under their own names
     carried = {f"__carry{i}": c for i, c in enumerate(targets)}
@@ -184,14 +275,14 @@ def running_totals(
 ) -> DataFrame:
     """Inclusive running sums of ``totals`` in ``order`` within ``by``."""
     if bounds is None:
-        bounds = chunk_bounds(df, order[0])
+        bounds = chunk_bounds(df, order)
     by = list(by)
     rows = df.withColumns(totals)
     if not bounds and by:
         w = along(by, order).rowsBetween(*FIRST_TO_HERE)
         return rows.withColumns({n: F.sum(n).over(w) for n in totals})
 
-    cut = with_chunk(rows, order[0], bounds)
+    cut = with_chunk(rows, order, bounds)
     summary = cut.groupBy(*by, CHUNK).agg(*[F.sum(n).alias(n) for n in totals])
     across = along(by, [CHUNK]).rowsBetween(*BEFORE)
     edges = summary.select(

@@ -1,15 +1,15 @@
 """Exact linear-interpolated quantiles whose memory does not grow with the data.
 
 Spark's ``percentile`` is exact but keeps every distinct value of a group in one task.
-``exact_quantiles`` uses it only below a checked row count. Beyond, it brackets the wanted
-rank with an equal-depth histogram, keeps the one cell that holds it, and repeats; each
-round is a scan with a pushed-down range filter and a map-side aggregation.
+``exact_quantiles`` uses it only below a checked row count. Beyond, each round cuts the cells that
+hold a wanted rank into finer ones, for all columns and ranks at once: one aggregate gives the cuts,
+one counts the cells. What is left in the cells at the end is ranked by running counts.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from math import floor, inf
+from math import floor, inf, isfinite, nextafter
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
@@ -20,6 +20,9 @@ from tidewell.plans import chunking
 SMALL_ROWS = 2_000_000
 CELLS = 512
 
+#: (least value, greatest value, rows below, rows inside)
+Cell = tuple[float, float, int, int]
+
 
 def known(column: str | Column) -> Column:
     """Non-null, non-NaN: pandas treats both as missing."""
@@ -33,7 +36,10 @@ def exact_quantiles(
     probs: Sequence[float],
     small_rows: int | None = None,
 ) -> dict[str, list[float | None]]:
-    """``{column: [quantile, ...]}`` over the non-missing values, equal to pandas ``quantile``."""
+    """``{column: [quantile, ...]}`` over the non-missing values, equal to pandas ``quantile``.
+
+    The number of jobs does not depend on the number of columns or ranks.
+    """
     small_rows = SMALL_ROWS if small_rows is None else small_rows
     numbers = df.select(*[known(c).alias(c) for c in columns])
     counts = numbers.agg(*[F.count(c).alias(c) for c in columns]).first()
@@ -42,55 +48,93 @@ def exact_quantiles(
     if small:
         row = numbers.agg(*[F.percentile(c, list(probs)).alias(c) for c in small]).first()
         result.update({c: list(row[c]) if row[c] is not None else [None] * len(probs) for c in small})
-    for c in columns:
-        if c not in result:
-            result[c] = _by_brackets(numbers.select(c), c, counts[c], probs, small_rows)
+    large = [c for c in columns if c not in result]
+    if large:
+        result.update(_by_ranks(numbers.select(*large), {c: counts[c] for c in large}, probs, small_rows // 100))
     return result
 
 
-def _by_brackets(df: DataFrame, column: str, n: int, probs: Sequence[float], small_rows: int):
-    at: dict[int, float] = {}
-    spots = [p * (n - 1) for p in probs]
-    ranks = {r for s in spots for r in (floor(s), min(floor(s) + 1, n - 1))}
-    # bracket = (low, high, rows below low, rows inside); all wanted ranks start in one
-    open_brackets = {(-inf, inf, 0, n): ranks}
-    while open_brackets:
-        narrower: dict[tuple, set[int]] = {}
-        for (low, high, below, inside), wanted in open_brackets.items():
-            part = df.where(F.col(column).between(F.lit(low), F.lit(high)))
-            if inside <= small_rows:
-                for r in wanted:
-                    at[r] = part.orderBy(column).offset(r - below).limit(1).first()[0]
-                continue
-            for cell, ranks_in_cell in _cells_holding(part, column, below, wanted).items():
-                if cell[0] == cell[1]:
-                    at.update({r: cell[0] for r in ranks_in_cell})
-                else:
-                    narrower.setdefault(cell, set()).update(ranks_in_cell)
-        open_brackets = narrower
-    out = []
-    for s in spots:
-        low, high = at[floor(s)], at[min(floor(s) + 1, n - 1)]
-        out.append(low + (high - low) * (s - floor(s)))
+def _by_ranks(df: DataFrame, counts: dict[str, int], probs: Sequence[float], last_rows: int) -> dict[str, list[float]]:
+    """The quantiles of all columns; cells of at most ``last_rows`` rows are ranked value by value."""
+    rows = df.toDF(*[f"x{i}" for i in range(len(counts))])
+    spots = [[p * (n - 1) for p in probs] for n in counts.values()]
+    at: dict[tuple[int, int], float] = {}
+    cells: list[dict[Cell, set[int]]] = [
+        {(-inf, inf, 0, n): {r for s in own for r in (floor(s), min(floor(s) + 1, n - 1))}}
+        for own, n in zip(spots, counts.values(), strict=True)
+    ]
+    while any(cells):
+        narrower = None
+        if any(cell[3] > last_rows for own in cells for cell in own):
+            narrower = _narrowed(rows, cells, at)
+        if narrower is None or narrower == cells:
+            at.update(_ranked(rows, cells))
+            break
+        cells = narrower
+    out = {}
+    for i, (c, n) in enumerate(counts.items()):
+        ends = [(at[i, floor(s)], at[i, min(floor(s) + 1, n - 1)], s - floor(s)) for s in spots[i]]
+        out[c] = [low + (high - low) * share if low != high else low for low, high, share in ends]
     return out
 
 
-def _cells_holding(part: DataFrame, column: str, below: int, wanted: set[int]):
-    edges = chunking.isolate_repeats(chunking.quantile_edges(part, column, CELLS))
-    cut = Bucketizer(splits=[-inf, *edges, inf], inputCol=column, outputCol="cell").transform(part)
-    cells = (
-        cut.groupBy("cell")
-        .agg(F.count("*").alias("n"), F.min(column).alias("lo"), F.max(column).alias("hi"))
-        .orderBy("cell")
-        .collect()  # at most 2 * CELLS + 1 rows
-    )
-    found: dict[tuple, set[int]] = {}
-    for c in cells:
-        inside = {r for r in wanted if below <= r < below + c["n"]}
-        if inside:
-            found[(c["lo"], c["hi"], below, c["n"])] = inside
-        below += c["n"]
-    return found
+def _inside(i: int, cell: Cell) -> Column:
+    return F.col(f"x{i}").between(F.lit(cell[0]), F.lit(cell[1]))
+
+
+def _holding(counted: DataFrame, cells: list[dict[Cell, set[int]]], by: list[str], order: str, below: Column):
+    """Rows of ``counted`` (``n`` each) that hold a wanted rank, with ``upto`` and those ``ranks``."""
+    along = Window.partitionBy(*by).orderBy(order).rowsBetween(*chunking.FIRST_TO_HERE)
+    wanted = F.create_map(
+        *[x for i, own in enumerate(cells) if own
+          for x in (F.lit(i), F.array(*[F.lit(r).cast("long") for r in sorted(set().union(*own.values()))]))]
+    )
+    upto = counted.withColumn("upto", below + F.sum("n").over(along))
+    ranks = F.filter(wanted[F.col("i")], lambda r: (r < F.col("upto")) & (r >= F.col("upto") - F.col("n")))
+    return upto.withColumn("ranks", ranks).where(F.size("ranks") > 0).collect()  # at most one row per rank
+
+
+def _narrowed(rows: DataFrame, cells: list[dict[Cell, set[int]]], at: dict) -> list[dict[Cell, set[int]]]:
+    """Finer cells around all wanted ranks; ranks in a cell of one value are put into ``at``."""
+    probs = [k / CELLS for k in range(1, CELLS)]
+    cuts = [
+        F.percentile_approx(F.when(_inside(i, cell), F.col(f"x{i}")), probs, 20 * CELLS).alias(f"q{i}_{k}")
+        for i, own in enumerate(cells) for k, cell in enumerate(own)
+    ]
+    found = rows.agg(*cuts).first()
+    open_columns = [i for i, own in enumerate(cells) if own]
+    splits = []
+    for i in open_columns:
+        ends = {e for low, high, _, _ in cells[i] for e in (low, nextafter(high, inf))} | {nextafter(-inf, inf)}
+        edges = [e for k in range(len(cells[i])) for e in found[f"q{i}_{k}"] or []]
+        splits.append([-inf, *sorted(e for e in ends | set(chunking.isolate_repeats(edges)) if isfinite(e)), inf])
+    cut = Bucketizer(
+        splitsArray=splits, inputCols=[f"x{i}" for i in open_columns], outputCols=[f"cell{i}" for i in open_columns],
+        handleInvalid="keep",
+    ).transform(rows)
+    each = F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"cell{i}").alias("cell"), F.col(f"x{i}").alias("x")) for i in open_columns])
+    counted = (
+        cut.select(F.explode(each).alias("c")).select("c.*").where("x IS NOT NULL")
+        .groupBy("i", "cell").agg(F.count("*").alias("n"), F.min("x").alias("low"), F.max("x").alias("high"))
+    )
+    narrower: list[dict[Cell, set[int]]] = [{} for _ in cells]
+    for r in _holding(counted, cells, ["i"], "cell", F.lit(0)):
+        if r["low"] == r["high"]:
+            at.update({(r["i"], rank): r["low"] for rank in r["ranks"]})
+        else:
+            narrower[r["i"]][r["low"], r["high"], r["upto"] - r["n"], r["n"]] = set(r["ranks"])
+    return narrower
+
+
+def _ranked(rows: DataFrame, cells: list[dict[Cell, set[int]]]) -> dict[tuple[int, int], float]:
+    """The values at the wanted ranks, by running counts of the values inside each cell."""
+    each = F.array(
+        *[F.when(_inside(i, cell), F.struct(F.lit(i).alias("i"), F.lit(cell[2]).cast("long").alias("below"), F.col(f"x{i}").alias("x")))
+          for i, own in enumerate(cells) for cell in own]
+    )
+    counted = rows.select(F.explode(F.array_compact(each)).alias("c")).groupBy("c.i", "c.below", "c.x").agg(F.count("*").alias("n"))
+    held = _holding(counted, cells, ["i", "below"], "x", F.col("below"))
+    return {(r["i"], rank): r["x"] for r in held for rank in r["ranks"]}
 
 
 def grouped_quantiles(

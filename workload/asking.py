@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from tidewell.operators import duplicates, profile, reshape, store
 from tidewell.operators import query as q
-from tidewell.plans import jobs
+from tidewell.plans import jobs, quantiles
 from workload.registry import (
     BARS, EVENTS, GAPPY, bar_records, bars, events, gappy, query, r, records, rounded, table,
 )
@@ -54,6 +54,23 @@ def describe_numeric(spark, sf):
     return _rounded_stats(profile.describe_numeric(gappy(spark, sf).select("v", "k")))
 
 
+@query(
+    "quantiles_by_ranks",
+    " UNION ALL ".join(
+        f"SELECT '{c}' AS column_name, CAST({p} AS DOUBLE) AS p, {r(f'quantile_cont({c}, {p})')} AS q FROM lineitem"
+        for c in ("l_extendedprice", "l_quantity", "l_tax") for p in (0.0, 0.01, 0.25, 0.5, 0.9, 1.0)
+    ),
+)
+def quantiles_by_ranks(spark, sf):
+    """The way of large tables: brackets for all columns and ranks at once, then running counts."""
+    names, probs = ["l_extendedprice", "l_quantity", "l_tax"], [0.0, 0.01, 0.25, 0.5, 0.9, 1.0]
+    rows = table(spark, sf, "lineitem").select(*names)
+    found = quantiles.exact_quantiles(rows, names, probs, small_rows=2_000)
+    flat = [F.struct(F.lit(c).alias("column_name"), F.lit(p).alias("p"), rounded(F.lit(v).cast("double")).alias("q"))
+            for c in names for p, v in zip(probs, found[c], strict=True)]
+    return spark.range(1).select(F.explode(F.array(*flat)).alias("r")).select("r.*")
+
+
 @query(
     "datetime_stats",
     f"SELECT 'ts' AS column_name, min(ts) AS min, max(ts) AS max, {r('(epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6')} AS range_seconds FROM events",

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from tidewell.operators import columns, duplicates, missing, outliers
 from tidewell.operators.resample import ohlcv_bars, resample
 from tidewell.operators.steps import clean
-from tidewell.plans import jobs
+from tidewell.plans import chunking, jobs
 from tidewell.session import work_path
 from workload.registry import EVENTS, GAPPY, events, gappy, query, r, rounded, table
 
@@ -80,6 +80,42 @@ def ffill_whole_table(spark, sf):
     return _filled(spark, sf, [])
 
 
+_PARTS = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+_ROWS_PER_CHUNK = 500
+_SPARSE = (
+    "WITH d AS (SELECT DISTINCT l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_returnflag, "
+    "CASE WHEN l_quantity >= 30 THEN l_quantity END AS v FROM lineitem) "
+)
+_BY_SHIPDATE = "ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey, v"
+
+
+def _shipments(spark, sf):
+    """Many rows share a date, so that chunks are cut along the order within it."""
+    v = F.when(F.col("l_quantity") >= 30, F.col("l_quantity")).alias("v")
+    rows = table(spark, sf, "lineitem").select(*_PARTS, "l_returnflag", v).distinct()
+    return rows, chunking.chunk_bounds(rows, _PARTS, _ROWS_PER_CHUNK)
+
+
+@query(
+    "ffill_chunked",
+    _SPARSE + f"SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, last_value(v IGNORE NULLS) OVER ({_BY_SHIPDATE} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS v FROM d",
+)
+def ffill_chunked(spark, sf):
+    rows, bounds = _shipments(spark, sf)
+    filled = missing.fill_along(rows.withColumn("w", F.col("v")), [*_PARTS, "v"], [], ["w"], bounds=bounds)
+    return filled.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("w").alias("v"))
+
+
+@query(
+    "row_positions_chunked",
+    _SPARSE + f"SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, row_number() OVER (PARTITION BY l_returnflag {_BY_SHIPDATE}) AS position FROM d",
+)
+def row_positions_chunked(spark, sf):
+    rows, bounds = _shipments(spark, sf)
+    placed = chunking.row_positions(rows, [*_PARTS, "v"], ["l_returnflag"], bounds=bounds)
+    return placed.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "position")
+
+
 def _dedup_sql(condition: str) -> str:
     return (
         "WITH d AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey, l_shipdate ORDER BY l_orderkey, l_linenumber) AS a, "
@@ -392,6 +428,32 @@ def interpolate_time(spark, sf):
     return _interpolated(spark, sf, SERIES, "time")
 
 
+def _nearest_sql() -> str:
+    """The nearer known neighbour by position, the earlier one on ties; outer gaps stay."""
+    part = "PARTITION BY event_type ORDER BY ts, event_id "
+    back, fore = f"OVER ({part}ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)", f"OVER ({part}ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)"
+    at = "CASE WHEN v IS NOT NULL THEN x END"
+    return (
+        f"WITH {GAPPY}, p AS (SELECT *, row_number() OVER ({part}) AS x FROM g), "
+        f"n AS (SELECT *, last_value(v IGNORE NULLS) {back} AS v0, last_value({at} IGNORE NULLS) {back} AS x0, "
+        f"first_value(v IGNORE NULLS) {fore} AS v1, first_value({at} IGNORE NULLS) {fore} AS x1 FROM p) "
+        "SELECT event_id, CASE WHEN v IS NOT NULL THEN v WHEN v0 IS NULL OR v1 IS NULL THEN NULL "
+        "WHEN x - x0 <= x1 - x THEN v0 ELSE v1 END AS v FROM n"
+    )
+
+
+@query("interpolate_nearest", _nearest_sql())
+def interpolate_nearest(spark, sf):
+    rows = gappy(spark, sf).select("event_id", "ts", "event_type", "v")
+    return missing.interpolate(rows, ["v"], ORDER, SERIES, "nearest").select("event_id", "v")
+
+
+@query("interpolate_bfill", _fill_sql("first_value", f"PARTITION BY event_type {_BACKWARD}"))
+def interpolate_bfill(spark, sf):
+    rows = gappy(spark, sf).select("event_id", "ts", "event_type", "v")
+    return missing.interpolate(rows, ["v"], ORDER, SERIES, "bfill").drop("ts")
+
+
 @query("clip_values", f"WITH {GAPPY} SELECT event_id, CASE WHEN v IS NOT NULL THEN greatest(5.0, least(100.0, v)) END AS v FROM g")
 def clip_values(spark, sf):
     return columns.clip_values(gappy(spark, sf).select("event_id", "v"), "v", 5.0, 100.0)

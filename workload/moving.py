@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tidewell.forecast import models
+from tidewell.forecast import boosting, models
 from tidewell.forecast.changepoints import forecast_changepoints as bending
 from tidewell.forecast.trend import Z80, forecast
 from tidewell.operators import limiter, store
@@ -144,18 +144,21 @@ def stream_ingest_formats(spark, sf):
     f"WITH {EVENTS} SELECT count(*) AS arrived, count(*) FILTER (k >= 10) AS stored, count(*) FILTER (k < 10) AS rejected FROM ev",
 )
 def ingest_conservation(spark, sf):
-    """Every line is stored or rejected, also when all of them land again."""
+    """Every line is stored or rejected, also when all of them land again: then each is rejected once more, none is lost."""
     root = work_path(spark, "ingest")
     lines = json_lines(spark, sf).select("value")
-    for _ in range(2):
+    landings = 2
+    for _ in range(landings):
         lines.write.mode("append").text(f"{root}/landing")
         ingest.ingest(
             spark, f"{root}/landing", f"{root}/store", f"{root}/rejects", f"{root}/checkpoint"
         ).awaitTermination()
+    rejected = spark.read.parquet(f"{root}/rejects").count()
+    # a landing that lost or doubled a reject leaves a share that is no whole number, or another one than the SQL's
     return spark.range(1).select(
         F.lit(lines.count()).alias("arrived"),
         F.lit(store.stored(spark, f"{root}/store").count()).alias("stored"),
-        F.lit(spark.read.parquet(f"{root}/rejects").where("batch = 0").count()).alias("rejected"),
+        F.lit(rejected // landings if rejected % landings == 0 else -rejected).cast("long").alias("rejected"),
     )
 
 
@@ -284,6 +287,49 @@ def gbt_forecast(spark, sf):
     return fitted.predictions.withColumn("rmse", F.lit(fitted.rmse))
 
 
+_SPLIT_FEATURES = ["l_quantity", "l_discount", "l_tax"]
+
+
+@query(
+    "leafwise_first_split",
+    "WITH u AS (" + " UNION ALL ".join(f"SELECT '{f}' AS feature, {f} AS x, l_extendedprice AS y FROM lineitem" for f in _SPLIT_FEATURES) + "), "
+    "c AS (SELECT feature, x, count(*) AS n, sum(y) AS s FROM u GROUP BY 1, 2), "
+    "w AS (SELECT feature, x, sum(n) OVER f AS nl, sum(s) OVER f AS sl, sum(n) OVER a AS n, sum(s) OVER a AS s FROM c "
+    "WINDOW f AS (PARTITION BY feature ORDER BY x), a AS (PARTITION BY feature)), "
+    "g AS (SELECT *, sl * sl / nl + (s - sl) * (s - sl) / (n - nl) - s * s / n AS gain FROM w WHERE nl >= 20 AND n - nl >= 20) "
+    "SELECT feature, x AS threshold, CAST(nl AS BIGINT) AS rows_left, CAST(n - nl AS BIGINT) AS rows_right, "
+    f"{r('gain / (SELECT var_pop(l_extendedprice) * count(*) FROM lineitem)', 6)} AS gain_share, "
+    f"{r('sl / nl', 2)} AS value_left, {r('(s - sl) / (n - nl)', 2)} AS value_right FROM g ORDER BY gain DESC LIMIT 1",
+)
+def leafwise_first_split(spark, sf):
+    """The first split of the first tree: feature, threshold, gain and the values of its two leaves."""
+    rows = table(spark, sf, "lineitem").select(*_SPLIT_FEATURES, "l_extendedprice")
+    model = boosting.boost(rows, _SPLIT_FEATURES, "l_extendedprice", rounds=1, leaves=2)
+    tree = model.trees[0]
+    feature, left, right = tree.feature[0], tree.left[0], tree.right[0]
+    total = F.var_pop("l_extendedprice") * F.count("*")
+    shown = {
+        "feature": F.lit(model.features[feature]),
+        "threshold": F.lit(model.edges[feature][tree.code[0]]),
+        "rows_left": F.lit(int(tree.rows[left])),
+        "rows_right": F.lit(int(tree.rows[right])),
+        "gain_share": rounded(F.lit(tree.gain[0]) / total, 6),
+        "value_left": rounded(F.lit(model.base + tree.value[left]), 2),
+        "value_right": rounded(F.lit(model.base + tree.value[right]), 2),
+    }
+    return rows.agg(*[c.alias(n) for n, c in shown.items()]).withColumns({n: F.col(n).cast("long") for n in ("rows_left", "rows_right")})
+
+
+@query("leafwise_forecast")
+def leafwise_forecast(spark, sf):
+    """Predictions of leaf-wise trees for the last 30 rows, with the error measured on the held-out part."""
+    rows = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", *_SPLIT_FEATURES, "l_extendedprice")
+    fitted = boosting.leafwise_trees(
+        rows, _SPLIT_FEATURES, "l_extendedprice", ["l_orderkey", "l_linenumber"], 30, rounds=4, rate=0.5
+    )
+    return fitted.predictions.withColumn("rmse", F.lit(fitted.rmse))
+
+
 @query("linear_regression")
 def linear_regression(spark, sf):
     rows = table(spark, sf, "lineitem").select("l_quantity", "l_discount", "l_extendedprice")
