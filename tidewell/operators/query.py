@@ -49,16 +49,26 @@ def tenant_rows(df: DataFrame, user, column: str = "user_id") -> DataFrame:
     return df.where(F.col(column) == F.lit(user))
 
 
+#: a store may keep the number of a metric beside the map, in a column of this prefix
+PROMOTED = "__metric_"
+
+
+def from_map(name: str, df: DataFrame | None = None) -> Column:
+    """The number of a metric in the map, or the column in which the store keeps it, where filters are pushed down."""
+    if df is not None and f"{PROMOTED}{name}" in df.columns:
+        return F.col(f"`{PROMOTED}{name}`")
+    return F.col("measurements")[name]["num"]
+
+
 def metric(name: str, df: DataFrame | None = None) -> Column:
     """The metric from the map; from a column of that name when there is no map entry."""
-    from_map = F.col("measurements")[name]["num"]
     if df is not None and name in df.columns:
-        return F.when(F.col("measurements").isNotNull(), from_map).otherwise(F.col(name).cast("double"))
-    return from_map
+        return F.when(F.col("measurements").isNotNull(), from_map(name, df)).otherwise(F.col(name).cast("double"))
+    return from_map(name, df)
 
 
 def measurement_above(df: DataFrame, name: str, bound: float) -> DataFrame:
-    return df.where(metric(name) > bound)
+    return df.where(from_map(name, df) > bound)
 
 
 def metric_values(df: DataFrame, name: str) -> DataFrame:
@@ -119,8 +129,8 @@ def ohlcv(df: DataFrame, sort: bool = True) -> DataFrame:
         prices = {c: F.col(c).cast("double") for c in schema.OHLC}
         spellings = [F.col(c).cast("double") for c in ("vol", "volume") if c in df.columns]
     else:
-        prices = {c: metric(c) for c in schema.OHLC}
-        spellings = [metric("vol"), metric("volume")]
+        prices = {c: from_map(c, df) for c in schema.OHLC}
+        spellings = [from_map("vol", df), from_map("volume", df)]
     # a zero volume counts as absent, so the next spelling is tried
     volume = F.coalesce(*[F.nullif(v, F.lit(0.0)) for v in spellings], F.lit(0.0))
     rows = df.select(

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewell.operators.duplicates import comparable
+from tidewell.operators.query import PROMOTED
 from tidewell.session import work_path
 
 KEYS = ("series_id", "timestamp")
@@ -44,9 +45,18 @@ def with_date(df: DataFrame) -> DataFrame:
     return df.withColumn("date", F.to_date("timestamp"))
 
 
-def save(df: DataFrame, path: str) -> None:
-    """Write a new store."""
-    _laid_out(with_date(df)).write.partitionBy("date").parquet(path, mode="errorifexists")
+def with_promoted(df: DataFrame, metrics: Sequence[str]) -> DataFrame:
+    """The numbers of ``metrics`` as columns beside the map."""
+    return df.withColumns({f"{PROMOTED}{m}": F.col("measurements")[m]["num"] for m in metrics}) if metrics else df
+
+
+def promoted_metrics(df: DataFrame) -> list[str]:
+    return [c.removeprefix(PROMOTED) for c in df.columns if c.startswith(PROMOTED)]
+
+
+def save(df: DataFrame, path: str, promoted: Sequence[str] = ()) -> None:
+    """Write a new store. The ``promoted`` metrics are typed columns beside the map, in this and every later write."""
+    _laid_out(with_date(with_promoted(df, promoted))).write.partitionBy("date").parquet(path, mode="errorifexists")
 
 
 def stored(spark: SparkSession, path: str) -> DataFrame:
@@ -76,10 +86,15 @@ def upsert(spark: SparkSession, path: str, arriving: DataFrame, version: Sequenc
     version wins. Records without a readable time are kept, in the partition of the null date. Columns that
     only one side has stay. Only the dates that ``arriving`` touches are read and rewritten. The merged rows
     are written to the shared folder first and moved from there, so the store is never read and overwritten
-    by one job, and a failed job can be repeated; the staged copies are removed after the commit.
+    by one job, and a failed job can be repeated; the staged copies are removed after the commit. Metrics that
+    the store keeps as columns are columns of the arriving rows too. Files of several dates are replaced one
+    date after the other: a reader meanwhile may see some dates before and some after the upsert.
     """
+    known = exists(spark, path)
+    if known:
+        arriving = with_promoted(arriving, promoted_metrics(stored(spark, path)))
     fresh = with_date(arriving).withColumn(WAVE, F.lit(1))
-    if not exists(spark, path):
+    if not known:
         _laid_out(latest_versions(fresh, version).drop(WAVE)).write.partitionBy("date").parquet(path)
         return
     root = work_path(spark, "upsert")

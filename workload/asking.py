@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from tidewell.operators import duplicates, profile, reshape, store
 from tidewell.operators import query as q
 from tidewell.plans import jobs, quantiles
+from tidewell.session import work_path
 from workload.registry import (
     BARS, EVENTS, GAPPY, bar_records, bars, events, gappy, query, r, records, rounded, table,
 )
@@ -212,6 +213,18 @@ def measurement_gt(spark, sf):
     return q.measurement_above(records(spark, sf), "value", 150).select("event_id", "series_id")
 
 
+@query(
+    "promoted_metric_gt",
+    f"WITH {EVENTS} SELECT event_id, event_type AS series_id, value FROM ev WHERE value > 150",
+)
+def promoted_metric_gt(spark, sf):
+    """A store that keeps ``value`` as a column: the filter is pushed down to its files."""
+    path = work_path(spark, "promoted")
+    store.save(records(spark, sf), path, ["value"])
+    kept = q.measurement_above(store.load(spark, path), "value", 150)
+    return kept.select("event_id", "series_id", q.from_map("value", kept).alias("value"))
+
+
 @query("metric_projection", f"WITH {EVENTS} SELECT event_type AS series_id, ts AS timestamp, CAST(k AS DOUBLE) AS value FROM ev")
 def metric_projection(spark, sf):
     return q.metric_values(records(spark, sf), "k")
