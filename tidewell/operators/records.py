@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 from tidewell import schema
 from tidewell.functions.tokens import bound, parse_timestamp
 
-_END = "end of text"
 NUMBER_KINDS = r"^(BIGINT|DOUBLE|FLOAT|DECIMAL|BOOLEAN)"
 
 
@@ -32,8 +31,9 @@ def json_records(df: DataFrame, column: str = "value") -> DataFrame:
     The parser stops behind the first value, so the text is read as the first of two elements: a marker
     that stands where it should shows that nothing else followed.
     """
-    two = df.withColumn("__two", F.try_parse_json(F.concat(F.lit("["), F.col(column), F.lit(f',"{_END}"]'))))
-    whole = (F.try_variant_get("__two", "$[1]", "string") == _END) & F.try_variant_get("__two", "$[2]", "variant").isNull()
+    end = F.md5(F.col(column).cast("binary"))  # a mark that the text itself cannot hold
+    two = df.withColumn("__two", F.try_parse_json(F.concat(F.lit("["), F.col(column), F.lit(',"'), end, F.lit('"]'))))
+    whole = (F.try_variant_get("__two", "$[1]", "string") == end) & F.try_variant_get("__two", "$[2]", "variant").isNull()
     return two.withColumn("record", F.when(whole, F.try_variant_get("__two", "$[0]", "variant"))).drop("__two")
 
 
