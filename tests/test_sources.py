@@ -259,6 +259,24 @@ def test_payload_paths(spark, put):
     assert read('{"a":1}', "a.b") == []
 
 
+def test_unreadable_responses_are_rejects(spark, tmp_path):
+    for name, content in {"a": '{"data": [1, 2]}', "b": '{"data": [1,', "c": "null", "d": "[]"}.items():
+        (tmp_path / f"{name}.json").write_text(content)
+    responses = payload.read_responses(spark, str(tmp_path))
+    found = payload.extract_records(responses)
+    assert found.columns == ["record", "source_file"] and found.count() == 2
+    bad = payload.rejected_responses(responses).collect()
+    assert [(r.source_file.rsplit("/", 1)[1], r.error) for r in bad] == [("b.json", payload.UNREADABLE)]
+
+
+@pytest.mark.parametrize(
+    ("size", "text"),
+    [(0, "0 B"), (1023, "1023 B"), (1152, "1.12 KB"), (1408, "1.38 KB"), (1 << 20, "1.00 MB"), (5 << 30, "5.00 GB"), (None, "N/A")],
+)
+def test_byte_size(spark, size, text):
+    assert spark.range(1).select(tokens.byte_size(F.lit(size).cast("long"))).first()[0] == text
+
+
 def test_formats():
     assert formats.detect_format("in/a.CSV") == "csv"
     assert formats.detect_format("a.json.gz") == "json"

@@ -86,8 +86,9 @@ def boosted_trees(
 def linear_regression(
     df: DataFrame, features: Sequence[str], target: str, train_share: float = 0.8
 ) -> Regression:
+    """With a ``train_share`` of 1 the model is fitted to, and its error taken over, all rows."""
     rows = _vectors(df.withColumn("label", F.col(target).cast("double")).dropna(subset=["label"]), features)
-    train, test = rows.randomSplit([train_share, 1 - train_share], seed=SEED)
+    train, test = rows.randomSplit([train_share, 1 - train_share], seed=SEED) if train_share < 1 else (rows, rows)
     model = LinearRegression().fit(train)
     predicted = model.transform(test)
     rmse = RegressionEvaluator(metricName="rmse").evaluate(predicted)

@@ -122,12 +122,14 @@ def token_value(c: Column) -> Column:
 
 
 def byte_size(c: Column) -> Column:
+    """A size with its unit, two decimals from KB on; ties go to the even digit."""
     mega, kilo = 1024 * 1024, 1024
+    sized = lambda unit, name: F.concat(two_decimals(c / unit), F.lit(name))
     return (
-        F.when(c >= 1024 * mega, F.format_string("%.2f GB", c / (1024 * mega)))
-        .when(c >= mega, F.format_string("%.2f MB", c / mega))
-        .when(c >= kilo, F.format_string("%.2f KB", c / kilo))
-        .when(c.isNotNull(), F.format_string("%d B", c))
+        F.when(c >= 1024 * mega, sized(1024 * mega, " GB"))
+        .when(c >= mega, sized(mega, " MB"))
+        .when(c >= kilo, sized(kilo, " KB"))
+        .when(c.isNotNull(), F.concat(c.cast("string"), F.lit(" B")))
         .otherwise("N/A")
     )
 

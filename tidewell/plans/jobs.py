@@ -5,13 +5,13 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.operators import records, steps
 from tidewell.operators.profile import source_report
 from tidewell.sinks.files import WRITERS, NothingToWrite, write_records
-from tidewell.sources.formats import CATEGORIES, FORMATS, READERS, detect_format, read_records
+from tidewell.sources.formats import CATEGORIES, FORMATS, READERS, detect_format, format_of, read_records
 
 
 def supported_formats() -> dict[str, list[str]]:
@@ -24,6 +24,12 @@ def can_convert(source: str, target: str) -> bool:
     return source.lower() in READERS and target.lower() in WRITERS
 
 
+def convertible(path: Column, target: Column) -> Column:
+    """``can_convert`` for columns: the format of a path by its extension, and the name of a format to write."""
+    readable = F.coalesce(format_of(path).isin(list(READERS)), F.lit(False))
+    return readable & F.coalesce(F.lower(target).isin(list(WRITERS)), F.lit(False))
+
+
 def convert(
     spark: SparkSession, source: str, target: str,
     source_format: str | None = None, target_format: str | None = None, **options,

@@ -10,10 +10,19 @@ from pyspark.sql import functions as F
 # Where the records of a response are looked for when no path is given.
 USUAL_PLACES = ["data", "results", "values"]
 
+UNREADABLE = "Response is no JSON, or larger than 128 MiB"
+
 
 def read_responses(spark: SparkSession, path: str) -> DataFrame:
-    """One VARIANT ``response`` per landed file."""
-    return spark.read.option("singleVariantColumn", "response").option("multiLine", True).json(path)
+    """One VARIANT ``response`` per landed file, with its ``source_file``; where there is none, ``error`` says why."""
+    read = spark.read.option("singleVariantColumn", "response").option("multiLine", True).json(path)
+    error = F.when(F.col("response").isNull(), UNREADABLE)
+    return read.select("response", F.col("_metadata.file_path").alias("source_file"), error.alias("error"))
+
+
+def rejected_responses(responses: DataFrame) -> DataFrame:
+    """The files that gave no response, and why."""
+    return responses.where(F.col("error").isNotNull()).drop("response")
 
 
 def _kind(v: Column) -> Column:
@@ -24,7 +33,7 @@ def extract_records(responses: DataFrame, path: str = "data", column: str = "res
     """One VARIANT ``record`` per element found; a single value at a path counts as one record.
 
     Without a path (or with ``data``) the usual places are tried, then the response itself
-    when it is a list. Nothing found means no record.
+    when it is a list. Nothing found means no record. The other columns follow, without ``error``.
     """
     whole = F.col(column)
     if not path or path == "data":
@@ -36,8 +45,8 @@ def extract_records(responses: DataFrame, path: str = "data", column: str = "res
         found = F.try_variant_get(column, f"${steps}", "variant")
         single = F.when(~_kind(found).isin("ABSENT", "VOID"), F.array(found))
     many = F.when(_kind(found).startswith("ARRAY"), F.try_variant_get(found, "$", "array<variant>"))
-    rest = [c for c in responses.columns if c != column]
-    return responses.select(*rest, F.explode(F.coalesce(many, single) if path and path != "data" else many).alias("record"))
+    rest = [c for c in responses.columns if c not in (column, "error")]
+    return responses.select(F.explode(F.coalesce(many, single) if path and path != "data" else many).alias("record"), *rest)
 
 
 def map_fields(records: DataFrame, mapping: Mapping[str, str]) -> DataFrame:
