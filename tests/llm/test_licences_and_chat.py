@@ -60,6 +60,31 @@ def test_result_does_not_depend_on_the_rare_words(spark, rare):
     same(licences.scan_licences(docs, templates=templates, rare=rare), {"documents": docs}, sql)
 
 
+def test_every_notice_is_found_whole_and_in_part(spark):
+    """All notices in a row and each cut short before its phrase ends, among words of the same templates."""
+    texts = [t.text for t in licences.TEMPLATES] + [" ".join(t.words[: t.mandatory[1] - 1]) for t in licences.TEMPLATES]
+    texts += ["x " + t.text + " y " + t.text for t in licences.TEMPLATES]
+    texts += [" the ".join(t.words) for t in licences.TEMPLATES] + [" ".join(t.text for t in licences.TEMPLATES)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert len(licences.TEMPLATES) >= 40
+    out = licences.scan_licences(docs, keep=["doc_id"])
+    same(out, {"documents": docs}, SQL["op2_license_scan"])
+    by = {r.doc_id: r for r in out.collect()}
+    for n, t in enumerate(licences.TEMPLATES):
+        assert by[n].score == 1.0 and t.label in by[n].labels.split(",")
+    assert set(by[len(texts) - 1].labels.split(",")) == {t.label for t in licences.TEMPLATES}
+
+
+def test_plan_does_not_grow_with_the_templates(spark):
+    docs = spark.createDataFrame([(1, "text of w7 x y and w8 x")], "doc_id long, text string")
+    nodes = []
+    for n in (10, 400):
+        out = licences.scan_licences(docs, templates=[Template(f"l{i}", f"w{i} x y") for i in range(n)])
+        nodes.append(out._jdf.queryExecution().analyzed().expressions().size())
+        assert out.first().labels == "l7"
+    assert nodes[0] == nodes[1]
+
+
 def test_columns_pass_through(odd_documents, no_documents):
     out = licences.scan_licences(odd_documents)
     assert [c for c in out.columns if c not in odd_documents.columns] == [
