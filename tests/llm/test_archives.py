@@ -85,6 +85,26 @@ def test_round_trip_over_many_byte_ranges(spark, split):
     assert got == wanted(PAGES * 3)
 
 
+def test_thousands_of_magics_in_one_archive(spark, split):
+    """Many broken records with many pieces each: no row is made for a piece and a record that does not cover it."""
+    pages = [(i, "u", f"{i} " + "WARC/1.1\r\n" * 40, None) for i in range(60)] + [(60, "u", FAKE * 800, None), (61, "u", "end", None)]
+    df = spark.createDataFrame(pages, SCHEMA).coalesce(1)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    got = sorted((tuple(r)[:5] for r in round_trip(spark, df)[0].collect()), key=repr)
+    assert got == wanted(pages)
+
+
+def test_cover_is_the_last_record_before(spark):
+    places = [("f", off // 100 * 100, off % 100, off) for off in range(0, 400, 10)] + [("g", 0, 0, 0)]
+    broken = [("f", 20, 25), ("f", 90, 230), ("f", 330, 5)]
+    out = warc.covered(
+        spark.createDataFrame(places, "file string, block long, rel long, off long"),
+        spark.createDataFrame(broken, "file string, off long, need long"),
+    )
+    want = [("f", b, r, s, o) for f, b, r, o in places for g, s, n in broken if f == g and s <= o < s + n]
+    assert sorted(tuple(r) for r in out.collect()) == sorted(want)
+
+
 def test_no_pages(spark):
     assert round_trip(spark, spark.createDataFrame([], SCHEMA))[0].collect() == []
 

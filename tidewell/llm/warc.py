@@ -222,10 +222,26 @@ def _chained(candidates: DataFrame) -> DataFrame:
     )
 
 
+def covered(places: DataFrame, broken: DataFrame) -> DataFrame:
+    """(file, block, rel, start, off) of the pieces that a broken record covers.
+
+    Records do not overlap, so it is the last one that starts at the piece or before: in the same byte range, or else
+    the last one of the ranges before.
+    """
+    record = F.when(F.col("need").isNotNull(), F.struct(F.col("off").alias("start"), "need"))
+    upward = Window.partitionBy("file", "block").orderBy("off")
+    marked = places.join(broken, ["file", "off"], "left").withColumn("here", F.last(record, ignorenulls=True).over(upward))
+    marked = written(marked.drop("need"), "marked")
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    tops = marked.groupBy("file", "block").agg(F.max("here").alias("top"))
+    tops = tops.select("file", "block", F.max("top").over(before).alias("carried"))
+    found = marked.join(tops, ["file", "block"]).withColumn("record", F.coalesce("here", "carried"))
+    return found.where("off < record.start + record.need").select("file", "block", "rel", F.col("record.start").alias("start"), "off")
+
+
 def _joined(spark: SparkSession, path: str, places: DataFrame, broken: DataFrame) -> DataFrame:
     """Records with a magic inside, put together again from the pieces they cover."""
-    parts = places.join(broken.withColumnRenamed("off", "start"), "file").where("off >= start AND off < start + need")
-    parts = written(parts.select("file", "block", "rel", "start", "off"), "parts")
+    parts = written(covered(places, broken), "parts")
     values = _pieces(spark, path, values=True).join(parts, ["file", "block", "rel"])
     whole = values.groupBy("file", "start").agg(F.array_sort(F.collect_list(F.struct("off", "value"))).alias("parts"))
 
