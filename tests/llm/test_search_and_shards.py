@@ -47,6 +47,18 @@ def test_fewer_rows_than_k_and_none(spark):
     assert topk.top_k(df.limit(0), df.limit(0)).collect() == []
 
 
+def test_large_components(spark):
+    rows = [(i, [x * 3e6 for x in v]) for i, v in vectors(5, n=40)]
+    df = spark.createDataFrame([(i, v, "x", i) for i, v in rows], "vec_id long, embedding array<float>, id string, v long")
+    got = topk.top_k(df, df.where("vec_id % 20 = 0"), k=5)
+    assert got.columns == ["query_id", "rank", "vec_id", "score"]
+    assert sorted(tuple(r) for r in got.collect()) == brute_top(rows, [r for r in rows if r[0] % 20 == 0], 5)
+    for x, said in ((1e9, "does not fit 64 bits"), (1e30, "does not fit 62 bits")):
+        df = spark.createDataFrame([(0, [x, x]), (1, [x, 0.0])], "vec_id long, embedding array<double>")
+        with pytest.raises(Exception, match=said):
+            topk.top_k(df, df).collect()
+
+
 def test_digits_and_slices():
     for v in range(-300, 300):
         assert sum(s << b for b, s in topk.signed_digits(v)) == v

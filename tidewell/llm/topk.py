@@ -50,6 +50,10 @@ def signed_digits(value: int) -> list[tuple[int, int]]:
     return out
 
 
+class ScoreOverflow(OverflowError):
+    """A score among the best that 64 bits do not hold."""
+
+
 class BitSlices:
     """One block of the index, ready for queries."""
 
@@ -141,7 +145,8 @@ def quantised(vectors: DataFrame, vec_id: str, vector: str, scale: int) -> DataF
     fine = F.forall("e", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = vectors.select(F.col(vec_id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("e"))
     rows = rows.where(F.col("id").isNotNull() & F.col("e").isNotNull() & (F.size("e") > 0) & fine)
-    v = F.transform("e", lambda x: F.floor(x * scale).cast("long"))
+    large = F.raise_error(F.lit("a component times the scale does not fit 62 bits")).cast("long")
+    v = F.transform("e", lambda x: F.when(F.abs(x * scale) < 2.0**62, F.floor(x * scale).cast("long")).otherwise(large))
     return rows.select("id", F.size("e").alias("dims"), v.alias("v")).distinct()
 
 
@@ -163,6 +168,8 @@ def _search(k: int):
                 out: tuple[list, list, list] = ([], [], [])
                 for q in row["queries"]:
                     found, scores = index.top(q["v"], k, q["id"])
+                    if any(not -(1 << 63) <= s < 1 << 63 for s in scores):
+                        raise ScoreOverflow(f"a score of query {q['id']} does not fit 64 bits")
                     out[0].extend([q["id"]] * len(found))
                     out[1].extend(found.tolist())
                     out[2].extend(scores)
@@ -188,7 +195,9 @@ def top_k(
     or hold null or non-finite components, take no part; vectors of different length are not compared.
     Repeated rows are one row; different vectors under one id all take part, and results of the queries
     under one id are ranked together. Each block of queries meets each block of the index once: tasks hold
-    one of each. Scores must fit 64 bits.
+    one of each. Empty tables give no rows, extra columns are not returned. Scores are added in integers of any
+    size; one among the best that does not fit 64 bits ends the job with ``ScoreOverflow``, a component times the
+    scale of 2^62 or more with an error that says so.
     """
     spark = vectors.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
