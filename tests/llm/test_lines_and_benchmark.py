@@ -2,6 +2,8 @@ import hashlib
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from tidewell.llm import decontamination, line_dedup
 
 LOWER = {c: c + 32 for c in range(65, 91)}
@@ -98,6 +100,32 @@ def test_documents_agree_with_brute_force(spark, odd_documents):
                 assert r.text is None
 
 
+def test_repeated_and_long_items_in_many_automata(spark):
+    rng = random.Random(7)
+    line = lambda n: " ".join(rng.choice("abcdefgh") for _ in range(n))
+    long = line(300)
+    items = [(i, long) for i in range(3)] + [(i, line(rng.randint(0, 30))) for i in range(3, 20)] * 2 + [(0, line(20))]
+    texts = [line(rng.randint(0, 60)) + " " + long[2 * k : 2 * k + 2 * rng.randint(0, 50)] for k in range(0, 300, 20)] + ["", long]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    tests = spark.createDataFrame(items, "item_id long, text string")
+    stored = decontamination.build_automata(tests.select(F.col("item_id").cast("string").alias("name"), F.encode("text", "UTF-8").alias("text")), 8, 100)
+    assert stored.count() >= 10
+    # a piece, its overlap, and what was there before the last piece
+    sizes = [max(decontamination._loaded(bytes(r["stored"]))[0].length) for r in stored.collect()]
+    assert max(sizes) <= 12 + 7
+    want = sorted((d, *brute_hits(t, set(items), 8)) for d, t in enumerate(texts))
+    for most, pass_bytes in ((100, 1 << 28), (300, 2500)):
+        out = decontamination.decontaminate(docs, tests, window=8, words_per_automaton=most, bytes_per_pass=pass_bytes)
+        assert sorted((r.doc_id, r.n_words, r.n_hit, list(r["items"])) for r in out.collect()) == want
+
+
+def test_all_automata_in_one_pass_over_the_documents(spark, odd_documents):
+    items = spark.createDataFrame([(i, f"w{i} the own line") for i in range(60)], "item_id long, text string")
+    out = decontamination.decontaminate(odd_documents, items, window=4, words_per_automaton=12)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "scanned" not in plan and not any("scanned" in f for f in out.inputFiles())
+
+
 def test_cut_text_has_no_hits_left(spark, odd_documents):
     items = spark.createDataFrame([ITEMS[0]], "item_id long, text string")
     out = decontamination.decontaminate(odd_documents, items, window=13)
