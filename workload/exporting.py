@@ -439,8 +439,7 @@ def roundtrip_line_protocol(spark, sf):
 def line_protocol_long_fields(spark, sf):
     """Fields of up to hundreds of kilobytes are read as written."""
     docs = table(spark, sf, "documents")
-    text = F.repeat(F.translate("text", "\n\r", "  "), F.lit(20))
-    quoted = F.regexp_replace(text, r'(["\\])', r"\\$1")
+    quoted = F.repeat(F.regexp_replace(F.translate("text", "\n\r", "  "), r'(["\\])', r"\\$1"), F.lit(20))
     line = F.concat(F.lit("docs,series_id="), F.col("doc_id").cast("string"), F.lit(' text="'), quoted, F.lit('" 1'))
     read = protocol_sources.line_protocol_records(docs.select(line.alias("value")))
     raw = F.col("measurements")["text"]["raw"]
