@@ -7,7 +7,7 @@ chunk is summarised, and the summaries are combined in order.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -127,6 +127,19 @@ def _open_on_entry(summaries: DataFrame, key: str, width: int) -> DataFrame:
     return opened
 
 
+def _light_and_heavy(
+    events: DataFrame, key: str, limited: Callable[[DataFrame, Sequence[float]], DataFrame], bounds: Sequence[float]
+) -> DataFrame:
+    """Only the timelines of keys with more events than a chunk holds are cut; each other key is a group of its own."""
+    sizes = events.groupBy(F.col(key).alias("__key")).agg(F.count("*").alias("__rows"))
+    heavy = written(sizes.where(F.col("__rows") > chunking.ROWS_PER_CHUNK).select("__key"), "heavy_keys")
+    if heavy.isEmpty():
+        return limited(events, [])
+    same = F.col(key).eqNullSafe(F.col("__key"))
+    light = limited(events.join(heavy, same, "left_anti"), [])
+    return light.unionByName(limited(events.join(heavy, same, "left_semi"), bounds))
+
+
 def fixed_window(
     events: DataFrame,
     key: str,
@@ -146,6 +159,8 @@ def fixed_window(
     timed = events.withColumn(ts, F.col(ts).cast("timestamp")).where(F.col(ts).isNotNull())
     if bounds is None:
         bounds = chunking.chunk_bounds(timed, ts)
+        if bounds:
+            return _light_and_heavy(timed, key, lambda part, cuts: fixed_window(part, key, ts, limit, window, order, cuts), bounds)
     chunked = chunking.with_chunk(timed, ts, bounds).withColumn(_US, F.unix_micros(ts))
     keys = [key, chunking.CHUNK]
     moments = chunked.select(*keys, _US)
