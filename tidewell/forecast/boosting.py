@@ -1,7 +1,9 @@
 """Gradient boosting with trees that grow leaf by leaf, the leaf of the largest gain first.
 
-Features are cut into at most ``bins`` codes once. What a split needs are counts and sums of residuals by
-(leaf, feature, code), which partitions add up on their own. A round asks for all leaves that the order of
+Features are cut into at most ``bins`` codes once. Rows of equal codes go the same way in every tree, so they
+become one row with their number and the sum of their labels: trees are grown over as many rows as there are
+different codes. What a split needs are counts and sums of residuals by (leaf, feature, code), which partitions
+add up on their own. A round asks for all leaves that the order of
 gains may reach next, so a tree takes as many rounds as it is deep, not as many as it has leaves.
 """
 
@@ -175,10 +177,11 @@ def _ask(rows: DataFrame, leaves: list[Leaf], width: int, bins: int, least_rows:
             goes = _goes_left(feature, code, missing_left)
             inside = inside & (goes if is_left else ~goes)
         place = F.when(inside, F.lit(k)).otherwise(place)
-    placed = rows.select(place.alias("leaf"), (F.col("label") - F.col("score")).alias("rest"), *[f"__c{i}" for i in range(width)])
+    rest = F.col("label") - F.col("n") * F.col("score")
+    placed = rows.select(place.alias("leaf"), "n", rest.alias("rest"), *[f"__c{i}" for i in range(width)])
     codes = F.array(*[F.struct(F.lit(i).alias("feature"), F.col(f"__c{i}").alias("code")) for i in range(width)])
-    each = placed.where("leaf IS NOT NULL").select("leaf", "rest", F.explode(codes).alias("c"))
-    cells = each.groupBy("leaf", "c.feature", "c.code").agg(F.count("*").alias("n"), F.sum("rest").alias("s"))
+    each = placed.where("leaf IS NOT NULL").select("leaf", "n", "rest", F.explode(codes).alias("c"))
+    cells = each.groupBy("leaf", "c.feature", "c.code").agg(F.sum("n").alias("n"), F.sum("rest").alias("s"))
     counts = np.zeros((len(leaves), width, bins + 1))
     sums = np.zeros_like(counts)
     for leaf, feature, code, n, s in cells.collect():  # at most leaves x features x (bins + 1) rows
@@ -215,7 +218,8 @@ def _in_order(root: Leaf, leaves: int, least_rows: int) -> tuple[list[Leaf], lis
 
 
 def grow(rows: DataFrame, width: int, bins: int, leaves: int, least_rows: int, ridge: float) -> Tree:
-    """One tree for the residuals ``label`` - ``score`` over the codes ``__c0`` to ``__c<width - 1>``."""
+    """One tree for the residuals over the codes ``__c0`` to ``__c<width - 1>``: rows are ``n`` each, with the sum
+    ``label`` of their labels and one ``score`` for all."""
     root = Leaf(0.0, 0.0, [])
     _ask(rows, [root], width, bins, least_rows, ridge)
     while True:
@@ -253,18 +257,21 @@ def boost(
 
     Missing features (null or NaN) are a value of their own that each split sends to the better side. A side of
     a split has at least ``least_rows`` rows. Without a labelled row the model has no trees and predicts 0.
-    The codes and the running score of the rows are written anew to the shared folder after every tree.
+    The rows are read twice, for the thresholds and for the sums by codes; the codes and their running score are
+    written anew to the shared folder after every tree.
     """
     features = list(features)
     labelled = df.withColumn("__y", known(label)).where(F.col("__y").isNotNull())
     edges = _edges(labelled, features, bins)
-    base = labelled.agg(F.avg("__y")).first()[0]
+    codes = [f"__c{i}" for i in range(len(features))]
+    coded = _coded(labelled, features, edges).groupBy(*codes)
+    cells = written(coded.agg(F.count("*").alias("n"), F.sum("__y").alias("label")), "codes")
+    total, n = cells.agg(F.sum("label"), F.sum("n")).first()
+    base = total / n if n else None
     model = Boosted(features, edges, 0.0 if base is None else base, rate, [])
     if base is None:
         return model
-    codes = [f"__c{i}" for i in range(len(features))]
-    coded = _coded(labelled, features, edges)
-    rows = written(coded.select(*codes, F.col("__y").alias("label"), F.lit(base).alias("score")), "codes")
+    rows = cells.withColumn("score", F.lit(base))
     for k in range(rounds):
         tree = grow(rows, len(features), bins, leaves, least_rows, ridge)
         if len(tree.feature) == 1:
